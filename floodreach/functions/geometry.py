@@ -105,9 +105,9 @@ def ring_interior_point(ring) -> tuple[Column, Column]:
     crossing = F.filter(_ring_pairs(ring), lambda s: (s["p"]["y"] > y) != (s["q"]["y"] > y))
     xs = F.array_sort(F.transform(crossing, lambda s: s["p"]["x"] + (y - s["p"]["y"]) / (
         s["q"]["y"] - s["p"]["y"]) * (s["q"]["x"] - s["p"]["x"])))
-    spans = F.transform(F.sequence(F.lit(0), F.size(xs) / 2 - 1), lambda i: F.struct(
-        (F.get(xs, (i * 2 + 1).cast("int")) - F.get(xs, (i * 2).cast("int"))).alias("w"),
-        ((F.get(xs, (i * 2 + 1).cast("int")) + F.get(xs, (i * 2).cast("int"))) / 2).alias("mid")))
+    spans = F.transform(F.sequence(F.lit(0), F.greatest((F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(
+        (F.get(xs, i * 2 + 1) - F.get(xs, i * 2)).alias("w"),
+        ((F.get(xs, i * 2 + 1) + F.get(xs, i * 2)) / 2).alias("mid")))
     inside = (F.size(ring) >= 3) & (F.size(xs) >= 2)
     return (F.when(inside, F.array_max(spans)["mid"]).otherwise(F.get(ring, F.lit(0))["x"]),
             F.when(inside, y).otherwise(F.get(ring, F.lit(0))["y"]))

@@ -93,10 +93,10 @@ def density_clusters(points: DataFrame, eps: float = 60.0, min_points: int = 10)
         thin.join(counted, "point_id", "left_semi").select("point_id", "x", "y", "cx", "cy"))
     core = materialize(core, "core")
     links = _linked_cells(core, eps, side)
-    cells = core.select(F.struct("cx", "cy").alias("node")).distinct()
-    cc = components(links, [], "a", "b")
-    label = cells.join(cc, "node", "left").select(F.col("node.cx").alias("cx"), F.col("node.cy").alias("cy"), F.coalesce("component", "node").alias("comp"))
-    named = core.join(label, ["cx", "cy"])
+    code = lambda c: F.shiftleft(c["cx"], 32) + c["cy"] + F.lit(1 << 31)
+    cc = components(links.select(code(F.col("a")).alias("u"), code(F.col("b")).alias("v")))
+    named = (core.withColumn("node", F.shiftleft("cx", 32) + F.col("cy") + F.lit(1 << 31)).join(cc, "node", "left")
+             .withColumn("comp", F.coalesce("component", "node")))
     cluster = named.groupBy("comp").agg(F.min("point_id").alias("cluster"))
     core_out = materialize(named.join(cluster, "comp").select("point_id", "x", "y", "cx", "cy", "cluster"), "labelled")
     border = (around.join(core.select("point_id"), "point_id", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.geometry import distance
 from ..params import Params
 
-_FAN, _DEPTH = 8, 4
+_FAN, _DEPTH = 16, 3
 
 
 def _sites(targets: DataFrame, target_id: str) -> DataFrame:

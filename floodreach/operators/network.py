@@ -60,24 +60,58 @@ def build_graph(edges: DataFrame, status: DataFrame, modes=("pessimistic", "opti
     return j.groupBy(*SCENARIO, "u", "v").agg(best).select(*SCENARIO, "u", "v", "b.*")
 
 
+def _contract(keys: list[str]):
+    def run(batches):
+        """Replace the edges of one partition by links to the smallest node each one reaches inside it."""
+        got = [p for p in batches if len(p)]
+        if not got:
+            return
+        e = pd.concat(got, ignore_index=True)
+        n = len(e)
+        group = e.groupby(keys, sort=False).ngroup().to_numpy() if keys else np.zeros(n, np.int64)
+        names, rank = np.unique(np.concatenate([e["a"].to_numpy(), e["b"].to_numpy()]), return_inverse=True)
+        code, pos = np.unique(np.concatenate([group, group]) * len(names) + rank, return_inverse=True)
+        a, b, root = pos[:n], pos[n:], np.arange(len(code))
+        while True:
+            low, new = np.minimum(root[a], root[b]), root.copy()
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            while not np.array_equal(new, new[new]):
+                new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+        hit = np.flatnonzero(root != np.arange(len(code)))
+        out = pd.DataFrame({"a": names[code[hit] % len(names)], "b": names[code[root[hit]] % len(names)]})
+        if keys:
+            head = e[keys].groupby(group).first()
+            for k in reversed(keys):
+                out.insert(0, k, head[k].reindex(code[hit] // len(names)).to_numpy())
+        yield out
+    return run
+
+
 def components(pairs: DataFrame, keys: list[str] = (), u: str = "u", v: str = "v") -> DataFrame:
     """Smallest node of each node's component: keys, node, component.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), which need a logarithmic number of
-    rounds. Each step is a ``min`` aggregate and a join back, so a hub never gathers its neighbours."""
+    rounds; each is a ``min`` aggregate and a join back, so a hub never gathers its neighbours. Before every
+    write a partition first contracts the links it happens to hold, which costs no shuffle and leaves later
+    rounds only what spans partitions."""
     keys = list(keys)
-    e = pairs.filter(F.col(u) != F.col(v)).select(*keys, F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).distinct()
-    e = materialize(e, "cc")
+    e = pairs.filter(F.col(u) != F.col(v)).select(*keys, F.greatest(u, v).alias("a"), F.least(u, v).alias("b"))
+    contract = lambda df: materialize(df.mapInPandas(_contract(keys), df.schema), "cc")
+    e = contract(e)
     print_sum = F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))
-    seen = None
+    seen = e.agg(F.count(F.lit(1)).alias("n"), print_sum.alias("s")).first()
     while True:
         both = e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*keys, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.filter(F.col("b") > F.col("a")).join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter(F.col("b") > F.col("a")).join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy(*keys, "a").agg(F.min("b").alias("m"))
         hook = large.join(least, [*keys, "a"]).filter(F.col("b") != F.col("m")).select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
-        small = hook.unionByName(least.select(*keys, "a", F.col("m").alias("b"))).filter(F.col("a") != F.col("b")).distinct()
-        e = materialize(small, "cc")
+        small = hook.unionByName(least.select(*keys, "a", F.col("m").alias("b"))).filter(F.col("a") != F.col("b"))
+        e = contract(small)
         mark = e.agg(F.count(F.lit(1)).alias("n"), print_sum.alias("s")).first()
         if mark == seen:
             break
@@ -127,30 +161,30 @@ def _relax_block(keys: list[str]):
 def shortest_distances(graph: DataFrame, sources: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
     """Distance (mm) to the nearest source and which one, ties to the smaller source: keys, node, dist, src.
 
-    ``graph``: keys, block, u, v, w. ``sources``: keys, node, present in the scenario's network even when all
+    ``graph``: keys, block, u, v, w, read once per round, so it should be a written table. ``sources``: keys, node, present in the scenario's network even when all
     their roads are cut. Each round relaxes whole blocks to a fixed point in tasks of bounded size, then blocks
     exchange only nodes that improved and lie in several blocks. Rounds grow with the number of block borders
     on a path, not with its number of junctions."""
     keys = list(keys)
     on = [*keys, "node"]
-    g = materialize(graph.select(*keys, "block", "u", "v", "w"), "graph")
+    g = graph.select(*keys, "block", "u", "v", "w")
     member = materialize(g.select(*keys, "block", F.explode(F.array("u", "v")).alias("node")).distinct(), "member")
     shared = member.groupBy(*on).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(*on)
     known = materialize(sources.select(*on).distinct().select(*on, F.lit(0).cast("bigint").alias("dist"), F.col("node").alias("src")), "dist")
     active = known
     schema = known.select(*keys, "node", "dist", "src").schema
     for _ in range(max_rounds):
-        inbox = materialize(active.join(member, on).select(*keys, "block", "node", "dist", "src"), "inbox")
+        inbox = active.join(member, on).select(*keys, "block", "node", "dist", "src")
         links = g.join(inbox.select(*keys, "block").distinct(), [*keys, "block"], "left_semi")
         found = (links.groupBy(*keys, "block").cogroup(inbox.groupBy(*keys, "block")).applyInPandas(_relax_block(keys), schema)
                  .groupBy(*on).agg(F.min(F.struct("dist", "src")).alias("n")))
         old = known.groupBy(*on).agg(F.min(F.struct("dist", "src")).alias("o"))
         better = found.join(old, on, "left").filter(F.col("o").isNull() | (F.col("n") < F.col("o"))).select(*on, "n.*")
         better = materialize(better, "better")
-        if better.isEmpty():
-            break
         known = known.unionByName(better)
         active = better.join(shared, on, "left_semi")
+        if active.isEmpty():
+            break
     return known.groupBy(*on).agg(F.min(F.struct("dist", "src")).alias("b")).select(*on, "b.*")
 
 
@@ -163,9 +197,9 @@ def solve(edges: DataFrame, road_status: DataFrame, villages: DataFrame, shelter
     """Both graphs of every scenario and the distances over them."""
     axis = distinct_values(road_status, "threshold", "date")
     blocks = assign_blocks(edges, p)
-    e = materialize(edges.select("edge_id", "u", "v", "length_m").join(blocks, "edge_id"), "edges")
+    e = edges.select("edge_id", "u", "v", "length_m").join(blocks, "edge_id")
     graph = materialize(build_graph(e, full_status(e, road_status, axis)), "scenarios")
-    junctions = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    junctions = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     src = shelter_by_junction(shelters).select(F.col("node_id").alias("node")).join(junctions, "node", "left_semi")
     modes = F.array(F.lit("pessimistic"), F.lit("optimistic"))
     src = (src.withColumn("_s", F.explode(axis)).withColumn("mode", F.explode(modes))

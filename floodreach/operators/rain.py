@@ -10,12 +10,13 @@ from ..params import Params
 def daily_rain(rain: DataFrame, step_hours: float = 0.5, p: Params = Params()) -> DataFrame:
     """Box-average mm per local day from half-hourly rates ``(ts, box, cell, mm_per_h)``.
 
-    Totals are taken per cell first, so a box with gaps in some cells is averaged over cells, not rows."""
+    Totals are taken per cell first, so a box with gaps in some cells is averaged over cells, not rows. They are
+    kept as whole nanometres, which makes the result independent of the order of summation."""
     start = f"{(24 - p.utc_offset_hours) % 24} hours"
     cell = (rain.groupBy(F.window("ts", "1 day", "1 day", start).alias("w"), "box", "cell")
-            .agg((F.sum("mm_per_h") * F.lit(step_hours)).alias("mm")))
+            .agg(F.rint(F.sum("mm_per_h") * F.lit(step_hours * 1e6)).cast("bigint").alias("nm")))
     day = F.to_date(F.col("w.start") + F.expr(f"interval {p.utc_offset_hours} hours"))
-    return cell.groupBy(day.alias("date"), "box").agg(half_even(F.avg("mm"), 1).alias("mm"))
+    return cell.groupBy(day.alias("date"), "box").agg(half_even(F.sum("nm") / (F.count(F.lit(1)) * F.lit(1e6)), 1).alias("mm"))
 
 
 def rain_wide(daily: DataFrame, boxes: list[str]) -> DataFrame:

@@ -48,19 +48,20 @@ def lookup(points: DataFrame, merged: DataFrame, grid: Grid) -> DataFrame:
             .withColumn("value", F.coalesce(F.col("value"), F.lit(255))))
 
 
-def edge_fractions(edges: DataFrame, merged: DataFrame, grid: Grid, spacing: float = 20.0, dates: Column | None = None) -> DataFrame:
+def edge_fractions(edges: DataFrame, merged: DataFrame, grid: Grid, spacing: float = 20.0, dates: DataFrame | None = None) -> DataFrame:
     """Share of flooded and unknown check-points per (date, edge_id), for every edge on every date.
 
     Points carry no date and collapse to counts per (edge, cell), so one join on the cell serves all dates.
     Unknown is what the join did not find: total minus known, with the total known from the geometry. Edges
-    without any known point enter the same aggregation as zero rows instead of through another join."""
+    without any known point enter the same aggregation as zero rows instead of through another join.
+    ``dates`` lists the observed dates; give it when ``merged`` is not stored, or it is computed twice."""
     at = (check_points(edges, spacing).select("edge_id", cell_row(F.col("y"), grid).alias("row"), cell_col(F.col("x"), grid).alias("col"))
           .filter(inside_grid(F.col("row"), F.col("col"), grid))
           .groupBy("edge_id", "row", "col").agg(F.count(F.lit(1)).cast("int").alias("n")))
     zero = F.lit(0)
     hit = merged.join(at, ["row", "col"]).select("date", "edge_id", (F.col("n") * (F.col("value") == FLOODED).cast("int")).alias("f"),
                                                  F.col("n").alias("k"), zero.alias("total"))
-    days = distinct_values(merged, "date") if dates is None else dates
+    days = distinct_values(merged if dates is None else dates, "date")
     base = edges.select(F.explode(days).alias("date"), "edge_id", zero.alias("f"), zero.alias("k"),
                         point_count(line_length(F.col("geom")), spacing).alias("total"))
     g = hit.unionByName(base).groupBy("date", "edge_id").agg(F.sum("f").alias("f"), F.sum("k").alias("k"), F.sum("total").alias("n"))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import nearest, network, raster, roads, timeline
 from ..operators.evaluate import match_reports, score_reports
-from ..params import Grid, Params
+from ..params import UNKNOWN, Grid, Params
 from ..session import materialize
 from ..sources.documents import meta_document, write_geojson
 from ..sources.tables import write_by_date, write_csv
@@ -14,7 +14,8 @@ from ..sources.tables import write_by_date, write_csv
 def road_status_for(cells: DataFrame, edges: DataFrame, grid: Grid, p: Params = Params(), sources: list[str] | None = None) -> DataFrame:
     """Minimum slice: which roads are cut on each date."""
     merged = raster.merge_by_date(cells, sources, p)
-    return roads.road_status(roads.edge_fractions(edges, merged, grid, p.spacing_m), p)
+    dates = cells.filter(F.col("value") != UNKNOWN).select("date")
+    return roads.road_status(roads.edge_fractions(edges, merged, grid, p.spacing_m, dates), p)
 
 
 def run(cells: DataFrame, nodes: DataFrame, edges: DataFrame, villages: DataFrame, shelters: DataFrame, grid: Grid,
