@@ -4,7 +4,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 
@@ -42,12 +42,22 @@ def _drop_one(text) -> Column:
     return F.array_distinct(F.concat(F.array(text), shorter))
 
 
+def _prepared(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """Letter tokens of each text, taken once per text and carried through the joins."""
+    return df.select(column, F.length(column).alias(f"{tag}n"), _tokens(F.col(column)).alias(f"{tag}t"))
+
+
 def _score(pairs: DataFrame, cutoff: float) -> DataFrame:
-    """Best candidate per query among pairs that can reach the cutoff: query, s, cand."""
-    total = F.length("query") + F.length("cand")
-    shared = F.size(F.array_intersect(_tokens(F.col("query")), _tokens(F.col("cand"))))
-    may = pairs.filter(F.lit(2.0) * F.least(F.length("query"), F.length("cand")) / total >= cutoff).filter(F.lit(2.0) * shared / total >= cutoff)
-    scored = may.withColumn("s", similarity(F.col("cand"), F.col("query"))).filter(F.col("s") >= cutoff)
+    """Best candidate per query among pairs that can reach the cutoff: query, s, cand.
+
+    The letter overlap bounds the similarity from above, so only pairs that might pass are compared in full.
+    Those are spread by count, because their cost lies in the comparison and not in their bytes."""
+    spark = pairs.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    total = F.col("qn") + F.col("cn")
+    may = (pairs.filter(F.lit(2.0) * F.least("qn", "cn") / total >= cutoff)
+           .filter(F.lit(2.0) * F.size(F.array_intersect("qt", "ct")) / total >= cutoff).select("query", "cand"))
+    scored = may.repartition(width, "query", "cand").withColumn("s", similarity(F.col("cand"), F.col("query"))).filter(F.col("s") >= cutoff)
     return scored.groupBy("query").agg(F.max(F.struct("s", "cand")).alias("b")).select("query", "b.s", "b.cand")
 
 
@@ -55,19 +65,21 @@ def _letter_candidates(queries: DataFrame, names: DataFrame, cutoff: float) -> D
     """Lossless candidates at any cutoff c: names that share one of the rare letters in both prefixes.
 
     Similarity >= c needs an overlap of at least c/2 of both lengths, and the other name cannot be shorter than
-    c/(2-c) of this one; so among the letters in rare-first order one of the first n - need + 1 is shared."""
+    c/(2-c) of this one; so among the letters in rare-first order one of the first n - need + 1 is shared. A
+    pair is reported at the first letter its prefixes share, hence once."""
     reach = cutoff / (2 - cutoff)
-    every = names.select("cand", F.explode(_tokens(F.col("cand"))).alias("tok"))
-    freq = every.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
+    freq = names.select(F.explode("ct").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
 
-    def prefix(df, col):
-        n = F.length(col)
-        need = F.ceil(F.lit(cutoff / 2) * n * F.lit(1 + reach) - F.lit(1e-9))
-        t = df.select(col, F.explode(_tokens(F.col(col))).alias("tok")).join(freq, "tok", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-        rare = t.withColumn("r", F.row_number().over(W.partitionBy(col).orderBy("f", "tok")))
-        return rare.filter(F.col("r") <= n - need + 1).select(col, "tok")
+    def prefix(df, col, tag):
+        need = F.ceil(F.lit(cutoff / 2 * (1 + reach)) * F.col(f"{tag}n") - F.lit(1e-9))
+        t = df.withColumn("tok", F.explode(f"{tag}t")).join(freq, "tok", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+        g = t.groupBy(col).agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("_o"), F.first(f"{tag}n").alias(f"{tag}n"), F.first(f"{tag}t").alias(f"{tag}t"))
+        return g.withColumn(f"{tag}p", F.transform(F.slice("_o", F.lit(1), (F.col(f"{tag}n") - need + 1).cast("int")), lambda o: o["tok"])).drop("_o")
 
-    return prefix(queries, "query").join(prefix(names, "cand"), "tok").select("query", "cand").distinct()
+    q = prefix(queries, "query", "q").withColumn("tok", F.explode("qp"))
+    n = prefix(names, "cand", "c").withColumn("tok", F.explode("cp"))
+    met = q.join(n, "tok").filter(F.get(F.array_intersect("qp", "cp"), F.lit(0)) == F.col("tok"))
+    return met.select("query", "qn", "qt", "cand", "cn", "ct")
 
 
 def best_match(queries: DataFrame, names: DataFrame, cutoff: float = 0.75) -> DataFrame:
@@ -76,18 +88,18 @@ def best_match(queries: DataFrame, names: DataFrame, cutoff: float = 0.75) -> Da
     ``queries`` has column query, ``names`` column cand. Three lossless tiers, each over what the last left
     open: equal names; names one deletion apart on either side, met through an equi-join on their deletion
     variants; and, for queries whose best score a farther name could still reach, the rare-letter candidates."""
-    q = materialize(queries.select("query").filter(F.col("query").isNotNull()).distinct(), "queries")
-    n = materialize(names.select("cand").filter(F.col("cand").isNotNull()).distinct(), "names")
+    q = materialize(_prepared(queries.filter(F.col("query").isNotNull()).select("query").distinct(), "query", "q"), "queries")
+    n = materialize(_prepared(names.filter(F.col("cand").isNotNull()).select("cand").distinct(), "cand", "c"), "names")
     same = q.join(n, q["query"] == n["cand"]).select("query", F.lit(1.0).alias("s"), "cand")
-    q = materialize(q.join(n, q["query"] == n["cand"], "left_anti"), "open")
-    near = (q.withColumn("k", F.explode(_drop_one(F.col("query")))).join(n.withColumn("k", F.explode(_drop_one(F.col("cand")))), "k")
-            .select("query", "cand").distinct())
+    q = q.join(n, q["query"] == n["cand"], "left_anti")
+    near = q.withColumn("k", F.explode(_drop_one(F.col("query")))).join(n.withColumn("k", F.explode(_drop_one(F.col("cand")))), "k")
+    near = near.select("query", "qn", "qt", "cand", "cn", "ct").distinct()
     tier = materialize(_score(near, cutoff), "near")
     # a pair not met above differs by two or more letters beyond its common subsequence
     longest = F.floor(F.length("query") * F.lit((2 - cutoff) / cutoff) + F.lit(1e-9))
     bound = F.lit(1.0) - F.lit(2.0) / (F.length("query") + longest)
     closed = tier.filter(F.col("s") > bound)
-    left = materialize(q.join(closed, "query", "left_anti"), "rest")
+    left = q.join(closed, "query", "left_anti")
     far = _score(_letter_candidates(left, n, cutoff), cutoff)
     out = same.unionByName(closed).unionByName(far)
     return out.select("query", F.col("cand").alias("match"), similarity(F.col("query"), F.col("cand")).alias("score"))

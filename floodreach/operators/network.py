@@ -29,7 +29,8 @@ def assign_blocks(edges: DataFrame, p: Params = Params(), base: float = 500.0, l
     best = wide.join(fits, ["k", "bx", "by"]).groupBy("fx", "fy").agg(F.max(F.struct("k", "bx", "by")).alias("b"))
     cell = (fine.join(best, ["fx", "fy"], "left")
             .withColumn("parts", F.when(F.col("b").isNull(), F.ceil(F.col("c") / p.block_cap)).otherwise(1)))
-    home = F.coalesce(F.concat_ws("/", "b.k", "b.bx", "b.by"), F.concat_ws("/", F.lit("s"), "fx", "fy", F.pmod(F.xxhash64("edge_id"), F.col("parts"))))
+    split = F.concat_ws("/", F.lit("s"), "fx", "fy", F.pmod(F.xxhash64("edge_id"), F.col("parts")))
+    home = F.when(F.col("b").isNull(), split).otherwise(F.concat_ws("/", "b.k", "b.bx", "b.by"))
     return e.join(cell, ["fx", "fy"]).select("edge_id", home.alias("block"))
 
 
