@@ -11,9 +11,11 @@ from ..functions.geometry import merge_lines
 from ..functions.rounding import half_even
 from ..params import Params
 from ..session import materialize
-from .common import distinct_values
+from .common import distinct_values, global_rank
 
 SCENARIO = ["threshold", "date", "mode"]
+MODES = ("pessimistic", "optimistic")
+_SRC_BITS = 24
 
 
 def assign_blocks(edges: DataFrame, p: Params = Params(), base: float = 500.0, levels: int = 6) -> DataFrame:
@@ -40,25 +42,32 @@ def length_mm(length_m) -> Column:
 
 
 def full_status(edges: DataFrame, status: DataFrame, scenarios: Column) -> DataFrame:
-    """Status of every edge in every (threshold, date); a missing one is unknown, never open."""
-    dense = edges.select("edge_id", F.explode(scenarios).alias("s")).select("edge_id", "s.threshold", "s.date")
+    """Status of every edge in every (threshold, date); a missing one is unknown, never open.
+
+    ``pos`` is the place of the pair in ``scenarios``, a short integer that stands for it in shuffles."""
+    dense = edges.select("edge_id", F.posexplode(scenarios).alias("pos", "s")).select("edge_id", "pos", "s.threshold", "s.date")
     return (dense.join(status.select("threshold", "date", "edge_id", "status"), ["threshold", "date", "edge_id"], "left")
             .withColumn("status", F.coalesce("status", F.lit("unknown"))))
 
 
-def build_graph(edges: DataFrame, status: DataFrame, modes=("pessimistic", "optimistic")) -> DataFrame:
-    """Undirected scenario graphs ``(threshold, date, mode, u, v, edge_id, w)`` from (edge, state) rows.
+def usable_links(edges: DataFrame, status: DataFrame, modes=MODES) -> DataFrame:
+    """Links of every scenario: scenario, threshold, date, mode, u, v, edge_id, w (and block, if assigned).
 
-    Pessimistic graphs hold roads seen open, optimistic ones every road not seen cut. Self-loops go, and of
-    parallel roads the shortest usable one stays (ties: smaller edge_id)."""
+    Pessimistic graphs hold roads seen open, optimistic ones every road not seen cut. Self-loops go; parallel
+    roads stay, which no shortest path minds."""
     usable = {"pessimistic": F.col("status") == "open", "optimistic": F.col("status") != "cut"}
-    ways = F.array_compact(F.array(*[F.when(usable[m], F.lit(m)) for m in modes]))
+    ways = F.array_compact(F.array(*[F.when(usable[m], F.struct(F.lit(MODES.index(m)).alias("i"), F.lit(m).alias("mode"))) for m in modes]))
     cols = [c for c in ("block",) if c in edges.columns]
     road = edges.filter(F.col("u") != F.col("v")).select(
         "edge_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), length_mm(F.col("length_m")).alias("w"), *cols)
-    j = status.select("threshold", "date", "edge_id", F.explode(ways).alias("mode")).join(road, "edge_id")
-    best = F.min(F.struct("w", "edge_id", *cols)).alias("b")
-    return j.groupBy(*SCENARIO, "u", "v").agg(best).select(*SCENARIO, "u", "v", "b.*")
+    j = status.select("pos", "threshold", "date", "edge_id", F.explode(ways).alias("m")).join(road, "edge_id")
+    return j.select((F.col("pos") * 2 + F.col("m.i")).alias("scenario"), "threshold", "date", "m.mode", "u", "v", "edge_id", "w", *cols)
+
+
+def build_graph(edges: DataFrame, status: DataFrame, modes=MODES) -> DataFrame:
+    """Simple scenario graphs: of parallel usable roads the shortest stays (ties: smaller edge_id)."""
+    links = usable_links(edges, status, modes)
+    return links.groupBy(*SCENARIO, "u", "v").agg(F.min(F.struct("w", "edge_id")).alias("b")).select(*SCENARIO, "u", "v", "b.*")
 
 
 def _contract(keys: list[str]):
@@ -137,56 +146,61 @@ def reachable_from(graph: DataFrame, nodes: DataFrame, sources: DataFrame, keys:
 
 def _relax_block(keys: list[str]):
     def run(links: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        """Relax one block until nothing changes; (distance, source) is packed into one integer."""
+        """Relax one block until nothing changes, touching only links at nodes that just improved."""
         n = len(links)
         ids, pos = np.unique(np.concatenate([links["u"].to_numpy(), links["v"].to_numpy(), seeds["node"].to_numpy()]), return_inverse=True)
-        src, rank = np.unique(seeds["src"].to_numpy(), return_inverse=True)
-        best = np.full(len(ids), np.iinfo(np.int64).max // 2)
-        np.minimum.at(best, pos[2 * n:], seeds["dist"].to_numpy() * len(src) + rank)
-        a, b, w = pos[:n], pos[n:2 * n], links["w"].to_numpy() * len(src)
-        while True:
-            before = best.copy()
-            np.minimum.at(best, b, best[a] + w)
-            np.minimum.at(best, a, best[b] + w)
-            if np.array_equal(before, best):
-                break
-        hit = best < np.iinfo(np.int64).max // 2
+        far = np.iinfo(np.int64).max // 2
+        best = np.full(len(ids), far)
+        np.minimum.at(best, pos[2 * n:], seeds["code"].to_numpy())
+        a, b, w = pos[:n], pos[n:2 * n], links["w"].to_numpy() << _SRC_BITS
+        fresh = best < far
+        while fresh.any():
+            i, j = np.flatnonzero(fresh[a]), np.flatnonzero(fresh[b])
+            new = best.copy()
+            np.minimum.at(new, b[i], best[a[i]] + w[i])
+            np.minimum.at(new, a[j], best[b[j]] + w[j])
+            fresh, best = new < best, new
+        hit = best < far
         head = seeds if len(seeds) else links
-        out = pd.DataFrame({"node": ids[hit], "dist": best[hit] // len(src), "src": src[best[hit] % len(src)]})
-        for k in reversed(keys):
-            out.insert(0, k, head[k].iloc[0])
-        return out
+        return pd.DataFrame({**{k: head[k].iloc[0] for k in keys}, "node": ids[hit], "code": best[hit]})
     return run
 
 
 def shortest_distances(graph: DataFrame, sources: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
     """Distance (mm) to the nearest source and which one, ties to the smaller source: keys, node, dist, src.
 
-    ``graph``: keys, block, u, v, w, read once per round, so it should be a written table. ``sources``: keys, node, present in the scenario's network even when all
-    their roads are cut. Each round relaxes whole blocks to a fixed point in tasks of bounded size, then blocks
-    exchange only nodes that improved and lie in several blocks. Rounds grow with the number of block borders
-    on a path, not with its number of junctions."""
+    ``graph``: keys, block, u, v, w, read once per round, so it should be a written table. ``sources``: keys, node,
+    present in the scenario's network even when all their roads are cut. Each round relaxes whole blocks to a
+    fixed point in tasks of bounded size, then blocks exchange only nodes that improved and lie in several
+    blocks. Rounds grow with the number of block borders on a path, not with its number of junctions.
+
+    Distance and source number travel as one integer, so that improvement is a hash ``min``."""
     keys = list(keys)
     on = [*keys, "node"]
     g = graph.select(*keys, "block", "u", "v", "w")
+    numbered = materialize(global_rank(sources.select("node").distinct(), [F.col("node").asc()], "no"), "sources")
+    if numbered.count() >= 1 << _SRC_BITS:
+        raise ValueError("too many sources for the packed distance")
     member = materialize(g.select(*keys, "block", F.explode(F.array("u", "v")).alias("node")).distinct(), "member")
     shared = member.groupBy(*on).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(*on)
-    known = materialize(sources.select(*on).distinct().select(*on, F.lit(0).cast("bigint").alias("dist"), F.col("node").alias("src")), "dist")
-    active = known
-    schema = known.select(*keys, "node", "dist", "src").schema
+    known = materialize(sources.select(*on).distinct().join(numbered, "node").select(*on, F.col("no").cast("bigint").alias("code")), "dist")
+    active, schema = known, known.schema
     for _ in range(max_rounds):
-        inbox = active.join(member, on).select(*keys, "block", "node", "dist", "src")
+        inbox = active.join(member, on).select(*keys, "block", "node", "code")
         links = g.join(inbox.select(*keys, "block").distinct(), [*keys, "block"], "left_semi")
-        found = (links.groupBy(*keys, "block").cogroup(inbox.groupBy(*keys, "block")).applyInPandas(_relax_block(keys), schema)
-                 .groupBy(*on).agg(F.min(F.struct("dist", "src")).alias("n")))
-        old = known.groupBy(*on).agg(F.min(F.struct("dist", "src")).alias("o"))
-        better = found.join(old, on, "left").filter(F.col("o").isNull() | (F.col("n") < F.col("o"))).select(*on, "n.*")
-        better = materialize(better, "better")
+        found = (links.groupBy(*keys, "block").cogroup(inbox.groupBy(*keys, "block")).applyInPandas(_relax_block(keys), schema))
+        both = found.select(*on, F.col("code").alias("new"), F.lit(None).cast("bigint").alias("old")).unionByName(
+            known.select(*on, F.lit(None).cast("bigint").alias("new"), F.col("code").alias("old")))
+        g2 = both.groupBy(*on).agg(F.min("new").alias("code"), F.min("old").alias("old"))
+        better = materialize(g2.filter(F.col("code").isNotNull() & (F.col("old").isNull() | (F.col("code") < F.col("old")))).select(*on, "code"), "better")
         known = known.unionByName(better)
         active = better.join(shared, on, "left_semi")
         if active.isEmpty():
             break
-    return known.groupBy(*on).agg(F.min(F.struct("dist", "src")).alias("b")).select(*on, "b.*")
+    best = known.groupBy(*on).agg(F.min("code").alias("code"))
+    no = F.col("code").bitwiseAND(F.lit((1 << _SRC_BITS) - 1)).cast("int")
+    return (best.withColumn("no", no).join(numbered.withColumnRenamed("node", "src"), "no")
+            .select(*on, F.shiftright("code", _SRC_BITS).alias("dist"), "src"))
 
 
 def shelter_by_junction(shelters: DataFrame) -> DataFrame:
@@ -197,15 +211,16 @@ def shelter_by_junction(shelters: DataFrame) -> DataFrame:
 def solve(edges: DataFrame, road_status: DataFrame, villages: DataFrame, shelters: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """Both graphs of every scenario and the distances over them."""
     axis = distinct_values(road_status, "threshold", "date")
-    blocks = assign_blocks(edges, p)
-    e = edges.select("edge_id", "u", "v", "length_m").join(blocks, "edge_id")
-    graph = materialize(build_graph(e, full_status(e, road_status, axis)), "scenarios")
+    e = edges.select("edge_id", "u", "v", "length_m").join(assign_blocks(edges, p), "edge_id")
+    graph = materialize(usable_links(e, full_status(edges, road_status, axis)), "scenarios")
     junctions = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     src = shelter_by_junction(shelters).select(F.col("node_id").alias("node")).join(junctions, "node", "left_semi")
-    modes = F.array(F.lit("pessimistic"), F.lit("optimistic"))
-    src = (src.withColumn("_s", F.explode(axis)).withColumn("mode", F.explode(modes))
-           .select("_s.threshold", "_s.date", "mode", "node"))
-    return graph, materialize(shortest_distances(graph, src, SCENARIO), "solved")
+    src = src.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.size(axis) * 2 - 1)))
+    d = shortest_distances(graph, src, ["scenario"])
+    which = F.get(axis, F.floor(F.col("scenario") / 2).cast("int"))
+    mode = F.when(F.col("scenario") % 2 == 0, MODES[0]).otherwise(MODES[1])
+    solved = d.withColumn("_s", which).select("_s.threshold", "_s.date", mode.alias("mode"), "node", "dist", "src")
+    return graph, materialize(solved, "solved")
 
 
 def village_status(solved: DataFrame, road_status: DataFrame, villages: DataFrame, shelters: DataFrame) -> DataFrame:
