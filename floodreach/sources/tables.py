@@ -102,11 +102,13 @@ def upsert_manifest(manifest: DataFrame, new: DataFrame, p: Params = Params()) -
 def register_flood_maps(cells: DataFrame, notes: DataFrame, root: str, p: Params = Params()) -> DataFrame:
     """Write flood cells (known ones only) under ``root`` and record them in the manifest beside them.
 
-    Only the (date, source) partitions present in ``cells`` are replaced. Rows are clustered by tile within a
-    partition so that later readers can skip row groups."""
+    Only the (date, source) partitions named in ``notes`` are replaced; a map without any known cell leaves a single
+    UNKNOWN marker row, so that it still replaces an earlier one. Rows are clustered by tile within a partition so
+    that later readers can skip row groups."""
     spark = cells.sparkSession
     tile = [F.floor(F.col("row") / p.tile_px), F.floor(F.col("col") / p.tile_px)]
-    (cells.filter(F.col("value") != 255).repartition("date", "source", *tile).sortWithinPartitions("date", "source", "row", "col")
+    marker = notes.select("date", "source", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(255).alias("value"))
+    (cells.filter(F.col("value") != 255).select("date", "source", "row", "col", "value").unionByName(marker).repartition("date", "source", *tile).sortWithinPartitions("date", "source", "row", "col")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "source").parquet(f"{root}/cells"))
     path = F.concat(F.lit("cells/date="), F.col("date").cast("string"), F.lit("/source="), F.col("source"))
     new = notes.select("date", "source", path.alias("path"), F.coalesce("note", F.lit("")).alias("note"))
