@@ -53,10 +53,10 @@ def _linked_cells(core: DataFrame, eps: float, side: float) -> DataFrame:
              .withColumn("bs", F.struct(F.col("b.cx").alias("sx"), F.col("b.cy").alias("sy"))))
     eps2, links = eps * eps, None
     for j in range(_STEPS + 1):
-        pairs = pairs.filter(_gap2("abox", "bbox") <= eps2)
-        sure = pairs.filter(_gap2("abox", "bbox", True) <= eps2).select("a", "b").distinct()
+        pairs = materialize(pairs.filter(_gap2("abox", "bbox") <= eps2).withColumn("sure", _gap2("abox", "bbox", True) <= eps2), "pairs")
+        sure = pairs.filter("sure").select("a", "b").distinct()
         links = sure if links is None else links.unionByName(sure)
-        pairs = pairs.filter(_gap2("abox", "bbox", True) > eps2).join(sure, ["a", "b"], "left_anti")
+        pairs = pairs.filter(~F.col("sure")).join(sure, ["a", "b"], "left_anti").drop("sure")
         if j == _STEPS:
             break
         kids = level(j + 1).select(F.struct("cx", "cy").alias("c"), F.struct(F.col("px").alias("sx"), F.col("py").alias("sy")).alias("ps"), F.struct("sx", "sy").alias("s"), "box")

@@ -182,7 +182,7 @@ def shortest_distances(graph: DataFrame, sources: DataFrame, keys: list[str], ma
     if numbered.count() >= 1 << _SRC_BITS:
         raise ValueError("too many sources for the packed distance")
     member = materialize(g.select(*keys, "block", F.explode(F.array("u", "v")).alias("node")).distinct(), "member")
-    shared = member.groupBy(*on).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(*on)
+    shared = materialize(member.groupBy(*on).agg((F.count(F.lit(1)) > 1).alias("shared")).filter("shared"), "shared")
     known = materialize(sources.select(*on).distinct().join(numbered, "node").select(*on, F.col("no").cast("bigint").alias("code")), "dist")
     active, schema = known, known.schema
     for _ in range(max_rounds):
@@ -192,9 +192,10 @@ def shortest_distances(graph: DataFrame, sources: DataFrame, keys: list[str], ma
         both = found.select(*on, F.col("code").alias("new"), F.lit(None).cast("bigint").alias("old")).unionByName(
             known.select(*on, F.lit(None).cast("bigint").alias("new"), F.col("code").alias("old")))
         g2 = both.groupBy(*on).agg(F.min("new").alias("code"), F.min("old").alias("old"))
-        better = materialize(g2.filter(F.col("code").isNotNull() & (F.col("old").isNull() | (F.col("code") < F.col("old")))).select(*on, "code"), "better")
-        known = known.unionByName(better)
-        active = better.join(shared, on, "left_semi")
+        better = g2.filter(F.col("code").isNotNull() & (F.col("old").isNull() | (F.col("code") < F.col("old")))).select(*on, "code")
+        better = materialize(better.join(shared, on, "left"), "better")
+        known = known.unionByName(better.drop("shared"))
+        active = better.filter("shared").drop("shared")
         if active.isEmpty():
             break
     best = known.groupBy(*on).agg(F.min("code").alias("code"))
@@ -272,7 +273,7 @@ def route_steps(tree: DataFrame, starts: DataFrame, keys: list[str]) -> DataFram
         jumps.append(twice)
     on = starts.select(*keys, "village_id", F.col("node_id").alias("node"))
     for jump in reversed(jumps):
-        on = on.unionByName(on.join(jump, [*keys, "node"]).select(*keys, "village_id", F.col("to").alias("node")))
+        on = materialize(on.unionByName(on.join(jump, [*keys, "node"]).select(*keys, "village_id", F.col("to").alias("node"))), "steps")
     return on.join(tree, [*keys, "node"])
 
 

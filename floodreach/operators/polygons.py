@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.classify import cell_y
+from ..functions.classify import cell_col, cell_row, cell_x, cell_y, inside_grid
+from ..functions.geometry import to_lonlat
 from ..params import Grid
 
 
@@ -81,6 +82,18 @@ def resample_nearest(source_cells: DataFrame, source_grid: Grid, grid: Grid, key
             .select(*keys, F.col("_r").alias("row"), F.col("_c").alias("col"), "value"))
 
 
+def resample_from_lonlat(source_cells: DataFrame, source_grid: Grid, grid: Grid, keys=("date",)) -> DataFrame:
+    """Nearest-neighbour resampling of a longitude/latitude raster onto the projected ``grid``.
+
+    Destination centres are generated in parallel, taken to the source projection and looked up by cell."""
+    i = F.col("id")
+    d = source_cells.sparkSession.range(grid.size).select(F.floor(i / grid.width).cast("int").alias("row"), F.pmod(i, F.lit(grid.width)).cast("int").alias("col"))
+    lon, lat = to_lonlat(cell_x(F.col("col"), grid), cell_y(F.col("row"), grid))
+    d = d.select("row", "col", cell_row(lat, source_grid).alias("_r"), cell_col(lon, source_grid).alias("_c"))
+    s = source_cells.filter(F.col("value") != 255).select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
+    return d.filter(inside_grid(F.col("_r"), F.col("_c"), source_grid)).join(s, ["_r", "_c"]).select(*keys, "row", "col", "value")
+
+
 def road_density(edges: DataFrame, nodes: DataFrame, polygons: DataFrame, area: DataFrame) -> DataFrame:
     """Road km per km2 of each area, densest first; a road counts where both its ends lie inside."""
     inside = points_in_polygons(nodes, polygons, "node_id")

@@ -65,7 +65,7 @@ def _dijkstra(adj, sources):
     return best
 
 
-@pytest.mark.parametrize("cap", [4, 10_000])
+@pytest.mark.parametrize("cap", [12, 10_000])
 def test_shortest_distances_match_heap_search(spark, cap):
     es = _random_graph(3)
     hub = [(f"h{i:03d}", 1000, i, 3.0 + i, 10.0, 10.0) for i in range(40)]      # one junction holding a third of the edges
@@ -260,6 +260,36 @@ def test_burn_and_resample(spark):
     assert out == want
 
 
+def test_resample_from_lonlat(spark):
+    src = spark.createDataFrame([("d", r, c, (r + c) % 2) for r in range(6) for c in range(6)], "date string, row int, col int, value int")
+    sg, g = Grid(91.0, 25.06, 6, 6, 0.01), Grid(298000.0, 2773000.0, 14, 12, 500.0)
+    got = {(r.row, r.col): r.value for r in polygons.resample_from_lonlat(src, sg, g).collect()}
+    from floodreach.functions.geometry import to_lonlat
+    centres = spark.createDataFrame([(r, c, 298000.0 + 500 * (c + 0.5), 2773000.0 - 500 * (r + 0.5)) for r in range(12) for c in range(14)], "row int, col int, x double, y double")
+    lon, lat = to_lonlat(F.col("x"), F.col("y"))
+    want = {}
+    for r in centres.withColumn("lon", lon).withColumn("lat", lat).collect():
+        sc, sr = int(np.floor((r.lon - 91.0) / 0.01)), int(np.floor((25.06 - r.lat) / 0.01))
+        if 0 <= sc < 6 and 0 <= sr < 6:
+            want[r.row, r.col] = (sr + sc) % 2
+    assert got == want and 0 < len(got) < 168
+
+
+def test_long_routes_stay_linear(spark):
+    """A 70-junction chain: many doublings, every step kept."""
+    import datetime as dt
+    day = dt.date(2022, 6, 1)
+    edges = spark.createDataFrame([(f"e{i:03d}", i, i + 1, 10.0, [(10.0 * i, 0.0), (10.0 * i + 10, 0.0)]) for i in range(70)], "edge_id string, u bigint, v bigint, length_m double, geom array<struct<x:double,y:double>>")
+    nodes = spark.createDataFrame([(i, 10.0 * i, 0.0) for i in range(71)], "node_id bigint, x double, y double")
+    rs = spark.createDataFrame([(0.2, day, f"e{i:03d}", "open") for i in range(70)], "threshold double, date date, edge_id string, status string")
+    v = spark.createDataFrame([("v", 0, False)], "village_id string, node_id bigint, boat_dependent boolean")
+    sh = spark.createDataFrame([("s", "S", 70, True)], "shelter_id string, name string, node_id bigint, road_reachable boolean")
+    graph, solved = network.solve(edges, rs, v, sh, Params(block_cap=40))
+    starts = v.select("village_id", "node_id", F.lit(0.2).alias("threshold"), F.lit(day).alias("date"))
+    r = network.routes_to_shelters(graph, solved, starts, edges, nodes, sh, ["threshold", "date"]).first()
+    assert r.length_m == 700 and [p.x for p in r.geom] == [10.0 * i for i in range(71)]
+
+
 def test_split_by_hash_is_exact(spark):
     from floodreach.operators.evaluate import split_by_hash
     df = spark.createDataFrame([(i, i % 3) for i in range(301)], "id bigint, label int")
