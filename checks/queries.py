@@ -609,6 +609,11 @@ def _(v):
     return readpath.peak_day(v.status)
 
 
+@query("population_top10", sql("SELECT village_id, name, population FROM villages ORDER BY population DESC NULLS LAST, village_id LIMIT 10"))
+def _(v):
+    return readpath.largest_villages(v.villages, 10)
+
+
 def _routes(v):
     return v.status.filter(F.col("status") == "connected").select("village_id", "date", F.concat(F.lit("s"), F.dayofmonth("date").cast("string")).alias("shelter_id"), F.concat(F.lit("Shelter "), F.dayofmonth("date").cast("string")).alias("shelter_name"), (F.dayofmonth("date") * 137).cast("bigint").alias("length_m"))
 

@@ -178,7 +178,7 @@ def shortest_distances(graph: DataFrame, sources: DataFrame, keys: list[str], ma
     keys = list(keys)
     on = [*keys, "node"]
     g = graph.select(*keys, "block", "u", "v", "w")
-    numbered = materialize(global_rank(sources.select("node").distinct(), [F.col("node").asc()], "no"), "sources")
+    numbered = global_rank(sources.select("node").distinct(), [F.col("node").asc()], "no")
     if numbered.count() >= 1 << _SRC_BITS:
         raise ValueError("too many sources for the packed distance")
     member = materialize(g.select(*keys, "block", F.explode(F.array("u", "v")).alias("node")).distinct(), "member")

@@ -45,6 +45,11 @@ def routes_available(routes: DataFrame, asked: DataFrame) -> DataFrame:
     return j.filter(F.col("date") <= F.col("day")) if "date" in routes.columns else j
 
 
+def largest_villages(villages: DataFrame, k: int = 10) -> DataFrame:
+    """Top-k report by population."""
+    return villages.orderBy(F.col("population").desc_nulls_last(), "village_id").limit(k).select("village_id", "name", "population")
+
+
 def village_card(summary: DataFrame, routes: DataFrame, days: DataFrame, lang: str = "en") -> DataFrame:
     """Panel of each isolated village on each asked day (village_id, day): route, supply left, notice."""
     usable = (routes_available(routes, days).groupBy("village_id", "day")
