@@ -1,27 +1,21 @@
 """Session settings and the one way this package cuts lineage."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
-
-    Only a local master, where driver and executors are one process, gets a folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder every executor can reach: as named by the cluster in ``spark.checkpoint.dir``, else the context's checkpoint folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="floodreach-")
-    return _local_dirs[app]
+    return path.rstrip("/")
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -30,6 +24,12 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     The result survives lost executors, has a short plan and, unlike a cached frame, an exact size on
     disk, so the planner's broadcast decision is taken on a measured number."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that ``materialize`` wrote for this application. Call it once results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
