@@ -1,9 +1,10 @@
 """Registered queries of the pipeline operators, each over its whole table, and their SQL counterparts where SQL can state them."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, urlfilter
+from . import bpe, decontaminate, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for an outside block list: the hosts of the corpus whose MD5 begins with 0."""
     pages = _table(spark, sf_dir, "pages")
@@ -50,5 +55,6 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host <> '' AND starts_wi
 
 REGISTRY = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
+    "op3_bpe": (op3_bpe, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
 }
