@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, urlfilter
+from . import bpe, decontaminate, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.judge(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for an outside block list: the hosts of the corpus whose MD5 begins with 0."""
     pages = _table(spark, sf_dir, "pages")
@@ -56,5 +60,6 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host <> '' AND starts_wi
 REGISTRY = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op3_bpe": (op3_bpe, None),
+    "op9_simhash": (op9_simhash, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
 }
