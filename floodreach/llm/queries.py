@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, quality_rules, simhash, urlfilter
+from . import bpe, decontaminate, quality_rules, secrets, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.judge(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -92,6 +96,7 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host <> '' AND starts_wi
 REGISTRY = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op3_bpe": (op3_bpe, None),
+    "op7_secrets": (op7_secrets, None),
     "op8_quality_rules": (op8_quality_rules, OP8_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
