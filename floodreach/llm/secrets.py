@@ -81,10 +81,10 @@ def _random_strings(rng: np.random.Generator) -> list[str]:
 
 
 def _identifiers(words: list[str], rng: np.random.Generator) -> list[str]:
-    """Words as they are and joined in the ways of identifiers, paths and version strings; rulers and alphabets."""
+    """Words as they are and joined in the ways of identifiers, paths and version strings; rulers of one character."""
     pool = sorted({w for w in words if 2 <= len(w) <= 24})
     out = [w for w in pool if len(w) >= 8]
-    out += [c * int(n) for c in _ALPHABET for n in rng.integers(MIN_RUN, 80, 20)] + [_ALPHABET[:26], _ALPHABET[26:52], "0123456789" * 3] * 20
+    out += [c * int(n) for c in _ALPHABET for n in rng.integers(MIN_RUN, 80, 20)]
     for i in range(RANDOM_STRINGS):
         own = [pool[j] for j in rng.integers(0, len(pool), rng.integers(3, 7))]
         joined = ["_".join(own), "-".join(own), "/".join(own), "".join(w.capitalize() for w in own), "".join(own), "_".join(own).upper(), f"{'-'.join(own)}-{rng.integers(1, 2030)}"][i % 7]
