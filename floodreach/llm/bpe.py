@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import scan
 
-STATES, PAIRS, PIECES = 1 << 18, 1 << 19, 1 << 18
+STATES, PAIRS, PIECES, SHORT = 1 << 17, 1 << 19, 1 << 18, 64
 CHUNK = 1 << 14  # ids decoded at a time
 _NEVER, _NODE_BITS = 1 << 62, 20
-_NODE = (1 << _NODE_BITS) - 1
+_NODE, _ASKED = (1 << _NODE_BITS) - 1, (1 << 21) - 1
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -72,6 +72,7 @@ class Transducer:
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.held: list[tuple[int, ...]] = [()]
         self.longer: dict[int, int] = {}  # held << _NODE_BITS | token -> held
+        self.asked = bytearray(_ASKED + 1)  # hashed transitions asked for once
         self._set((-1, 0))
 
     def _set(self, key: tuple) -> int:
@@ -185,16 +186,43 @@ class Transducer:
         result = self.steps[state << 8 | byte] = self._set(tuple(after)), out
         return result
 
+    def _rest(self, state: int, rest: bytes) -> tuple[int, ...]:
+        """Ids still to come after ``state``, without determinising the sets on the way: for the ends of rare pieces."""
+        last, *codes = self.sets[state]
+        child, ends, inner, stable, whole = self.child, self.ends, self.inner, self.stable, None
+        members = [(self.held[code >> _NODE_BITS], code & _NODE) for code in codes]
+        for byte in rest:
+            after, whole = [], None
+            for held, node in members:
+                to = child.get(node << 8 | byte)
+                if to is not None:
+                    if inner[to]:
+                        after.append((held, to))
+                    if whole is None and ends[to] >= 0 and stable(held[-1] if held else last, ends[to]):
+                        whole = (*held, ends[to])
+            after.append((whole, 0))
+            members = after
+        return whole
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one piece of the split pattern. A piece that is a token stands for itself."""
+        """Ids of one piece of the split pattern. A piece that is a token stands for itself.
+
+        A transition is determinised when it is asked for a second time; the first time, a short piece is read to its end as is."""
         alone = self.ranks.get(piece)
         if alone is not None:
             return (alone,)
         if len(self.sets) > STATES:
             self._restart()
-        state, ids, steps = 0, [], self.steps
-        for byte in piece:
-            step = steps.get(state << 8 | byte) or self._step(state, byte)
+        state, ids, steps, asked = 0, [], self.steps, self.asked
+        short = len(piece) <= SHORT
+        for at, byte in enumerate(piece):
+            key = state << 8 | byte
+            step = steps.get(key)
+            if step is None:
+                if short and not asked[key * 0x9E3779B1 >> 7 & _ASKED]:
+                    asked[key * 0x9E3779B1 >> 7 & _ASKED] = 1
+                    return (*ids, *self._rest(state, piece[at:]))
+                step = self._step(state, byte)
             state = step[0]
             if step[1]:
                 ids.extend(step[1])
