@@ -188,5 +188,8 @@ def judge(docs: DataFrame) -> DataFrame:
     found = find(docs)
     shown = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("spans", lambda x: x["kind"] != KINDS[3])
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", shown), ",").alias("spans"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", shown), ",").alias("spans"))
