@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, quality_model, quality_rules, secrets, simhash, urlfilter
+from . import bpe, chat, decontaminate, langid, licences, quality_model, quality_rules, secrets, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.judge(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -40,6 +44,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.judge(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id bigint, turn bigint, role string, text string")
@@ -118,8 +126,10 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host <> '' AND starts_wi
 
 REGISTRY = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
+    "op2_licences": (op2_licences, licences.sql()),
     "op3_bpe": (op3_bpe, None),
     "op4_quality": (op4_quality, None),
+    "op5_language": (op5_language, None),
     "op6_chat": (op6_chat, OP6_SQL),
     "op7_secrets": (op7_secrets, None),
     "op8_quality_rules": (op8_quality_rules, OP8_SQL),
