@@ -102,7 +102,7 @@ def _meetings(bits: np.ndarray, sizes: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, data, offsets = batch.column(0), *scan.buffers(batch.column(1))
+            data, offsets = scan.buffers(batch.column(2))
             for a, b in scan.slices(offsets):
                 w = _Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 found: list[tuple[int, int, np.uint64]] = []
@@ -118,7 +118,7 @@ def _meetings(bits: np.ndarray, sizes: list[int]):
                 found.sort(key=lambda x: (x[0], x[1]))
                 counts = scan.per_row(w.row[np.array([x[0] for x in found], np.int64)], b - a)
                 meet = pa.array([w.meeting(i, size, h, AROUND if size == GRAM else 0) for i, size, h in found], _MEETING)
-                yield pa.record_batch([ids.slice(a, b - a), pa.array(w.count), scan.list_array(meet, counts)], ["doc_id", "n_words", "meetings"])
+                yield pa.record_batch([*[batch.column(i).slice(a, b - a) for i in (0, 1)], pa.array(w.count), scan.list_array(meet, counts)], ["doc_id", "text_key", "n_words", "meetings"])
     return run
 
 
@@ -151,12 +151,14 @@ def _agree(a: Column, b: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, hits, items): texts has a row ``rid`` for each document row with doc_id and n_words; hits has rid, start and
+    """(texts, hits, items): texts has a row ``rid`` for each document row with doc_id, text_key
+    (a hash of the text) and n_words; hits has rid, start and
     end of runs of hit words (end exclusive, runs may overlap); items has the distinct rid, item_id pairs."""
     windows = benchmark_windows(benchmark)
     bits, sizes = _bloom(windows)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_meetings(bits, sizes), f"doc_id {kind}, n_words bigint, meetings array<{_MEETING_DDL}>")
+    inputs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
+    texts = inputs.mapInArrow(_meetings(bits, sizes), f"doc_id {kind}, text_key bigint, n_words bigint, meetings array<{_MEETING_DDL}>")
     texts = materialize(texts.withColumn("rid", F.monotonically_increasing_id()), "meetings")
     context = windows.select(F.col("need"), F.col("at.hash").alias("hash"), F.col("at.gram").alias("gram"), F.col("at.left").alias("ileft"), F.col("at.right").alias("iright"), F.col("item_id"))
     key = ["hash", "gram", "need", "ileft", "iright"]
@@ -168,11 +170,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
     met = met.select("rid", "ctx", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("size") + F.col("r")).alias("end"))
     met = materialize(met, "hits")
     items = met.select("rid", "ctx").distinct().join(context.select("ctx", "item_id").distinct(), "ctx").select("rid", "item_id").distinct()
-    return texts.select("rid", "doc_id", "n_words"), met.select("rid", "start", "end").distinct(), items
+    return texts.select("rid", "doc_id", "text_key", "n_words"), met.select("rid", "start", "end").distinct(), items
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document row."""
+    """doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated for every document row."""
     texts, hits, items = contamination(docs, benchmark)
     order = W.partitionBy("rid").orderBy("start", "end")
     seen = F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -182,5 +184,11 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
     hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("bigint"))
     out = texts.join(n_hit.join(listed, "rid"), "rid", "left")
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+    return out.select("doc_id", "text_key", "n_words", hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
                       ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated rows."""
+    bad = materialize(judge(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")

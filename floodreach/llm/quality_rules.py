@@ -117,7 +117,7 @@ def boilerplate(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFram
 
 
 def verdicts(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """doc_id, text_key, the base counts, base_failed, n_removed_words and kept of every row."""
+    """doc_id, host, text_key, the base counts, base_failed, n_removed_words and kept of every row."""
     rows = materialize(measured(docs, host).withColumn("rid", F.monotonically_increasing_id()), "measured")
     bad = materialize(boilerplate(rows, max_documents), "boilerplate")
     lines = rows.select("rid", "host", F.inline("lines")).select("rid", F.xxhash64("host", "line").alias("key"), "words")
@@ -125,10 +125,12 @@ def verdicts(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOC
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     gone = F.coalesce(F.col("removed"), F.lit(0).cast("bigint"))
     depleted = F.col("n_words") - gone < F.lit(KEEP_SHARE) * F.col("n_words")
-    return rows.drop("lines", "host").join(removed, "rid", "left").select("doc_id", "text_key", *_COUNTS, failed.alias("base_failed"), gone.alias("n_removed_words"), (~failed & ~depleted).alias("kept"))
+    return rows.drop("lines").join(removed, "rid", "left").select("doc_id", "host", "text_key", *_COUNTS, failed.alias("base_failed"), gone.alias("n_removed_words"), (~failed & ~depleted).alias("kept"))
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``docs`` without the rejected rows; rows of one doc_id and text share a verdict unless their hosts differ, then any kept one keeps all."""
-    good = materialize(verdicts(docs, host).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")), "kept")
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_doc"]) & (F.xxhash64(docs["text"]) == good["_key"]), "left_semi")
+    """``docs`` without the rejected rows."""
+    bad = verdicts(docs, host).filter("not kept").select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("text_key").alias("_key")).distinct()
+    bad = materialize(bad, "rejected")
+    same = docs["doc_id"].eqNullSafe(bad["_doc"]) & docs[host].cast("string").eqNullSafe(bad["_host"]) & (F.xxhash64(docs["text"]) == bad["_key"])
+    return docs.join(bad, same, "left_anti")
