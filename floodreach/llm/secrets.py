@@ -5,7 +5,7 @@ Markov models; where the likelihood ratio per character says "random", the run i
 transitions in labelled samples: values behind the base patterns and seeded random strings of common alphabets on one side,
 words of the corpus and identifiers composed of them on the other. The limit lies between the samples held back.
 
-Scale: training reads the texts of at most ``TRAIN_DOCS`` documents (those of smallest id hash, up to ``TRAIN_CHARS`` characters
+Scale: training reads the texts of at most about ``TRAIN_DOCS`` documents (chosen by id hash, up to ``TRAIN_CHARS`` characters
 each), scanning is one pass with a table of some 4,500 numbers, without a shuffle. Every text is scanned whole.
 
 Defined cases: null is the empty text; without any trainable text the models rest on the random strings and a few fixed words;
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import scan
+from .sample import sample
 
 KINDS = ["assign", "access", "hex", "random"]
 # The base patterns and their least lengths
@@ -110,16 +111,16 @@ def fit(texts: list[str]) -> Model:
     held = [[x[i] for i in o if not i % 3] for x, o in zip((secret, plain), order)]
     model = Model(_transitions(train[0]) - _transitions(train[1]), 0.0)
     low = np.quantile([model.score(x) for x in held[0]], 0.02)
-    high = max([model.score(x) for x in held[1] if len(x) >= MIN_RUN], default=0.0)
-    model.limit = max(0.0, (low + high) / 2, high + 0.1)  # no ordinary sample may pass
+    high = np.quantile([model.score(x) for x in held[1] if len(x) >= MIN_RUN] or [0.0], 0.99)
+    model.limit = float(max(0.0, (low + high) / 2))
     return model
 
 
 def train(docs: DataFrame) -> Model:
     """The models, from a bounded sample of documents."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= TRAIN_CHARS)
-    sample = own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).select("text").collect()
-    return fit([r.text for r in sample])
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    chosen = sample(own, own.count(), TRAIN_DOCS, "doc_id").filter(F.length("text") <= TRAIN_CHARS)
+    return fit(sorted(r["text"] for r in chosen.collect()))
 
 
 def spans(text: str, model: Model) -> list[tuple[int, int, int]]:
@@ -183,9 +184,9 @@ def redact(docs: DataFrame, model: Model | None = None, mask: str = "[secret]")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row."""
-    found = find(docs)
+    found = find(docs, model)
     shown = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("spans", lambda x: x["kind"] != KINDS[3])
 
