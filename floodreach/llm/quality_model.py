@@ -5,7 +5,7 @@ and a softmax layer over it gives the class. Vectors and layer are trained toget
 numpy. With two classes the score depends on vectors only through their product with the layer, so scoring sums one number
 per feature.
 
-Scale: training uses at most ``TRAIN_DOCS`` labelled documents, those of smallest id hash, whatever the size of the tables.
+Scale: training uses about ``TRAIN_DOCS`` labelled documents, chosen by id hash, whatever the size of the tables.
 Scoring is one pass over all whole texts without a shuffle, with a table of ``BUCKETS`` numbers.
 
 Defined cases: a null or empty text has the score of the intercept; documents with several labels train with the mean, rounded;
@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import scan
+from .sample import sample
 
 GRAMS, BUCKETS_LOG2, WIDTH = (3, 4, 5), 17, 8
 BUCKETS = 1 << BUCKETS_LOG2
 TRAIN_DOCS, EPOCHS, BATCH, RATE, SEED = 4000, 6, 16, 3.0, 11
+MAX_TRAIN_CHARS = 100_000  # longer texts are scored like any other, but not trained on
 HOLD_MOD = 5  # a remainder of 0 is held out
 LIMIT = 0.3
 
@@ -114,12 +116,12 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Fit on at most ``TRAIN_DOCS`` labelled documents that are not held out."""
+    """Fit on about ``TRAIN_DOCS`` labelled documents that are not held out."""
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("_label"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
-    rows = sorted(texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    chosen = sample(own, own.count(), TRAIN_DOCS, "doc_id")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= MAX_TRAIN_CHARS)
+    rows = sorted(texts.join(chosen, "doc_id").limit(2 * TRAIN_DOCS).collect(), key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [min(1, max(0, r["_label"])) for r in rows])
 
 
