@@ -82,36 +82,38 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[pa.Buffer, np.ndarray, np.
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def _format(batches):
-    task, made = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        _, offsets = scan.buffers(batch.column(2))
-        for a, b in scan.slices(offsets):
-            conv, role, text = (batch.column(i).slice(a, b - a) for i in range(3))
-            buffer, at, t_start, t_end = assemble(role, text)
-            code = conv.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
-            new = np.concatenate([[True], code[1:] != code[:-1]])
-            within = at[:-1] - at[np.maximum.accumulate(np.where(new, np.arange(len(code)), 0))]
-            new[1:] |= within[1:] // PART != within[:-1] // PART
-            first = np.flatnonzero(new)
-            cuts = np.concatenate([at[first], at[-1:]])
-            parts = pa.StringArray.from_buffers(len(first), pa.py_buffer(cuts.astype(np.int32)), buffer)
-            said = np.asarray([r == "assistant" for r in role.to_pylist()])
-            own = np.cumsum(new) - 1
-            spans = pa.StructArray.from_arrays([pa.array((x - cuts[own])[said]) for x in (t_start, t_end)], fields=list(_SPAN))
-            loss = scan.list_array(spans, scan.per_row(own[said], len(first)))
-            turns = np.diff(np.concatenate([first, [len(code)]]))
-            number = (task << 32) + made + np.arange(len(first))
-            made += len(first)
-            yield pa.record_batch([conv.take(pa.array(first)), pa.array(number.astype(np.int64)), pa.array(turns.astype(np.int64)), parts, loss], ["conv_id", "part", "n_turns", "formatted", "loss"])
-
-
-def format_conversations(conversations: DataFrame) -> DataFrame:
+def _formatter(size: int):
+    def run(batches):
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            _, offsets = scan.buffers(batch.column(2))
+            for a, b in scan.slices(offsets):
+                conv, role, text = (batch.column(i).slice(a, b - a) for i in range(3))
+                buffer, at, t_start, t_end = assemble(role, text)
+                code = conv.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                new = np.concatenate([[True], code[1:] != code[:-1]])
+                within = at[:-1] - at[np.maximum.accumulate(np.where(new, np.arange(len(code)), 0))]
+                new[1:] |= within[1:] // size != within[:-1] // size
+                first = np.flatnonzero(new)
+                cuts = np.concatenate([at[first], at[-1:]])
+                parts = pa.StringArray.from_buffers(len(first), pa.py_buffer(cuts.astype(np.int32)), buffer)
+                said = np.asarray([r == "assistant" for r in role.to_pylist()])
+                own = np.cumsum(new) - 1
+                spans = pa.StructArray.from_arrays([pa.array((x - cuts[own])[said]) for x in (t_start, t_end)], fields=list(_SPAN))
+                loss = scan.list_array(spans, scan.per_row(own[said], len(first)))
+                turns = np.diff(np.concatenate([first, [len(code)]]))
+                number = (task << 32) + made + np.arange(len(first))
+                made += len(first)
+                yield pa.record_batch([conv.take(pa.array(first)), pa.array(number.astype(np.int64)), pa.array(turns.astype(np.int64)), parts, loss], ["conv_id", "part", "n_turns", "formatted", "loss"])
+    return run
+
+
+def format_conversations(conversations: DataFrame, size: int = PART) -> DataFrame:
     """conv_id, part (ascending within a conversation), n_turns, formatted and loss: byte spans of assistant texts in ``formatted``."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(_format, f"conv_id {kind}, part bigint, n_turns bigint, formatted string, loss array<struct<start:bigint,end:bigint>>")
+    return rows.mapInArrow(_formatter(size), f"conv_id {kind}, part bigint, n_turns bigint, formatted string, loss array<struct<start:bigint,end:bigint>>")
 
 
 def unescape(data: bytes) -> bytes:
