@@ -33,17 +33,18 @@ CTES = {
         l_partkey%h AS r, (l_suppkey*7+l_linenumber)%64 AS c, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem, c))""",
     "hits": "SELECT d, source, r, c, arg_max(value, (l_orderkey,l_linenumber,l_partkey,l_suppkey,value)) AS value FROM hits0 GROUP BY ALL",
     "cells": """SELECT DATE '2022-06-01'+d::INT AS date, source, r::INT AS row, c::INT AS col, value::INT AS value FROM (
-        SELECT * FROM hits UNION ALL SELECT d, 'dem_estimate', r, c, b FROM lattice WHERE (r+c)%5<>0)""",
+        SELECT * FROM hits UNION ALL SELECT d, 'dem_estimate', r, c, b FROM lattice WHERE (r+c)%5<>0
+        UNION ALL SELECT DISTINCT 10, unnest(['sentinel1','unosat']), p_partkey%h, p_size%64, 255 FROM part, c)""",
     "merged": """SELECT date, row, col, arg_min(value, k) AS value, min(k)::INT AS source_rank FROM (
         SELECT *, CASE source WHEN 'sentinel1' THEN 0 WHEN 'unosat' THEN 1 WHEN 'dem_estimate' THEN 2 ELSE 3 END AS k FROM cells WHERE value<>255) GROUP BY ALL""",
-    "summary": f"""SELECT date, string_agg(DISTINCT s, '+' ORDER BY s) AS src, {rint("100.0::DOUBLE*sum((value=1)::INT)/(64*h)", 2)} AS flooded_pct,
-        {rint("100.0::DOUBLE*sum((value=0)::INT)/(64*h)", 2)} AS dry_pct, {rint("100.0::DOUBLE*(64*h-count(*))/(64*h)", 2)} AS unknown_pct
-        FROM (SELECT *, source_rank::VARCHAR AS s FROM merged), c GROUP BY date, h""",
+    "summary": f"""SELECT date, coalesce(string_agg(DISTINCT s, '+' ORDER BY s), '') AS src, {rint("100.0::DOUBLE*coalesce(sum((value=1)::INT), 0)/(64*h)", 2)} AS flooded_pct,
+        {rint("100.0::DOUBLE*coalesce(sum((value=0)::INT), 0)/(64*h)", 2)} AS dry_pct, {rint("100.0::DOUBLE*(64*h-count(value))/(64*h)", 2)} AS unknown_pct
+        FROM dates LEFT JOIN (SELECT *, source_rank::VARCHAR AS s FROM merged) USING (date), c GROUP BY date, h""",
     "coverage": """SELECT date, replace(replace(replace(replace(src,'0','sentinel1'),'1+','unosat+'),'2','dem_estimate'),'3','modis') AS s0, flooded_pct, dry_pct, unknown_pct FROM summary""",
     "points": """SELECT edge_id, k, x0+(x1-x0)*t AS x, y0+(y1-y0)*t AS y, m FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (len*k/(m-1))/len)) AS t FROM (
         SELECT *, unnest(range(m))::INT AS k FROM (SELECT *, greatest(2, ceil(len/20.0::DOUBLE)::INT+1) AS m FROM edges)))""",
     "pcells": "SELECT edge_id, k, x, y, m, floor((h*160.0::DOUBLE-y)/160.0::DOUBLE)::INT AS row, floor(x/160.0::DOUBLE)::INT AS col FROM points, c",
-    "dates": "SELECT DISTINCT date FROM merged",
+    "dates": "SELECT DISTINCT date FROM cells",
     "frac": """SELECT date, edge_id, sum((value=1)::INT)::DOUBLE/count(*) AS ff, sum((value=255)::INT)::DOUBLE/count(*) AS fu FROM (
         SELECT d.date, p.edge_id, coalesce(g.value, 255) AS value FROM pcells p CROSS JOIN dates d LEFT JOIN merged g ON g.date=d.date AND g.row=p.row AND g.col=p.col) GROUP BY ALL""",
     "road_status": f"""SELECT threshold, date, edge_id, {rint("ff", 3)} AS frac_flooded, {rint("fu", 3)} AS frac_unknown,
@@ -103,7 +104,7 @@ def fold(source: str) -> str:
 CTES["tfold"] = fold("tin")
 CTES["vfold"] = fold("vin")
 CTES["tsum"] = """SELECT f.village_id, v.name, v.population, outcome, last_connected, first_isolated, isolated_from_earliest, reconnected, safe_exit_date, n_dates_isolated, isolated_from_earliest+7 AS aid_deadline,
-    CASE WHEN outcome='isolated' THEN (row_number() OVER (PARTITION BY outcome ORDER BY isolated_from_earliest+7 NULLS LAST, population DESC NULLS LAST, f.village_id))::INT END AS urgency_rank,
+    CASE WHEN outcome='isolated' THEN (row_number() OVER (PARTITION BY outcome ORDER BY isolated_from_earliest+7 NULLS LAST, population DESC NULLS LAST, f.village_id))::BIGINT END AS urgency_rank,
     CASE WHEN outcome<>'isolated' THEN '' WHEN last_connected IS NULL THEN 'isolated on or before '||strftime(first_isolated,'%d %b') ELSE 'isolated between '||strftime(isolated_from_earliest,'%d %b')||' and '||strftime(first_isolated,'%d %b') END AS isolation_range
     FROM tfold f LEFT JOIN villages v USING (village_id)"""
 

@@ -47,7 +47,7 @@ def _(v):
     return raster.merge_by_date(v.cells, ["sentinel1", "unosat"])
 
 
-@query("coverage", sql("SELECT date, replace(s0, '0', 'sentinel1') AS sources, flooded_pct, dry_pct, unknown_pct FROM (SELECT date, CASE WHEN src='0+1+2+3' THEN 'sentinel1+unosat+dem_estimate+modis' ELSE s0 END AS s0, flooded_pct, dry_pct, unknown_pct FROM coverage JOIN summary USING (date, flooded_pct, dry_pct, unknown_pct))"))
+@query("coverage", sql("SELECT date, replace(s0, '0', 'sentinel1') AS sources, flooded_pct, dry_pct, unknown_pct FROM (SELECT date, CASE WHEN src='' THEN '' WHEN src='0+1+2+3' THEN 'sentinel1+unosat+dem_estimate+modis' ELSE s0 END AS s0, flooded_pct, dry_pct, unknown_pct FROM coverage JOIN summary USING (date, flooded_pct, dry_pct, unknown_pct))"))
 def _(v):
     return raster.coverage(merged(v), v.grid, v.cells.select("date"))
 
@@ -55,12 +55,12 @@ def _(v):
 @query("go_nogo", sql("""SELECT count(*) AS usable_dates, arg_max(date, (flooded_pct, -datediff('day', DATE '1970-01-01', date))) AS peak, min(date) < arg_max(date, (flooded_pct, -datediff('day', DATE '1970-01-01', date))) AS before_peak,
     max(date) > arg_max(date, (flooded_pct, -datediff('day', DATE '1970-01-01', date))) AS after_peak, count(*)>=4 AND min(date) < arg_max(date, (flooded_pct, -datediff('day', DATE '1970-01-01', date))) AND max(date) > arg_max(date, (flooded_pct, -datediff('day', DATE '1970-01-01', date))) AS go FROM summary WHERE unknown_pct<50"""))
 def _(v):
-    return raster.go_no_go(raster.coverage(merged(v), v.grid))
+    return raster.go_no_go(raster.coverage(merged(v), v.grid, v.cells))
 
 
 @query("observed_dates", sql("SELECT date FROM dates"))
 def _(v):
-    return raster.observed_dates(merged(v))
+    return raster.observed_dates(v.cells)
 
 
 @query("manifest_upsert", sql("""SELECT date, source, CASE WHEN source='unosat' THEN 'new/' ELSE 'old/' END || source AS path, CASE WHEN source='unosat' THEN 'replaced' ELSE '' END AS note FROM (SELECT DISTINCT date, source FROM cells)"""))
@@ -102,11 +102,12 @@ def _(v):
     return documents.to_geojson(moved, ["date", "edge_id"], simplify_m=10.0)
 
 
-@query("meta_document", sql("SELECT d AS date, unknown_pct FROM (SELECT strftime(date, '%Y-%m-%d') AS d, unknown_pct FROM summary)"))
+@query("meta_document", sql("SELECT 'synthetic' AS data_label, 0.2::DOUBLE AS cut_threshold, (count(*) OVER ())::INT AS n_dates, CASE src WHEN '' THEN '' ELSE 'sentinel1+unosat+dem_estimate+modis' END AS sources, strftime(date, '%Y-%m-%d') AS date, unknown_pct FROM summary"))
 def _(v):
-    doc = documents.meta_document(raster.coverage(merged(v), v.grid), v.grid, "synthetic").select(F.to_json(F.struct("*")).alias("j"))
-    back = F.from_json("j", "unknown_pct map<string,double>")["unknown_pct"]
-    return doc.select(F.explode(back).alias("date", "unknown_pct"))
+    doc = documents.meta_document(raster.coverage(merged(v), v.grid, v.cells), v.grid, "synthetic").select(F.to_json(F.struct("*")).alias("j"))
+    back = F.from_json("j", "data_label string, unknown_pct map<string,double>, sources map<string,string>, cut_threshold double, dates array<string>")
+    doc = doc.select(back.alias("m")).select("m.*")
+    return doc.select("data_label", "cut_threshold", F.size("dates").alias("n_dates"), "sources", F.explode("unknown_pct").alias("date", "unknown_pct")).withColumn("sources", F.col("sources")[F.col("date")])
 
 
 @query("file_inventory")
@@ -136,8 +137,9 @@ def _(v):
 
 # --- cells ---------------------------------------------------------------------------------------------------
 
-@query("agreement", sql(f"""SELECT date, count(*) AS overlap_px, {rint("100.0::DOUBLE*sum((a=b)::INT)/count(*)", 1)} AS same_class_pct, {rint("sum((a=1 AND b=1)::INT)::DOUBLE/nullif(sum((a=1 OR b=1)::INT),0)", 3)} AS flood_iou FROM (
-    SELECT x.date, x.value AS a, y.value AS b FROM cells x JOIN cells y USING (date, row, col) WHERE x.source='unosat' AND y.source='sentinel1' AND x.value<>255 AND y.value<>255) GROUP BY date"""))
+@query("agreement", sql(f"""SELECT date, count(a) AS overlap_px, {rint("100.0::DOUBLE*sum((a=b)::INT)/nullif(count(a),0)", 1)} AS same_class_pct, {rint("sum((a=1 AND b=1)::INT)::DOUBLE/nullif(sum((a=1 OR b=1)::INT),0)", 3)} AS flood_iou FROM
+    (SELECT DISTINCT date FROM cells WHERE source='unosat' INTERSECT SELECT date FROM cells WHERE source='sentinel1') LEFT JOIN (
+    SELECT x.date, x.value AS a, y.value AS b FROM cells x JOIN cells y USING (date, row, col) WHERE x.source='unosat' AND y.source='sentinel1' AND x.value<>255 AND y.value<>255) USING (date) GROUP BY date"""))
 def _(v):
     return raster.agreement(v.cells, "unosat", "sentinel1")
 
@@ -149,9 +151,11 @@ def _(v):
     return raster.mosaic_granules(v.cells.withColumn("code", code).withColumn("file_order", raster.source_rank(F.col("source"))))
 
 
-@query("raster_shapes", sql("SELECT max_row, max_col, dates FROM (SELECT max_row, max_col, count(*) AS dates FROM (SELECT date, max(row) AS max_row, max(col) AS max_col FROM cells GROUP BY date) GROUP BY ALL) WHERE (SELECT count(*) FROM (SELECT DISTINCT a, b FROM (SELECT date, max(row) AS a, max(col) AS b FROM cells GROUP BY date)))>1"))
+@query("raster_shapes", sql("SELECT width, height, count(*) AS maps FROM (SELECT DISTINCT date, source, CASE source WHEN 'modis' THEN 32 ELSE 64 END AS width, (h // CASE source WHEN 'modis' THEN 2 ELSE 1 END)::INT AS height FROM cells, c) GROUP BY ALL"))
 def _(v):
-    return raster.shape_mismatch(v.cells)
+    coarse = F.when(F.col("source") == "modis", 2).otherwise(1)
+    maps = v.cells.select("date", "source").distinct().withColumn("width", (F.lit(64) / coarse).cast("int")).withColumn("height", F.floor(F.lit(v.grid.height) / coarse).cast("int"))
+    return raster.shape_mismatch(maps)
 
 
 @query("scenes_per_date", sql("SELECT l_shipdate::DATE AS date, arg_min((l_linenumber%4)::INT, (l_shipdate, l_orderkey*1000000+l_partkey*10+l_linenumber)) AS relative_orbit, arg_min(l_returnflag, (l_shipdate, l_orderkey*1000000+l_partkey*10+l_linenumber)) AS passes, count(*) AS scenes FROM lineitem WHERE l_linestatus='F' AND l_shipdate>=TIMESTAMP '1996-01-01' AND l_shipdate<TIMESTAMP '1999-01-01' GROUP BY ALL"))
@@ -254,9 +258,9 @@ def _(v):
     return polygons.classify_area(p.filter("polygon_id % 80 = 7"), p, v.grid)
 
 
-@query("daily_flood_area", sql(f"SELECT date, {rint('sum((value=1)::INT)*(25600/1e6::DOUBLE)', 1)} AS flooded_km2, {rint('100.0::DOUBLE*(t-count(*))/t', 1)} AS unknown_pct FROM merged SEMI JOIN burned USING (row, col), (SELECT count(*) AS t FROM (SELECT DISTINCT row, col FROM burned)) GROUP BY date, t"))
+@query("daily_flood_area", sql(f"SELECT date, {rint('coalesce(sum((value=1)::INT),0)*(25600/1e6::DOUBLE)', 1)} AS flooded_km2, {rint('100.0::DOUBLE*(t-count(value))/t', 1)} AS unknown_pct FROM dates LEFT JOIN (SELECT * FROM merged SEMI JOIN burned USING (row, col)) USING (date), (SELECT count(*) AS t FROM (SELECT DISTINCT row, col FROM burned)) GROUP BY date, t"))
 def _(v):
-    return raster.daily_area(merged(v), polygons.burn(v.polygons, v.grid), v.grid)
+    return raster.daily_area(merged(v), polygons.burn(v.polygons, v.grid), v.grid, v.cells)
 
 
 @query("resample", sql("SELECT m.date, q.row, q.col, m.value FROM merged m JOIN (SELECT r.row, k.col, ((r.row+0.5::DOUBLE)*100/160) AS sr, ((k.col+0.5::DOUBLE)*100/160) AS sc FROM (SELECT unnest(range((h*160)//100))::INT AS row FROM c) r, (SELECT unnest(range(102))::INT AS col) k) q ON m.row=floor(q.sr)::INT AND m.col=floor(q.sc)::INT"))
@@ -282,31 +286,30 @@ def _(v):
 @query("history3", sql("""SELECT date, row, col, h0, h1, h2, target FROM (SELECT date, row, col, lag(value,3) OVER w AS h0, lag(value,2) OVER w AS h1, lag(value,1) OVER w AS h2, value AS target, row_number() OVER w AS i FROM (
     SELECT d.date, k.row, k.col, coalesce(m.value,255) AS value FROM (SELECT DISTINCT row, col FROM merged) k CROSS JOIN dates d LEFT JOIN merged m ON m.date=d.date AND m.row=k.row AND m.col=k.col) WINDOW w AS (PARTITION BY row, col ORDER BY date)) WHERE i>3"""))
 def _(v):
-    return patches.history(merged(v))
+    return patches.history(merged(v), dates=v.cells)
 
 
 @query("patches")
 def _(v):
     m = materialize(merged(v), "merged")
     mm = F.datediff("date", day("2022-06-01")).cast("double")
-    ctx = patches.with_context(patches.history(m), m.select("date").distinct().withColumn("mm", mm), v.dem)
+    ctx = patches.with_context(patches.history(m, dates=v.cells), m.select("date").distinct().withColumn("mm", mm), v.dem)
     return patches.patches(ctx, v.grid, 16, ["h0", "h1", "h2", "rain", "elevation"])
 
 
 @query("dem_available", sql("SELECT date FROM dates"))
 def _(v):
-    m = merged(v)
-    return patches.require_dem(m, m.select("date"))
+    return patches.require_dem(v.cells, v.cells.withColumn("date", F.when(F.col("source") == "dem_estimate", F.col("date")).otherwise(day("2022-06-11"))))
 
 
 @query("split_dates")
 def _(v):
-    return evaluate.split_dates(merged(v))
+    return evaluate.split_dates(v.cells)
 
 
 @query("split_dates_in_time", sql("SELECT date, CASE WHEN row_number() OVER (ORDER BY date DESC)<=ceil(count(*) OVER ()*0.2) THEN 'validation' ELSE 'train' END AS split FROM dates"))
 def _(v):
-    return evaluate.split_dates_in_time(merged(v))
+    return evaluate.split_dates_in_time(v.cells)
 
 
 @query("split_labels", "SELECT quality, count(*) AS n, ceil(count(*)*0.2)::BIGINT AS validation FROM labels GROUP BY quality")
@@ -324,7 +327,7 @@ def _(v):
 
 @query("lookup", sql("SELECT p.edge_id, p.k, d.date, coalesce(g.value,255)::INT AS value FROM pcells p CROSS JOIN dates d LEFT JOIN merged g ON g.date=d.date AND g.row=p.row AND g.col=p.col"))
 def _(v):
-    return roads.lookup(roads.check_points(v.edges), merged(v), v.grid).select("edge_id", "k", "date", "value")
+    return roads.lookup(roads.check_points(v.edges), merged(v), v.grid, v.cells).select("edge_id", "k", "date", "value")
 
 
 @query("road_status", sql("SELECT threshold, date, edge_id, frac_flooded, frac_unknown, status FROM road_status"))

@@ -28,7 +28,7 @@ def global_rank(df: DataFrame, order: list, rank: str = "rank") -> DataFrame:
     before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     return (ordered.join(shifts, "_part")
-            .withColumn(rank, (F.col("_pos") + F.col("_shift") + 1).cast("int"))
+            .withColumn(rank, (F.col("_pos") + F.col("_shift") + 1).cast("bigint"))
             .drop("_part", "_pos", "_shift"))
 
 

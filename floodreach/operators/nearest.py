@@ -1,12 +1,16 @@
 """Nearest-site joins: snapping to junctions, naming clusters, nearest-village zones, map clicks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geometry import distance
 from ..params import Params
+from ..session import materialize
 
-_FAN, _DEPTH = 16, 3
+_BITS = 52  # of a cell's place per axis: 13 levels of 16 x 16
+_CELLS = 1 << _BITS
 
 
 def _sites(targets: DataFrame, target_id: str) -> DataFrame:
@@ -24,42 +28,68 @@ def _near_buckets(sites: DataFrame, bucket: float, cap: int) -> DataFrame:
             .agg(F.collect_list(F.struct("x", "y", "t_id")).alias("_sites")))
 
 
-def _pyramid(sites: DataFrame) -> DataFrame:
-    """Sites with their cell indices at the finest level of a fixed-depth pyramid over their own extent."""
-    box = sites.agg(F.min("x").alias("x0"), F.min("y").alias("y0"),
-                    (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) + 1).alias("side")).withColumn("b", F.struct("x0", "y0", "side"))
-    b = box.select("b").scalar()
-    n = _FAN ** _DEPTH
-    return (sites.withColumn("_b", b)
-            .withColumn("ix", F.floor((F.col("x") - F.col("_b.x0")) / F.col("_b.side") * n))
-            .withColumn("iy", F.floor((F.col("y") - F.col("_b.y0")) / F.col("_b.side") * n)).drop("_b"))
-
-
-def _descend(points: DataFrame, sites: DataFrame, point_id: str) -> DataFrame:
-    """Exact nearest site by walking down the pyramid.
-
-    A point keeps only the cells whose closest corner is not beyond the farthest corner of its best cell, so
-    each step pairs it with a bounded number of cells however many sites they hold."""
-    leaf = _pyramid(sites)
-    front = points.withColumn("_px", F.lit(0).cast("bigint")).withColumn("_py", F.lit(0).cast("bigint"))
-    for level in range(1, _DEPTH + 1):
-        div = _FAN ** (_DEPTH - level)
-        kids = (leaf.groupBy(F.floor(F.col("ix") / div).alias("cx"), F.floor(F.col("iy") / div).alias("cy"))
-                .agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-                .withColumn("_px", F.floor(F.col("cx") / _FAN)).withColumn("_py", F.floor(F.col("cy") / _FAN)))
-        f = front.join(kids, ["_px", "_py"])
-        nx = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0))
-        ny = F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1"), F.lit(0.0))
-        fx = F.greatest(F.col("x1") - F.col("x"), F.col("x") - F.col("x0"))
-        fy = F.greatest(F.col("y1") - F.col("y"), F.col("y") - F.col("y0"))
-        f = (f.withColumn("_near", nx * nx + ny * ny)
-             .withColumn("_best", F.min(fx * fx + fy * fy).over(W.partitionBy(point_id))))
-        front = (f.filter(F.col("_near") <= F.col("_best") * F.lit(1 + 1e-9))
-                 .select(point_id, "x", "y", F.col("cx").alias("_px"), F.col("cy").alias("_py")))
-    last = leaf.select(F.col("ix").alias("_px"), F.col("iy").alias("_py"), F.col("x").alias("tx"), F.col("y").alias("ty"), "t_id")
+def _tree(sites: DataFrame, cap: int) -> tuple[list[DataFrame], DataFrame]:
+    """A tree of cells over the sites, each cut into 16 x 16 until none holds more than ``cap``: per level its cells (parent px, py,
+    own cx, cy, bounding box of the sites inside, ``leaf``), and the sites of all leaves (level, cx, cy, tx, ty, t_id).
+
+    Cells are cut where the sites are, whatever the extent; positions are distinct, so cutting ends."""
+    box = sites.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)) * (1 + 1e-12)).alias("side"))
+    at = lambda c, low: F.least(F.floor((F.col(c) - F.col(f"_b.{low}")) / F.col("_b.side") * float(_CELLS)), F.lit(_CELLS - 1))
+    open_ = materialize(sites.withColumn("_b", box.select(F.struct("*").alias("b")).scalar()).withColumn("ix", at("x", "x0")).withColumn("iy", at("y", "y0")).drop("_b"), "sites")
+    levels, leaves, depth = [], [], 0
+    while True:
+        depth += 1
+        cell = [F.shiftright(c, _BITS - 4 * depth).alias(n) for c, n in (("ix", "cx"), ("iy", "cy"))]
+        own = open_.withColumns({"cx": cell[0], "cy": cell[1]})
+        kids = own.groupBy("cx", "cy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
+        last = 4 * depth == _BITS
+        kids = materialize(kids.select(F.shiftright("cx", 4).alias("px"), F.shiftright("cy", 4).alias("py"), "cx", "cy", "x0", "x1", "y0", "y1",
+                                       ((F.col("n") <= cap) | F.lit(last)).alias("leaf")), "cells")
+        levels.append(kids)
+        done = own.join(kids.filter("leaf").select("cx", "cy"), ["cx", "cy"], "left_semi")
+        leaves.append(done.select(F.lit(depth).alias("level"), "cx", "cy", F.col("x").alias("tx"), F.col("y").alias("ty"), "t_id"))
+        if kids.filter(~F.col("leaf")).isEmpty():
+            return levels, reduce(DataFrame.unionByName, leaves)
+        open_ = materialize(own.join(kids.filter(~F.col("leaf")).select("cx", "cy"), ["cx", "cy"], "left_semi").drop("cx", "cy"), "sites")
+
+
+def _bounds(x, y, c) -> tuple[Column, Column]:
+    """Squared distance from a point to the nearest and to the farthest corner of a box."""
+    zero = F.lit(0.0)
+    nx, ny = F.greatest(c["x0"] - x, x - c["x1"], zero), F.greatest(c["y0"] - y, y - c["y1"], zero)
+    fx, fy = F.greatest(c["x1"] - x, x - c["x0"]), F.greatest(c["y1"] - y, y - c["y0"])
+    return nx * nx + ny * ny, fx * fx + fy * fy
+
+
+def _descend(points: DataFrame, sites: DataFrame, point_id: str, cap: int) -> DataFrame:
+    """Exact nearest site by walking down the tree.
+
+    A point keeps only the cells whose closest corner is not beyond the farthest corner of its best cell so far, and leaves
+    hold at most ``cap`` sites, so each step pairs it with a bounded number of cells. The first level, at most 256 cells, is
+    one array that every point filters; deeper levels are joined on the parent cell."""
+    levels, leaves = _tree(sites, cap)
+    top = levels[0].agg(F.collect_list(F.struct("cx", "cy", "x0", "x1", "y0", "y1", "leaf"))).scalar()
+    points = points.withColumn("_top", top).withColumn("_best", F.array_min(F.transform("_top", lambda c: _bounds(F.col("x"), F.col("y"), c)[1])))
+    points = materialize(points.drop("_top"), "points")
+    slack, at, ends = 1 + 1e-9, None, []
+    for depth, kids in enumerate(levels, 1):
+        if at is None:
+            f = points.withColumn("_top", top).select(point_id, "x", "y", "_best", F.inline(F.filter("_top", lambda c: _bounds(F.col("x"), F.col("y"), c)[0] <= F.col("_best") * slack)))
+            f = f.withColumn("_near", _bounds(F.col("x"), F.col("y"), {n: F.col(n) for n in ("x0", "x1", "y0", "y1")})[0])
+        else:
+            f = at.join(kids, [at["cx"] == kids["px"], at["cy"] == kids["py"]]).select(point_id, "x", "y", "_best", kids["cx"], kids["cy"], "x0", "x1", "y0", "y1", "leaf")
+            near, far = _bounds(F.col("x"), F.col("y"), {n: F.col(n) for n in ("x0", "x1", "y0", "y1")})
+            f = f.withColumn("_near", near).withColumn("_best", F.least("_best", F.min(far).over(W.partitionBy(point_id)))).filter(F.col("_near") <= F.col("_best") * slack)
+        f = f.select(point_id, "x", "y", "_best", "_near", "cx", "cy", "leaf")
+        if depth < len(levels):
+            f = materialize(f, "front")
+            at = f.filter(~F.col("leaf")).select(point_id, "x", "y", "_best", "cx", "cy")
+        ends.append(f.filter("leaf").select(point_id, "x", "y", "_best", "_near", F.lit(depth).alias("level"), "cx", "cy"))
+    met = reduce(DataFrame.unionByName, ends)
+    if len(ends) > 1:
+        met = met.withColumn("_best", F.min("_best").over(W.partitionBy(point_id))).filter(F.col("_near") <= F.col("_best") * slack)
     d = distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
-    return (front.join(last, ["_px", "_py"]).withColumn("_h", F.struct(d.alias("d"), "t_id"))
-            .groupBy(point_id).agg(F.min("_h").alias("_hit")))
+    return met.join(leaves, ["level", "cx", "cy"]).withColumn("_h", F.struct(d.alias("d"), "t_id")).groupBy(point_id).agg(F.min("_h").alias("_hit"))
 
 
 def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, out_id: str = "target_id",
@@ -67,10 +97,10 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str
     """Every point with its nearest target and the distance; ties go to the smaller target id.
 
     Points meet the candidates of their bucket as one array in one equi-join, and that answer is final when it
-    lies within a bucket width. The rest (remote points, crowded buckets) take the pyramid, which is exact for
+    lies within a bucket width. The rest (remote points, crowded buckets) walk down a tree of cells, which is exact for
     any layout. With ``max_distance`` farther matches become null."""
     b = bucket or p.knn_bucket_m
-    sites = _sites(targets.select("x", "y", target_id), target_id)
+    sites = materialize(_sites(targets.select("x", "y", target_id), target_id), "sites")
     q = points.select(point_id, "x", "y")
     fast = (q.withColumn("_kx", F.floor(F.col("x") / F.lit(b))).withColumn("_ky", F.floor(F.col("y") / F.lit(b)))
             .join(_near_buckets(sites, b, p.knn_bucket_cap), ["_kx", "_ky"], "left")
@@ -78,7 +108,7 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str
                 distance(F.col("x"), F.col("y"), s["x"], s["y"]).alias("d"), s["t_id"].alias("t_id"))))))
     done = F.coalesce(F.col("_hit.d") <= F.lit(b), F.lit(False))
     hits = (fast.filter(done).select(point_id, "_hit")
-            .unionByName(_descend(fast.filter(~done).select(point_id, "x", "y"), sites, point_id)))
+            .unionByName(_descend(fast.filter(~done).select(point_id, "x", "y"), sites, point_id, p.knn_bucket_cap)))
     ok = F.lit(True) if max_distance is None else F.col("_hit.d") <= F.lit(float(max_distance))
     return hits.select(point_id, F.when(ok, F.col("_hit.t_id")).alias(out_id), F.when(ok, F.col("_hit.d")).alias(out_dist))
 
@@ -93,21 +123,25 @@ def snap_shelters(shelters: DataFrame, nodes: DataFrame, p: Params = Params()) -
     return shelters.join(s, "shelter_id").withColumn("road_reachable", F.col("snap_dist_m") <= F.lit(p.shelter_snap_max_m))
 
 
-def village_at_click(clicks: DataFrame, villages: DataFrame, max_m: float = 400.0) -> DataFrame:
-    """Nearest village (lon, lat) to each click (click_id, lon, lat) within ``max_m`` equirectangular metres."""
+def village_at_click(clicks: DataFrame, villages: DataFrame, max_m: float = 400.0, p: Params = Params()) -> DataFrame:
+    """Nearest village (lon, lat) to each click (click_id, lon, lat) within ``max_m`` equirectangular metres.
+
+    Metres per degree of longitude depend on the click, so candidates come from cells of ``max_m``, cut by count: a cell's villages
+    in excess of ``knn_bucket_cap`` are spread over sub-keys that every click of the cell meets by an equality join."""
     # Metres per degree.
-    per_lon, per_lat, step = 111_320.0, 110_540.0, 0.01
+    per_lon, per_lat = 111_320.0, 110_540.0
     kx = F.lit(per_lon) * F.cos(F.radians("lat"))
-
-    def around(c, reach):
-        return F.sequence(F.floor((c - reach) / F.lit(step)), F.floor((c + reach) / F.lit(step)))
-
-    q = (clicks.select("click_id", "lon", "lat").withColumn("_by", F.explode(around(F.col("lat"), F.lit(max_m / per_lat))))
-         .withColumn("_bx", F.explode(around(F.col("lon"), F.lit(max_m) / kx))))
-    v = villages.select("village_id", F.col("lon").alias("vlon"), F.col("lat").alias("vlat"),
-                        F.floor(F.col("lon") / F.lit(step)).alias("_bx"), F.floor(F.col("lat") / F.lit(step)).alias("_by"))
+    step = max_m / per_lat
+    spread = lambda c, reach: F.sequence(F.floor((c - reach) / F.lit(step)), F.floor((c + reach) / F.lit(step)))
+    v = villages.groupBy("lon", "lat").agg(F.min("village_id").alias("village_id"))
+    v = v.select("village_id", F.col("lon").alias("vlon"), F.col("lat").alias("vlat"), F.floor(F.col("lon") / F.lit(step)).alias("_bx"), F.floor(F.col("lat") / F.lit(step)).alias("_by"))
+    size = v.groupBy("_bx", "_by").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.knn_bucket_cap)).cast("int").alias("_parts"))
+    v = v.join(size, ["_bx", "_by"]).withColumn("_part", F.pmod(F.hash("village_id"), F.col("_parts"))).drop("_parts")
+    q = (clicks.select("click_id", "lon", "lat").withColumn("_by", F.explode(spread(F.col("lat"), F.lit(max_m / per_lat))))
+         .withColumn("_bx", F.explode(spread(F.col("lon"), F.lit(max_m) / kx))))
+    q = q.join(size, ["_bx", "_by"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     dx, dy = (F.col("vlon") - F.col("lon")) * kx, (F.col("vlat") - F.col("lat")) * F.lit(per_lat)
-    hit = (q.join(v, ["_bx", "_by"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= F.lit(max_m))
+    hit = (q.join(v, ["_bx", "_by", "_part"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= F.lit(max_m))
            .groupBy("click_id").agg(F.min(F.struct("d", "village_id")).alias("h"))
            .select("click_id", F.col("h.village_id").alias("village_id"), F.col("h.d").alias("distance_m")))
     return clicks.select("click_id").join(hit, "click_id", "left")

@@ -3,11 +3,13 @@
 A scenario is a (threshold, date, mode) key carried by every row, so all of them are solved in the same rounds."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geometry import merge_lines
+from ..functions.geometry import distance, merge_lines
 from ..functions.rounding import half_even
 from ..params import Params
 from ..session import materialize
@@ -15,7 +17,7 @@ from .common import distinct_values, global_rank
 
 SCENARIO = ["threshold", "date", "mode"]
 MODES = ("pessimistic", "optimistic")
-_SRC_BITS = 24
+CHUNK = 1 << 18  # links contracted at a time
 
 
 def assign_blocks(edges: DataFrame, p: Params = Params(), base: float = 500.0, levels: int = 6) -> DataFrame:
@@ -23,7 +25,8 @@ def assign_blocks(edges: DataFrame, p: Params = Params(), base: float = 500.0, l
 
     A block is the coarsest square around the edge that is small enough. A finest square that is still too
     full is split by hash. Any split is correct; locality only reduces the number of rounds."""
-    e = edges.select("edge_id", F.floor(F.col("geom")[0]["x"] / F.lit(base)).alias("fx"), F.floor(F.col("geom")[0]["y"] / F.lit(base)).alias("fy"))
+    at = lambda axis: F.floor(F.coalesce(F.get("geom", F.lit(0))[axis], F.lit(0.0)) / F.lit(base))  # noqa: E731  an edge without geometry is a link like any other
+    e = edges.select("edge_id", at("x").alias("fx"), at("y").alias("fy"))
     fine = e.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("c"))
     ladder = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col("fx") / 4 ** k).alias("bx"), F.floor(F.col("fy") / 4 ** k).alias("by")) for k in range(levels)])
     wide = fine.select("fx", "fy", "c", F.explode(ladder).alias("l")).select("fx", "fy", "c", "l.*")
@@ -72,11 +75,17 @@ def build_graph(edges: DataFrame, status: DataFrame, modes=MODES) -> DataFrame:
 
 def _contract(keys: list[str]):
     def run(batches):
-        """Replace the edges of one partition by links to the smallest node each one reaches inside it."""
-        got = [p for p in batches if len(p)]
-        if not got:
-            return
-        e = pd.concat(got, ignore_index=True)
+        """Replace links, ``CHUNK`` of a partition at a time, by links to the smallest node each one reaches among them."""
+        held, size = [], 0
+        for p in batches:
+            held, size = [*held, p], size + len(p)
+            if size >= CHUNK:
+                yield contracted(pd.concat(held, ignore_index=True))
+                held, size = [], 0
+        if size:
+            yield contracted(pd.concat(held, ignore_index=True))
+
+    def contracted(e):
         n = len(e)
         group = e.groupby(keys, sort=False).ngroup().to_numpy() if keys else np.zeros(n, np.int64)
         names, rank = np.unique(np.concatenate([e["a"].to_numpy(), e["b"].to_numpy()]), return_inverse=True)
@@ -97,7 +106,7 @@ def _contract(keys: list[str]):
             head = e[keys].groupby(group).first()
             for k in reversed(keys):
                 out.insert(0, k, head[k].reindex(code[hit] // len(names)).to_numpy())
-        yield out
+        return out
     return run
 
 
@@ -106,7 +115,7 @@ def components(pairs: DataFrame, keys: list[str] = (), u: str = "u", v: str = "v
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), which need a logarithmic number of
     rounds; each is a ``min`` aggregate and a join back, so a hub never gathers its neighbours. Before every
-    write a partition first contracts the links it happens to hold, which costs no shuffle and leaves later
+    write a partition first contracts the links it happens to hold, in chunks of bounded size, which costs no shuffle and leaves later
     rounds only what spans partitions."""
     keys = list(keys)
     e = pairs.filter(F.col(u) != F.col(v)).select(*keys, F.greatest(u, v).alias("a"), F.least(u, v).alias("b"))
@@ -146,62 +155,70 @@ def reachable_from(graph: DataFrame, nodes: DataFrame, sources: DataFrame, keys:
 
 def _relax_block(keys: list[str]):
     def run(links: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        """Relax one block until nothing changes, touching only links at nodes that just improved."""
+        """Relax one block until nothing changes, touching only links of nodes that just improved.
+
+        Inside a block, distance and the place of the source among the block's own sources travel as one integer."""
         n = len(links)
         ids, pos = np.unique(np.concatenate([links["u"].to_numpy(), links["v"].to_numpy(), seeds["node"].to_numpy()]), return_inverse=True)
-        far = np.iinfo(np.int64).max // 2
+        sources, place = np.unique(seeds["no"].to_numpy(), return_inverse=True)
+        bits = max(1, int(len(sources)).bit_length())
+        far = np.iinfo(np.int64).max
         best = np.full(len(ids), far)
-        np.minimum.at(best, pos[2 * n:], seeds["code"].to_numpy())
-        a, b, w = pos[:n], pos[n:2 * n], links["w"].to_numpy() << _SRC_BITS
-        fresh = best < far
-        while fresh.any():
-            i, j = np.flatnonzero(fresh[a]), np.flatnonzero(fresh[b])
-            new = best.copy()
-            np.minimum.at(new, b[i], best[a[i]] + w[i])
-            np.minimum.at(new, a[j], best[b[j]] + w[j])
-            fresh, best = new < best, new
+        np.minimum.at(best, pos[2 * n:], seeds["dist"].to_numpy() << bits | place)
+        ends, tails = np.concatenate([pos[:n], pos[n:2 * n]]), np.concatenate([pos[n:2 * n], pos[:n]])
+        order = np.argsort(ends, kind="stable")
+        first = np.searchsorted(ends[order], np.arange(len(ids) + 1))
+        to, weight = tails[order], np.concatenate([links["w"].to_numpy()] * 2)[order] << bits
+        fresh = np.flatnonzero(best < far)
+        while len(fresh):
+            count = first[fresh + 1] - first[fresh]
+            arc = np.repeat(first[fresh] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            new = np.repeat(best[fresh], count) + weight[arc]
+            better = new < best[to[arc]]
+            reached = to[arc[better]]
+            np.minimum.at(best, reached, new[better])
+            fresh = np.unique(reached)
         hit = best < far
         head = seeds if len(seeds) else links
-        return pd.DataFrame({**{k: head[k].iloc[0] for k in keys}, "node": ids[hit], "code": best[hit]})
+        return pd.DataFrame({**{k: head[k].iloc[0] for k in keys}, "node": ids[hit], "dist": best[hit] >> bits, "no": sources[best[hit] & (1 << bits) - 1]})
     return run
 
 
-def shortest_distances(graph: DataFrame, sources: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
+def shortest_distances(graph: DataFrame, sources: DataFrame, keys: list[str], compact_every: int = 8) -> DataFrame:
     """Distance (mm) to the nearest source and which one, ties to the smaller source: keys, node, dist, src.
 
     ``graph``: keys, block, u, v, w, read once per round, so it should be a written table. ``sources``: keys, node,
     present in the scenario's network even when all their roads are cut. Each round relaxes whole blocks to a
     fixed point in tasks of bounded size, then blocks exchange only nodes that improved and lie in several
-    blocks. Rounds grow with the number of block borders on a path, not with its number of junctions.
-
-    Distance and source number travel as one integer, so that improvement is a hash ``min``."""
+    blocks. Rounds end when nothing improves; they grow with the number of block borders on a path, not with its
+    number of junctions. What is known is kept in a few written pieces, merged every ``compact_every`` rounds, and only
+    looked up for nodes a round has reached."""
     keys = list(keys)
     on = [*keys, "node"]
     g = graph.select(*keys, "block", "u", "v", "w")
-    numbered = global_rank(sources.select("node").distinct(), [F.col("node").asc()], "no")
-    if numbered.count() >= 1 << _SRC_BITS:
-        raise ValueError("too many sources for the packed distance")
+    numbered = materialize(global_rank(sources.select("node").distinct(), [F.col("node").asc()], "no"), "sources")
     member = materialize(g.select(*keys, "block", F.explode(F.array("u", "v")).alias("node")).distinct(), "member")
     shared = materialize(member.groupBy(*on).agg((F.count(F.lit(1)) > 1).alias("shared")).filter("shared"), "shared")
-    known = materialize(sources.select(*on).distinct().join(numbered, "node").select(*on, F.col("no").cast("bigint").alias("code")), "dist")
-    active, schema = known, known.schema
-    for _ in range(max_rounds):
-        inbox = active.join(member, on).select(*keys, "block", "node", "code")
+    known = materialize(sources.select(*on).distinct().join(numbered, "node").select(*on, F.lit(0).cast("bigint").alias("dist"), "no"), "dist")
+    pieces, active, schema = [known], known, known.schema
+    least = F.min(F.struct("dist", "no"))
+    while True:
+        inbox = active.join(member, on).select(*keys, "block", "node", "dist", "no")
         links = g.join(inbox.select(*keys, "block").distinct(), [*keys, "block"], "left_semi")
         found = (links.groupBy(*keys, "block").cogroup(inbox.groupBy(*keys, "block")).applyInPandas(_relax_block(keys), schema))
-        both = found.select(*on, F.col("code").alias("new"), F.lit(None).cast("bigint").alias("old")).unionByName(
-            known.select(*on, F.lit(None).cast("bigint").alias("new"), F.col("code").alias("old")))
-        g2 = both.groupBy(*on).agg(F.min("new").alias("code"), F.min("old").alias("old"))
-        better = g2.filter(F.col("code").isNotNull() & (F.col("old").isNull() | (F.col("code") < F.col("old")))).select(*on, "code")
+        found = materialize(found, "found")
+        new = found.groupBy(*on).agg(least.alias("new"))
+        old = reduce(DataFrame.unionByName, pieces).join(found.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(least.alias("old"))
+        better = new.join(old, on, "left").filter(F.col("old").isNull() | (F.col("new") < F.col("old"))).select(*on, "new.dist", "new.no")
         better = materialize(better.join(shared, on, "left"), "better")
-        known = known.unionByName(better.drop("shared"))
+        pieces.append(better.drop("shared"))
         active = better.filter("shared").drop("shared")
         if active.isEmpty():
             break
-    best = known.groupBy(*on).agg(F.min("code").alias("code"))
-    no = F.col("code").bitwiseAND(F.lit((1 << _SRC_BITS) - 1)).cast("int")
-    return (best.withColumn("no", no).join(numbered.withColumnRenamed("node", "src"), "no")
-            .select(*on, F.shiftright("code", _SRC_BITS).alias("dist"), "src"))
+        if len(pieces) >= compact_every:
+            pieces = [materialize(reduce(DataFrame.unionByName, pieces).groupBy(*on).agg(least.alias("m")).select(*on, "m.*"), "dist")]
+    best = reduce(DataFrame.unionByName, pieces).groupBy(*on).agg(least.alias("m")).select(*on, "m.*")
+    return best.join(numbered.withColumnRenamed("node", "src"), "no").select(*on, "dist", "src")
 
 
 def shelter_by_junction(shelters: DataFrame) -> DataFrame:
@@ -209,9 +226,14 @@ def shelter_by_junction(shelters: DataFrame) -> DataFrame:
     return shelters.filter("road_reachable").groupBy("node_id").agg(F.min("shelter_id").alias("shelter_id"))
 
 
-def solve(edges: DataFrame, road_status: DataFrame, villages: DataFrame, shelters: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """Both graphs of every scenario and the distances over them."""
-    axis = distinct_values(road_status, "threshold", "date")
+def scenario_axis(road_status: DataFrame) -> DataFrame:
+    """The (threshold, date) pairs there are, as a small written table that later steps read instead of the status."""
+    return materialize(road_status.select("threshold", "date").distinct(), "axis")
+
+
+def solve(edges: DataFrame, road_status: DataFrame, villages: DataFrame, shelters: DataFrame, p: Params = Params(), pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both graphs of every scenario and the distances over them. ``pairs``: from ``scenario_axis``."""
+    axis = distinct_values(scenario_axis(road_status) if pairs is None else pairs, "threshold", "date")
     e = edges.select("edge_id", "u", "v", "length_m").join(assign_blocks(edges, p), "edge_id")
     graph = materialize(usable_links(e, full_status(edges, road_status, axis)), "scenarios")
     junctions = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -224,14 +246,15 @@ def solve(edges: DataFrame, road_status: DataFrame, villages: DataFrame, shelter
     return graph, materialize(solved, "solved")
 
 
-def village_status(solved: DataFrame, road_status: DataFrame, villages: DataFrame, shelters: DataFrame) -> DataFrame:
+def village_status(solved: DataFrame, road_status: DataFrame, villages: DataFrame, shelters: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Status of every village in every (threshold, date).
 
     boat_dependent wins, then connected (reached over open roads), isolated (not reached over any road that is
     not cut), and uncertain in between."""
-    axis = distinct_values(road_status, "threshold", "date")
+    axis = distinct_values(road_status if pairs is None else pairs, "threshold", "date")
     v = villages.select("village_id", "node_id", "boat_dependent", F.explode(axis).alias("s")).select("village_id", "node_id", "boat_dependent", "s.*")
-    near = solved.groupBy("threshold", "date", F.col("node").alias("node_id")).agg(
+    lived = villages.select(F.col("node_id").alias("node")).distinct()
+    near = solved.join(lived, "node", "left_semi").groupBy("threshold", "date", F.col("node").alias("node_id")).agg(
         F.min(F.when(F.col("mode") == "pessimistic", F.col("dist"))).alias("dist"),
         F.min(F.when(F.col("mode") == "pessimistic", F.col("src"))).alias("src"), F.lit(True).alias("reach"))
     named = shelter_by_junction(shelters).select(F.col("node_id").alias("src"), "shelter_id")
@@ -286,8 +309,11 @@ def routes_to_shelters(graph: DataFrame, solved: DataFrame, starts: DataFrame, e
     g = graph.filter(pess).join(need, keys, "left_semi")
     s = solved.filter(pess).join(need, keys, "left_semi")
     steps = route_steps(shortest_path_tree(g, s, keys), starts, keys)
-    line = edges.select("edge_id", "u", "geom")
-    part = steps.join(line, "edge_id").withColumn("geom", F.when(F.col("u") == F.col("node"), F.col("geom")).otherwise(F.reverse("geom")))
+    line = edges.filter(F.size("geom") > 0).select("edge_id", "u", "geom")
+    here = nodes.select(F.col("node_id").alias("node"), F.col("x").cast("double").alias("_nx"), F.col("y").cast("double").alias("_ny"))
+    ends = [distance(q["x"], q["y"], F.col("_nx"), F.col("_ny")) for q in (F.element_at("geom", 1), F.element_at("geom", -1))]
+    onward = (ends[0] < ends[1]) | ((ends[0] == ends[1]) & (F.col("u") == F.col("node")))  # lines may be stored either way round
+    part = steps.join(line, "edge_id").join(here, "node").withColumn("geom", F.when(onward, F.col("geom")).otherwise(F.reverse("geom")))
     lines = (part.groupBy(*keys, "village_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("o"), "geom"))).alias("p"))
              .select(*keys, "village_id", merge_lines(F.col("p.geom")).alias("geom")))
     here = starts.join(s.select(*keys, F.col("node").alias("node_id"), "dist", "src"), [*keys, "node_id"])

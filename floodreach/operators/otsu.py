@@ -37,7 +37,7 @@ def otsu(hist: DataFrame) -> DataFrame:
 
 
 def radar_threshold(pixels: DataFrame, p: Params = Params()) -> DataFrame:
-    """Otsu with its guards: too few pixels or an implausible value give the fallback."""
-    t = otsu(histogram(pixels))
-    ok = (F.col("pixels") > 1000) & F.col("otsu_db").between(*p.plausible_db)
+    """Otsu with its guards: too few pixels (also none at all) or an implausible value give the fallback."""
+    t = pixels.select("date").distinct().join(otsu(histogram(pixels)), "date", "left").withColumn("pixels", F.coalesce("pixels", F.lit(0).cast("bigint")))
+    ok = F.coalesce((F.col("pixels") > 1000) & F.col("otsu_db").between(*p.plausible_db), F.lit(False))
     return t.select("date", F.when(ok, F.col("otsu_db")).otherwise(F.lit(p.fallback_db)).alias("threshold_db"), "pixels")

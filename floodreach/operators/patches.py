@@ -9,12 +9,13 @@ from ..params import UNKNOWN, Grid
 from .common import distinct_values
 
 
-def history(merged: DataFrame, steps: int = 3) -> DataFrame:
+def history(merged: DataFrame, steps: int = 3, dates: DataFrame | None = None) -> DataFrame:
     """Per target date and cell: the ``steps`` previous observations and the target itself.
 
     A cell's whole record is one short array indexed by observation, so unknown dates need no stored rows:
-    date, row, col, h0..h2 (oldest first), target. Cells never known at all are left to patch filling."""
-    dates = distinct_values(merged, "date")
+    date, row, col, h0..h2 (oldest first), target. ``dates`` lists the registered dates, which may know no cell at all.
+    Cells never known on any date are left to patch filling."""
+    dates = distinct_values(merged if dates is None else dates, "date")
     rec = merged.groupBy("row", "col").agg(F.map_from_entries(F.collect_list(F.struct("date", "value"))).alias("_m")).withColumn("_d", dates)
     rec = rec.withColumn("_v", F.transform("_d", lambda d: F.coalesce(F.try_element_at(F.col("_m"), d), F.lit(UNKNOWN))))
     idx = F.when(F.size("_d") > steps, F.sequence(F.lit(steps), F.size("_d") - 1)).otherwise(F.array().cast("array<int>"))
@@ -31,8 +32,8 @@ def require_dem(flood_dates: DataFrame, dem_dates: DataFrame) -> DataFrame:
 
 
 def with_context(hist: DataFrame, rain: DataFrame, dem: DataFrame) -> DataFrame:
-    """Attach the day's rain (date, mm) and the elevation (row, col, elevation)."""
-    return hist.join(rain.select("date", F.col("mm").alias("rain")), "date").join(dem.select("row", "col", "elevation"), ["row", "col"])
+    """Attach the day's rain (date, mm) and the elevation (row, col, elevation); null where there is none."""
+    return hist.join(rain.select("date", F.col("mm").alias("rain")), "date", "left").join(dem.select("row", "col", "elevation"), ["row", "col"], "left")
 
 
 def patch_starts(length: int, size: int) -> list[int]:
@@ -64,7 +65,7 @@ def patches(samples: DataFrame, grid: Grid, size: int, channels: list[str], targ
         for n in [*channels, target]:
             default = UNKNOWN if n == target or n.startswith("h") else fill
             plane = np.full(size * size, default, "int32" if n == target else "float32")
-            plane[pos] = pdf[n].to_numpy()
+            plane[pos] = pdf[n].fillna(default).to_numpy()
             row[n] = [plane]
         return pd.DataFrame(row)
 

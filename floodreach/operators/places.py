@@ -53,7 +53,7 @@ def to_villages(features: DataFrame) -> DataFrame:
 
 def shelter_kind():
     """First non-blank of the tag columns in order; a plain "yes" says only which column it was."""
-    cols = ["amenity", "healthcare", "building", "emergency", "social_facility", "office"]
+    cols = list(SHELTER_TAGS)
     kinds = [F.nullif(F.when(_tag(c) == "yes", c).otherwise(_tag(c)), F.lit("")) for c in cols]
     return F.coalesce(*kinds, F.lit(""))
 

@@ -31,15 +31,15 @@ def _no_rows():
 
 def _missing(df: DataFrame, table: str, columns: list[str]) -> DataFrame | None:
     miss = sorted(set(columns) - set(df.columns))
-    return _rules(df.limit(0), table, [("columns", "error", F.lit(len(miss)) + F.count(F.lit(1)), "missing columns: " + ", ".join(miss))]) if miss else None
+    return _rules(df.limit(0), table, [("columns", "error", F.lit(len(miss)) + F.count(F.lit(1)), "absent: " + ", ".join(miss))]) if miss else None
 
 
 def check_villages(v: DataFrame) -> list[DataFrame]:
     bad = _missing(v, "villages", ["village_id", "name", "population", "x", "y"])
     if bad is not None:
         return [bad]
-    return [_rules(v, "villages", [("not_empty", "error", _no_rows(), "contains no villages"),
-                                   ("geometry", "error", F.count_if(F.col("x").isNull() | F.col("y").isNull()), "missing geometries")]), _unique(v, "villages", ["village_id"])]
+    return [_rules(v, "villages", [("not_empty", "error", _no_rows(), "no village at all"),
+                                   ("geometry", "error", F.count_if(F.col("x").isNull() | F.col("y").isNull()), "village without coordinates")]), _unique(v, "villages", ["village_id"])]
 
 
 def check_status(s: DataFrame) -> list[DataFrame]:
@@ -49,23 +49,23 @@ def check_status(s: DataFrame) -> list[DataFrame]:
     d = F.col("dist_to_shelter_m")
     odd = d.isNotNull() & F.expr("try_cast(dist_to_shelter_m as double)").isNull()
     return [_rules(s, "village_status", [
-        ("not_empty", "error", _no_rows(), "is empty"), ("dates", "error", F.count_if(F.expr("try_cast(date as date)").isNull()), "invalid dates"),
-        ("status_domain", "error", F.count_if(F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES)), "invalid statuses"),
-        ("numeric_distance", "error", F.count_if(odd), "dist_to_shelter_m must be numeric")]), _unique(s, "village_status", ["village_id", "date"])]
+        ("not_empty", "error", _no_rows(), "no status row at all"), ("dates", "error", F.count_if(F.expr("try_cast(date as date)").isNull()), "value is not a date"),
+        ("status_domain", "error", F.count_if(F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES)), "status outside the four words"),
+        ("numeric_distance", "error", F.count_if(odd), "distance is not a number")]), _unique(s, "village_status", ["village_id", "date"])]
 
 
-def check_lines(df: DataFrame, table: str, projected: bool = True, id_column: str | None = None) -> list[DataFrame]:
+def check_lines(df: DataFrame, table: str, id_column: str | None = None) -> list[DataFrame]:
+    """Features need a geometry; a table whose coordinates all fit in degrees is probably not projected."""
     bad = _missing(df, table, ["geom"] + ([id_column] if id_column else []))
     if bad is not None:
         return [bad]
-    rules = [("geometry", "error", F.count_if(F.col("geom").isNull()), "contains missing geometries")]
-    if not projected:
-        rules.append(("projected", "warning", F.max(F.lit(1)), "uses a non-projected CRS"))
-    return [_rules(df, table, rules)]
+    widest = F.max(F.array_max(F.transform("geom", lambda q: F.greatest(F.abs(q["x"]), F.abs(q["y"])))))
+    return [_rules(df, table, [("geometry", "error", F.count_if(F.col("geom").isNull() | (F.size("geom") == 0)), "feature without geometry"),
+                               ("projected", "warning", (widest <= 360).cast("int"), "coordinates look like degrees, not metres")])]
 
 
 def check_classes(cells: DataFrame) -> list[DataFrame]:
-    return [_rules(cells, "flood", [("not_empty", "error", _no_rows(), "no flood cells"), ("class_domain", "error", F.count_if(~F.col("value").isin(0, 1, 255) | F.col("value").isNull()), "values outside the valid classes")])]
+    return [_rules(cells, "flood", [("not_empty", "error", _no_rows(), "no cell at all"), ("class_domain", "error", F.count_if(~F.col("value").isin(0, 1, 255) | F.col("value").isNull()), "class is none of 0, 1, 255")])]
 
 
 def check_meta(meta: DataFrame) -> list[DataFrame]:
@@ -76,12 +76,12 @@ def check_meta(meta: DataFrame) -> list[DataFrame]:
     off = F.size(F.filter(F.map_values("unknown_pct"), lambda v: (v < 0) | (v > 100)))
     one = lambda c: F.sum(F.coalesce(c.cast("int"), F.lit(1)))
     return [_rules(meta, "meta", [
-        ("dates", "error", one((F.size(dates) == 0) | F.exists(parsed, lambda d: d.isNull())), "dates must be a non-empty list of ISO dates"),
-        ("chronological", "error", one(parsed != F.array_sort(parsed)), "dates must be in chronological order"),
-        ("label", "error", one(F.coalesce("data_label", F.lit("")) == ""), "data_label is missing"),
-        ("window", "error", one(F.col("app_start").isNull() | F.col("app_end").isNull()), "app_start and app_end are required"),
-        ("bounds", "error", F.sum(keyed(F.col("flood_bounds"))), "missing flood bounds"), ("sources", "error", F.sum(keyed(F.col("sources"))), "missing source metadata"),
-        ("unknown_pct", "error", F.sum(off), "unknown_pct must be between 0 and 100")])]
+        ("dates", "error", one((F.size(dates) == 0) | F.exists(parsed, lambda d: d.isNull())), "no dates, or some that do not parse"),
+        ("chronological", "error", one(parsed != F.array_sort(parsed)), "a date comes before its predecessor"),
+        ("label", "error", one(F.coalesce("data_label", F.lit("")) == ""), "no label"),
+        ("window", "error", one(F.col("app_start").isNull() | F.col("app_end").isNull()), "display window is open"),
+        ("bounds", "error", F.sum(keyed(F.col("flood_bounds"))), "date without bounds"), ("sources", "error", F.sum(keyed(F.col("sources"))), "date without sources"),
+        ("unknown_pct", "error", F.sum(off), "share outside 0 to 100")])]
 
 
 def quality_report(tables: dict[str, DataFrame], optional: tuple[str, ...] = ("rainfall_daily", "modis_flood_area", "sensitivity_summary", "validation")) -> DataFrame:
@@ -91,8 +91,8 @@ def quality_report(tables: dict[str, DataFrame], optional: tuple[str, ...] = ("r
               "exit_routes": lambda d: check_lines(d, "exit_routes"), "cut_roads": lambda d: check_lines(d, "cut_roads", id_column="edge_id")}
     spark = next(iter(tables.values())).sparkSession
     parts = [c for name, run in checks.items() if name in tables for c in run(tables[name])]
-    absent = [(n, "present", "error", 1, "missing required table") for n in checks if n not in tables]
-    absent += [(n, "present", "warning", 1, "optional table missing") for n in optional if n not in tables]
+    absent = [(n, "present", "error", 1, "table is absent") for n in checks if n not in tables]
+    absent += [(n, "present", "warning", 1, "optional table is absent") for n in optional if n not in tables]
     if absent:
         parts.append(spark.createDataFrame(absent, "table_name string, rule string, severity string, n_bad bigint, message string"))
     return reduce(DataFrame.unionByName, parts)

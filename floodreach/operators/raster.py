@@ -19,12 +19,12 @@ def merge_by_date(cells: DataFrame, sources: list[str] | None = None, p: Params
     """One value per (date, row, col): the best-ranked source that knows the cell.
 
     Rank and class are packed in one integer, so the merge is a plain hash ``min`` that combines copies
-    before the shuffle and whose keys are cells, never sources or dates."""
+    before the shuffle and whose keys are cells, never sources or dates. A source without a rank is an error."""
     known = cells.filter(F.col("value") != UNKNOWN)
     if sources:
         known = known.filter(F.col("source").isin(list(sources)))
-    code = source_rank(F.col("source"), p) * 256 + F.col("value")
-    packed = known.groupBy("date", "row", "col").agg(F.min(code).alias("code")).filter(F.col("code").isNotNull())
+    rank = F.coalesce(source_rank(F.col("source"), p), F.raise_error(F.concat(F.lit("no priority for source "), F.coalesce("source", F.lit("null")))).cast("int"))
+    packed = known.groupBy("date", "row", "col").agg(F.min(rank * 256 + F.col("value")).alias("code"))
     return packed.select("date", "row", "col", (F.col("code") % 256).cast("int").alias("value"),
                          F.floor(F.col("code") / 256).cast("int").alias("source_rank"))
 
@@ -62,25 +62,29 @@ def go_no_go(summary: DataFrame, min_dates: int = 4, max_unknown: float = 50.0)
                       ((F.col("usable_dates") >= min_dates) & rise & fall).alias("go"))
 
 
-def observed_dates(merged: DataFrame) -> DataFrame:
-    return merged.select("date").distinct().orderBy("date")
+def observed_dates(registered: DataFrame) -> DataFrame:
+    """Dates of all registered maps, also of those without a single known cell."""
+    return registered.select("date").distinct().orderBy("date")
 
 
 def agreement(cells: DataFrame, a: str, b: str) -> DataFrame:
-    """Same-day agreement of two sources over cells both know.
+    """Agreement of two sources on each date that both registered, over the cells both know; without any, 0 cells and nulls.
 
     Both classes of a cell meet in one aggregation rather than in a self join."""
     def of(name):
-        return F.max(F.when(F.col("source") == name, F.col("value")))
-
-    both = (cells.filter((F.col("value") != UNKNOWN) & F.col("source").isin(a, b))
-            .groupBy("date", "row", "col").agg(of(a).alias("a"), of(b).alias("b"))
-            .filter(F.col("a").isNotNull() & F.col("b").isNotNull()))
-    fa, fb = F.col("a") == FLOODED, F.col("b") == FLOODED
-    n = both.groupBy("date").agg(F.count(F.lit(1)).alias("overlap_px"), F.count_if(fa == fb).alias("same"),
-                                 F.count_if(fa & fb).alias("inter"), F.count_if(fa | fb).alias("uni"))
-    return n.select("date", "overlap_px",
-                    half_even(F.lit(100.0) * F.col("same") / F.col("overlap_px"), 1).alias("same_class_pct"),
+        return F.max(F.when((F.col("source") == name) & (F.col("value") != UNKNOWN), F.col("value")))
+
+    def has(name):
+        return F.bool_or(F.col("source") == name)
+
+    both = (cells.filter(F.col("source").isin(a, b)).groupBy("date", "row", "col")
+            .agg(of(a).alias("a"), of(b).alias("b"), has(a).alias("has_a"), has(b).alias("has_b")))
+    fa, fb, met = F.col("a") == FLOODED, F.col("b") == FLOODED, F.col("a").isNotNull() & F.col("b").isNotNull()
+    n = both.groupBy("date").agg(F.count_if(met).alias("overlap_px"), F.count_if(met & (fa == fb)).alias("same"),
+                                 F.count_if(met & fa & fb).alias("inter"), F.count_if(met & (fa | fb)).alias("uni"),
+                                 F.bool_or("has_a").alias("has_a"), F.bool_or("has_b").alias("has_b"))
+    return n.filter("has_a and has_b").select("date", "overlap_px",
+                    half_even(F.try_divide(F.lit(100.0) * F.col("same"), F.col("overlap_px")), 1).alias("same_class_pct"),
                     half_even(F.try_divide(F.col("inter").cast("double"), F.col("uni")), 3).alias("flood_iou"))
 
 
@@ -122,19 +126,22 @@ def clear_composite(pixels: DataFrame, keys: list[str]) -> DataFrame:
             .agg(F.median("green").alias("green"), F.median("nir").alias("nir")))
 
 
-def daily_area(cells: DataFrame, area_cells: DataFrame, grid: Grid) -> DataFrame:
-    """Flooded km2 and unknown share inside an area given as cells ``(row, col)``, per date."""
+def daily_area(cells: DataFrame, area_cells: DataFrame, grid: Grid, dates: DataFrame | None = None) -> DataFrame:
+    """Flooded km2 and unknown share inside an area given as cells ``(row, col)``, for every date of ``dates`` (else of ``cells``)."""
     area = area_cells.select("row", "col").distinct()
     total = area.agg(F.count(F.lit(1)).alias("n")).scalar()
     inside = cells.filter(F.col("value") != UNKNOWN).join(area, ["row", "col"], "left_semi")
-    g = inside.groupBy("date").agg(F.count_if(F.col("value") == FLOODED).alias("f"), F.count(F.lit(1)).alias("k"))
+    days = (cells if dates is None else dates).select("date").distinct()
+    part = inside.select("date", (F.col("value") == FLOODED).cast("int").alias("f"), F.lit(1).alias("k"))
+    g = part.unionByName(days.select("date", F.lit(0).alias("f"), F.lit(0).alias("k"))).groupBy("date").agg(F.sum("f").alias("f"), F.sum("k").alias("k"))
     return g.select("date", half_even(F.col("f") * F.lit(grid.res ** 2 / 1e6), 1).alias("flooded_km2"),
                     half_even(F.lit(100.0) * (total - F.col("k")) / total, 1).alias("unknown_pct"))
 
 
-def shape_mismatch(cells: DataFrame) -> DataFrame:
-    """Extents that differ between dates; an empty result means all rasters share one shape."""
-    ext = cells.groupBy("date").agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))
-    shapes = ext.groupBy("max_row", "max_col").agg(F.count(F.lit(1)).alias("dates"))
+def shape_mismatch(manifest: DataFrame) -> DataFrame:
+    """Registered sizes ``(width, height)`` with their number of maps where they differ; empty if all maps share one size.
+
+    Sizes are those recorded for the maps: stored cells cannot tell, for unknown borders are not stored."""
+    shapes = manifest.groupBy("width", "height").agg(F.count(F.lit(1)).alias("maps"))
     n = shapes.agg(F.count(F.lit(1)).alias("n")).scalar()
     return shapes.filter(n > 1)

@@ -40,10 +40,10 @@ def check_points(edges: DataFrame, spacing: float = 20.0) -> DataFrame:
                       (F.col("g.a.y") + (F.col("g.b.y") - F.col("g.a.y")) * t).alias("y"))
 
 
-def lookup(points: DataFrame, merged: DataFrame, grid: Grid) -> DataFrame:
-    """Class of the cell under each point on each date: points x dates, unknown where no cell is stored."""
+def lookup(points: DataFrame, merged: DataFrame, grid: Grid, dates: DataFrame | None = None) -> DataFrame:
+    """Class of the cell under each point on each of ``dates`` (else of ``merged``), unknown where no cell is stored."""
     p = (points.withColumn("row", cell_row(F.col("y"), grid)).withColumn("col", cell_col(F.col("x"), grid))
-         .withColumn("date", F.explode(distinct_values(merged, "date"))))
+         .withColumn("date", F.explode(distinct_values(merged if dates is None else dates, "date"))))
     return (p.join(merged.select("date", "row", "col", "value"), ["date", "row", "col"], "left")
             .withColumn("value", F.coalesce(F.col("value"), F.lit(255))))
 
@@ -54,7 +54,7 @@ def edge_fractions(edges: DataFrame, merged: DataFrame, grid: Grid, spacing: flo
     Points carry no date and collapse to counts per (edge, cell), so one join on the cell serves all dates.
     Unknown is what the join did not find: total minus known, with the total known from the geometry. Edges
     without any known point enter the same aggregation as zero rows instead of through another join.
-    ``dates`` lists the observed dates; give it when ``merged`` is not stored, or it is computed twice."""
+    ``dates`` lists the registered dates: on one without any known cell all edges are unknown."""
     at = (check_points(edges, spacing).select("edge_id", cell_row(F.col("y"), grid).alias("row"), cell_col(F.col("x"), grid).alias("col"))
           .filter(inside_grid(F.col("row"), F.col("col"), grid))
           .groupBy("edge_id", "row", "col").agg(F.count(F.lit(1)).cast("int").alias("n")))

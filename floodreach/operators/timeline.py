@@ -43,13 +43,14 @@ def add_urgency(summary: DataFrame) -> DataFrame:
     iso = F.col("outcome") == "isolated"
     order = [F.col("aid_deadline").asc_nulls_last(), F.col("population").desc_nulls_last(), F.col("village_id").asc()]
     ranked = global_rank(summary.filter(iso), order, "urgency_rank")
-    rest = summary.filter(~iso).withColumn("urgency_rank", F.lit(None).cast("int"))
+    rest = summary.filter(~iso).withColumn("urgency_rank", F.lit(None).cast("bigint"))
     return ranked.unionByName(rest)
 
 
 def summarise(status: DataFrame, villages: DataFrame, supply_days: int = 7) -> DataFrame:
     """Timeline of each village seen in ``status`` with deadline, rank and range text."""
-    s = villages.select("village_id", "name", "population").join(fold_timeline(status), "village_id", "right")
+    names = [c for c in ("name", "name_bn", "population") if c in villages.columns]
+    s = villages.select("village_id", *names).join(fold_timeline(status), "village_id", "right")
     s = add_urgency(add_deadlines(s, supply_days))
     return s.withColumn("isolation_range", isolation_range_text(F.col("outcome"), F.col("last_connected"), F.col("isolated_from_earliest"), F.col("first_isolated")))
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import nearest, network, raster, roads, timeline
 from ..operators.evaluate import match_reports, score_reports
-from ..params import UNKNOWN, Grid, Params
+from ..params import Grid, Params
 from ..session import materialize
 from ..sources.documents import meta_document, write_geojson
 from ..sources.tables import write_by_date, write_csv
@@ -14,23 +14,28 @@ from ..sources.tables import write_by_date, write_csv
 def road_status_for(cells: DataFrame, edges: DataFrame, grid: Grid, p: Params = Params(), sources: list[str] | None = None) -> DataFrame:
     """Minimum slice: which roads are cut on each date."""
     merged = raster.merge_by_date(cells, sources, p)
-    dates = cells.filter(F.col("value") != UNKNOWN).select("date")
+    dates = (cells.filter(F.col("source").isin(list(sources))) if sources else cells).select("date")
     return roads.road_status(roads.edge_fractions(edges, merged, grid, p.spacing_m, dates), p)
 
 
 def run(cells: DataFrame, nodes: DataFrame, edges: DataFrame, villages: DataFrame, shelters: DataFrame, grid: Grid,
-        reports: DataFrame | None = None, p: Params = Params(), label: str = "") -> dict[str, DataFrame]:
+        reports: DataFrame | None = None, p: Params = Params(), label: str = "", dates: DataFrame | None = None) -> dict[str, DataFrame]:
     """All result tables. Stages that several later ones read are written once: merged cells, road status,
-    snapped places, solved scenarios, village status."""
+    snapped places, solved scenarios, village status.
+
+    ``dates`` lists the registered dates (a manifest, say); without it, all dates of ``cells``, known or not. On a date
+    whose maps know nothing every road is unknown."""
     t: dict[str, DataFrame] = {}
+    days = materialize((cells if dates is None else dates).select("date").distinct(), "dates")
     t["merged"] = materialize(raster.merge_by_date(cells, p=p), "merged")
-    t["coverage"] = materialize(raster.coverage(t["merged"], grid, cells.select("date"), p), "coverage")
-    t["road_status"] = materialize(roads.road_status(roads.edge_fractions(edges, t["merged"], grid, p.spacing_m), p), "road_status")
+    t["coverage"] = materialize(raster.coverage(t["merged"], grid, days, p), "coverage")
+    t["road_status"] = materialize(roads.road_status(roads.edge_fractions(edges, t["merged"], grid, p.spacing_m, days), p), "road_status")
     t["road_cut_summary"] = roads.cut_km(t["road_status"], edges, p)
     t["villages_snapped"] = materialize(nearest.snap_villages(villages, nodes, p), "villages")
     t["shelters_snapped"] = materialize(nearest.snap_shelters(shelters, nodes, p), "shelters")
-    graph, solved = network.solve(edges, t["road_status"], t["villages_snapped"], t["shelters_snapped"], p)
-    t["village_status"] = materialize(network.village_status(solved, t["road_status"], t["villages_snapped"], t["shelters_snapped"]), "village_status")
+    pairs = network.scenario_axis(t["road_status"])
+    graph, solved = network.solve(edges, t["road_status"], t["villages_snapped"], t["shelters_snapped"], p, pairs)
+    t["village_status"] = materialize(network.village_status(solved, t["road_status"], t["villages_snapped"], t["shelters_snapped"], pairs), "village_status")
     t["sensitivity"] = network.status_counts(t["village_status"])
     main = t["village_status"].filter(F.col("threshold") == F.lit(float(p.main_threshold)))
     summary = materialize(timeline.summarise(main, villages, p.supply_days), "summary")

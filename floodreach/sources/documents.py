@@ -50,8 +50,7 @@ def read_geojson(spark: SparkSession, path: str, properties: str, kind: str = "P
 
 def lonlat_box(grid: Grid):
     """[[south, west], [north, east]] of the grid as one column, from its four corners."""
-    x0, y0, x1, y1 = grid.bounds
-    c = [to_lonlat(F.lit(x), F.lit(y)) for x in (x0, x1) for y in (y0, y1)]
+    c = [to_lonlat(F.lit(x), F.lit(y)) for x in (grid.xmin, grid.xmax) for y in (grid.ymin, grid.ymax)]
     lon, lat = [a for a, _ in c], [b for _, b in c]
     return F.array(F.array(F.least(*lat), F.least(*lon)), F.array(F.greatest(*lat), F.greatest(*lon)))
 

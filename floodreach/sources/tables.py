@@ -38,9 +38,11 @@ def read_csv(spark: SparkSession, path: str, schema: str, required: list[str] |
 
 def shelters_from_csv(spark: SparkSession, path: str) -> DataFrame:
     from ..schema import SHELTERS_CSV
-    s = read_csv(spark, path, SHELTERS_CSV, ["shelter_id", "name", "lat", "lon"])
+    raw = spark.read.csv(path, header=True, multiLine=False, escape='"')
+    s = typed(raw, SHELTERS_CSV, ["shelter_id", "name", "lat", "lon"])
     x, y = to_utm(F.col("lon"), F.col("lat"))
-    return s.withColumn("x", x).withColumn("y", y)
+    s = s.withColumn("x", x).withColumn("y", y)
+    return s if "verified" in raw.columns else s.drop("verified")  # a list without the column counts as checked
 
 
 def load_shelters(spark: SparkSession, verified_path: str, candidates_path: str) -> DataFrame:
@@ -104,8 +106,12 @@ def register_flood_maps(cells: DataFrame, notes: DataFrame, root: str, p: Params
 
     Only the (date, source) partitions named in ``notes`` are replaced; a map without any known cell leaves a single
     UNKNOWN marker row, so that it still replaces an earlier one. Rows are clustered by tile within a partition so
-    that later readers can skip row groups."""
+    that later readers can skip row groups. Sources are checked before anything is written."""
     spark = cells.sparkSession
+    strange = sorted(str(r[0]) for r in notes.select("source").distinct().filter(~F.coalesce(F.col("source").isin(*p.source_priority), F.lit(False))).collect())
+    if strange:
+        raise ValueError(f"unknown source {', '.join(strange)}")
+    cells = cells.join(notes.select("date", "source").distinct(), ["date", "source"], "left_semi")
     tile = [F.floor(F.col("row") / p.tile_px), F.floor(F.col("col") / p.tile_px)]
     marker = notes.select("date", "source", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(255).alias("value"))
     (cells.filter(F.col("value") != 255).select("date", "source", "row", "col", "value").unionByName(marker).repartition("date", "source", *tile).sortWithinPartitions("date", "source", "row", "col")
@@ -118,8 +124,8 @@ def register_flood_maps(cells: DataFrame, notes: DataFrame, root: str, p: Params
 
 
 def write_by_date(df: DataFrame, path: str) -> None:
-    """Long result tables, one folder per date, replacing only the dates present."""
-    df.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    """Long result tables, one folder per date, replacing only the dates present; a date of many rows is several tasks and files."""
+    df.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

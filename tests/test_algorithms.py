@@ -1,5 +1,6 @@
 """Iterative and spatial operators against brute force on small random inputs, crowded ones included."""
 import heapq
+import math
 import random
 from collections import defaultdict
 from difflib import SequenceMatcher, get_close_matches
@@ -29,6 +30,18 @@ def test_nearest_matches_brute_force(spark):
     assert {r.pid for r in near.collect() if r.target_id is None} == {p for p, (d, _) in best.items() if d > 500}
 
 
+def test_nearest_among_an_outlier_and_a_crowded_square(spark):
+    """Three thousand sites in one square kilometre and one far away: exact, and no leaf above the cap."""
+    rng = random.Random(12)
+    sites = [(i, rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(3000)] + [(9999, 4e7, -3e7)]
+    points = [(f"p{i}", rng.uniform(-200, 1200), rng.uniform(-200, 1200)) for i in range(300)] + [("far", 3e7, -3e7), ("mid", 2e5, 2e5)]
+    targets = spark.createDataFrame(sites, "id bigint, x double, y double")
+    got = {r.pid: r.target_id for r in nearest.nearest(spark.createDataFrame(points, "pid string, x double, y double"), targets, "pid", "id", p=Params(knn_bucket_cap=20)).collect()}
+    assert got == {p: min(sites, key=lambda s: (math.hypot(s[1] - x, s[2] - y), s[0]))[0] for p, x, y in points}
+    levels, leaves = nearest._tree(nearest._sites(targets, "id"), 20)
+    assert leaves.count() == 3001 and leaves.groupBy("level", "cx", "cy").count().agg(F.max("count")).first()[0] <= 20 and len(levels) > 3
+
+
 def test_zones_follow_nearest_village(spark):
     v = spark.createDataFrame([("a", 100.0, 900.0), ("b", 800.0, 200.0)], "village_id string, x double, y double")
     grid = Grid(0, 1000, 10, 10, 100)

@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from checks.views import X0, Y0, Views
 from floodreach import Grid, Params
 from floodreach.functions import geometry, text
 from floodreach.functions.simplify import simplify
@@ -21,19 +22,20 @@ D = dt.date
 
 
 def test_grid_snaps_outward(spark, tmp_path):
-    g = Grid.from_bounds(324510.3, 2744601.0, 372930.0, 2785211.0)
-    assert (g.xmin % 20, g.ymax % 20) == (0, 0) and g.xmin <= 324010.3 and g.bounds[2] >= 373430.0
-    pts = spark.createDataFrame([(324510.3, 2744601.0), (372930.0, 2785211.0)], "x double, y double")
-    assert Grid.from_row(tables.grid_from_points(pts).first()) == g
+    pts = spark.createDataFrame([(1003.0, 2017.0), (1500.0, 1990.5), (1238.4, 2960.0)], "x double, y double")
+    g = Grid.from_row(tables.grid_from_points(pts).first())
+    assert g == Grid(500.0, 3460.0, 75, 99, 20.0) and (g.xmax, g.ymin) == (2000.0, 1480.0)
     tables.save_grid(spark, g, str(tmp_path / "grid"))
     assert tables.load_grid(spark, str(tmp_path / "grid")) == g
 
 
 def test_tiles(spark):
-    t = focal.chunk_bounds(spark, Grid(0, 100, 10, 10, 10), 4, 4).orderBy("y0", "x0").collect()
-    assert [(r.x0, r.y0, r.x1, r.y1) for r in t] == [(0, 0, 4, 4), (4, 0, 8, 4), (8, 0, 10, 4), (0, 4, 4, 8), (4, 4, 8, 8), (8, 4, 10, 8), (0, 8, 4, 10), (4, 8, 8, 10), (8, 8, 10, 10)]
+    grid = Grid(0, 0, 13, 7, 5)
+    t = focal.chunk_bounds(spark, grid, 5, 3).collect()
+    covered = [(x, y) for r in t for x in range(r.x0, r.x1) for y in range(r.y0, r.y1)]
+    assert len(t) == 9 and len(covered) == len(set(covered)) == grid.size and max(r.x1 for r in t) == 13 and max(r.y1 for r in t) == 7
     with pytest.raises(ValueError, match="positive"):
-        focal.chunk_bounds(spark, Grid(0, 100, 10, 10, 10), 0)
+        focal.chunk_bounds(spark, grid, 5, -1)
 
 
 def test_shelter_csv_and_selection(spark, tmp_path):
@@ -46,6 +48,8 @@ def test_shelter_csv_and_selection(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("shelter_id,name\n1,x\n")
     with pytest.raises(ValueError, match="lat"):
         tables.shelters_from_csv(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "plain.csv").write_text("shelter_id,name,lat,lon\n1,x,25,91\n2,y,25,91\n")
+    assert tables.load_shelters(spark, str(tmp_path / "plain.csv"), "x").count() == 2
     (tmp_path / "no.csv").write_text("shelter_id,name,lat,lon,verified\n1,x,25,91,no\n")
     with pytest.raises(ValueError, match="verified"):
         tables.load_shelters(spark, str(tmp_path / "no.csv"), "x")
@@ -62,6 +66,12 @@ def test_register_flood_maps_replaces_partitions(spark, tmp_path):
     assert rows(spark.read.parquet(f"{root}/cells").filter("value <> 255"), "source", "row", "value") == [("modis", 5, 0), ("unosat", 0, 0)]
     tables.register_flood_maps(b.limit(0), b.select("date", "source", F.lit("all cloud").alias("note")), root)
     assert rows(spark.read.parquet(f"{root}/cells").filter("value <> 255"), "source") == [("unosat",)]
+    strange = b.withColumn("source", F.lit("drone"))
+    with pytest.raises(ValueError, match="unknown source drone"):
+        tables.register_flood_maps(strange, strange.select("date", "source", F.lit("").alias("note")), root)
+    assert spark.read.parquet(f"{root}/cells").filter("source = 'drone'").isEmpty()
+    tables.register_flood_maps(b.withColumn("source", F.lit("unosat")), b.select("date", "source", F.lit("n").alias("note")), root)
+    assert rows(spark.read.parquet(f"{root}/cells").filter("value <> 255"), "source", "row") == [("unosat", 0)]  # cells without a note are left alone
     bad = b.select("date", F.lit("drone").alias("source"), F.lit("p").alias("path"), F.lit("").alias("note"))
     with pytest.raises(Exception, match="unknown source"):
         tables.upsert_manifest(tables.load_manifest(spark, str(tmp_path / "absent")), bad).collect()
@@ -117,49 +127,58 @@ def test_file_inventory(spark, tmp_path):
 
 
 def test_annotations(spark, tmp_path):
-    for image, label in (("10165", "flooded"), ("10166", "non flooded")):
+    for image, label in (("77", "Flooded"), ("a-3", " non flooded")):
         q = "{'Question': 'What is the overall condition of the given image?', " + f"'Ground_Truth': '{label}'}}"
         (tmp_path / f"{image}.JPG.json").write_text(json.dumps({"tags": [{"name": "question", "value": q}]}))
     labels = documents.read_annotations(spark, str(tmp_path))
-    assert rows(labels) == [("10165", 1), ("10166", 0)]
-    images = spark.createDataFrame([("10165",), ("10166",), ("10170",)], "image_id string")
-    paired, missing = documents.pair_images(images, labels)
-    assert paired.count() == 2 and missing.count() == 0
+    assert rows(labels) == [("77", 1), ("a-3", 0)]
+    seen = spark.createDataFrame([("a-3",), ("77",), ("77",), ("b",)], "image_id string")
+    paired, missing = documents.pair_images(seen, labels)
+    assert rows(paired) == [("77", 1), ("a-3", 0)] and missing.isEmpty()
     with pytest.raises(Exception, match="each class"):
-        documents.pair_images(images.limit(1), labels)[0].collect()
-    (tmp_path / "1.json").write_text(json.dumps({"tags": [{"name": "question", "value": q.replace("non flooded", "dry")}]}))
+        documents.pair_images(seen.filter("image_id = '77'"), labels)[0].collect()
+    (tmp_path / "1.json").write_text(json.dumps({"tags": [{"name": "question", "value": q.replace("non flooded", "half wet")}]}))
     with pytest.raises(Exception, match="unsupported label"):
         documents.read_annotations(spark, str(tmp_path)).collect()
 
 
-def _package(spark, dates):
-    day = "2022-06-07"
-    meta = spark.createDataFrame([("DEMO", dates, {d: [[0.0, 0.0], [1.0, 1.0]] for d in dates}, {d: "demo" for d in dates}, {d: 0.0 for d in dates}, "2022-06-01", "2022-06-30")],
-                                 "data_label string, dates array<string>, flood_bounds map<string,array<array<double>>>, sources map<string,string>, unknown_pct map<string,double>, app_start string, app_end string")
-    line = "geom array<struct<x:double,y:double>>"
-    return {"meta": meta, "villages": spark.createDataFrame([("v1", "Village", 100, 0.0, 0.0)], "village_id string, name string, population bigint, x double, y double"),
-            "village_status": spark.createDataFrame([("v1", day, "isolated", 1000.0, "s1")], "village_id string, date string, status string, dist_to_shelter_m double, nearest_shelter_id string"),
-            "shelters": spark.createDataFrame([("s1", 1.0, 1.0)], "shelter_id string, x double, y double"),
-            "exit_routes": spark.createDataFrame([("v1", [(0.0, 0.0), (1.0, 1.0)])], f"village_id string, {line}"), "cut_roads": spark.createDataFrame([], f"edge_id string, {line}"),
-            "flood": spark.createDataFrame([(0, 0, 0), (0, 1, 1)], "row int, col int, value int")}
+def _published(spark):
+    """A consistent dataset of three villages and two dates around easting 400 000."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    at = lambda df: df.withColumn("x", F.col("x") + X0).withColumn("y", F.col("y") + Y0)
+    villages = at(v.villages.limit(3))
+    days = v.cells.select("date").distinct().orderBy("date").limit(2)
+    cells = v.cells.join(days, "date", "left_semi")
+    status = villages.select("village_id").crossJoin(days).select("village_id", "date", F.lit("connected").alias("status"), F.lit(12.5).alias("dist_to_shelter_m"), F.lit("s").alias("nearest_shelter_id"))
+    lines = v.edges.limit(5).select("edge_id", F.lit("v").alias("village_id"), F.transform("geom", lambda q: F.struct((q["x"] + X0).alias("x"), (q["y"] + Y0).alias("y"))).alias("geom"))
+    return {"meta": documents.meta_document(raster.coverage(raster.merge_by_date(cells), v.grid, cells), v.grid, "trial"), "villages": villages, "village_status": status,
+            "shelters": at(v.shelters.limit(2)), "exit_routes": lines, "cut_roads": lines, "flood": cells}
 
 
-def test_contract_accepts_and_rejects(spark):
-    good = _package(spark, ["2022-06-07"])
-    assert quality.is_valid(quality.quality_report(good))
-    r = quality.quality_report(_package(spark, ["2022-06-07", "2022-06-06"])).filter("severity = 'error' and n_bad > 0").collect()
-    assert [x.rule for x in r] == ["chronological"] and "chronological" in r[0].message
-    bad = good | {"village_status": good["village_status"].unionAll(good["village_status"].withColumn("status", F.lit("lost"))), "flood": good["flood"].withColumn("value", F.lit(7))}
-    bad.pop("exit_routes")
-    broken = {(x.table_name, x.rule) for x in quality.quality_report(bad).filter("severity = 'error' and n_bad > 0").collect()}
-    assert broken == {("village_status", "unique_key"), ("village_status", "status_domain"), ("flood", "class_domain"), ("exit_routes", "present")}
+def _faults(tables_):
+    return {(r.table_name, r.rule): (r.severity, r.n_bad) for r in quality.quality_report(tables_, ()).filter("n_bad > 0").collect()}
 
 
-def test_routes_by_date(spark):
-    routes = spark.createDataFrame([("v1", D(2022, 6, 7), "s1", "Shelter 1", 1000), ("v1", D(2022, 6, 14), "s2", "Shelter 2", 2000)], "village_id string, date date, shelter_id string, shelter_name string, length_m bigint")
-    asked = spark.createDataFrame([("v1", D(2022, 6, 10))], "village_id string, day date")
-    assert rows(readpath.routes_available(routes, asked), "shelter_id", "length_m") == [("s1", 1000)]
-    assert readpath.routes_available(routes.drop("date"), asked).count() == 2
+def test_contract_finds_planted_faults(spark):
+    good = _published(spark)
+    assert _faults(good) == {} and quality.is_valid(quality.quality_report(good))
+    state, meta = good["village_status"], good["meta"]
+    bad = good | {"village_status": state.unionAll(state.limit(1).withColumn("status", F.lit("dry"))), "flood": good["flood"].withColumn("value", F.col("value") + 1),
+                  "villages": good["villages"].withColumn("y", F.when(F.col("village_id") > "v000000", F.col("y"))),
+                  "shelters": good["shelters"].select("shelter_id", (F.col("x") / 1e6).alias("x"), (F.col("y") / 1e6).alias("y")),
+                  "meta": meta.withColumn("dates", F.reverse("dates")).withColumn("app_end", F.lit(None).cast("string")).withColumn("data_label", F.lit(""))}
+    bad.pop("cut_roads")
+    n = good["flood"].filter("value <> 0").count()
+    assert _faults(bad) == {("village_status", "unique_key"): ("error", 1), ("village_status", "status_domain"): ("error", 1), ("flood", "class_domain"): ("error", n), ("villages", "geometry"): ("error", 1),
+                            ("shelters", "projected"): ("warning", 1), ("meta", "chronological"): ("error", 1), ("meta", "window"): ("error", 1), ("meta", "label"): ("error", 1), ("cut_roads", "present"): ("error", 1)}
+
+
+def test_routes_known_by_a_day(spark):
+    known = [("w", D(2023, 3, k), f"hall{k}", f"Hall {k}", 100 * k) for k in (2, 9, 30)] + [("z", D(2023, 4, 1), "far", "Far", 5)]
+    routes = spark.createDataFrame(known, "village_id string, date date, shelter_id string, shelter_name string, length_m bigint")
+    asked = spark.createDataFrame([("w", D(2023, 3, 9)), ("z", D(2023, 3, 31))], "village_id string, day date")
+    assert rows(readpath.routes_available(routes, asked), "village_id", "shelter_id") == [("w", "hall2"), ("w", "hall9")]
+    assert readpath.routes_available(routes.drop("date"), asked).count() == 4
 
 
 def test_notice_texts(spark):
@@ -213,17 +232,17 @@ def test_metrics(spark):
 
 def test_report_matching(spark):
     s = spark.createDataFrame([("a", "Dholposhi", "isolated", D(2022, 5, 19), D(2022, 5, 23)), ("b", "Kusiura", "never_isolated", None, None)], "village_id string, name string, outcome string, isolated_from_earliest date, first_isolated date")
-    blank = ("",) * 3
     rep = spark.createDataFrame([("Dolposhi", "", "", "2022-05-20", "", "", "", "", ""), ("x", "", "", "2022-05-30", "no", "", "", "a", ""), ("Nowhere at all", "", "", "2022-05-20", "yes", "", "", "", ""), ("Kusiura", "", "", "", "yes", "", "", "", "")], REPORTS)
     got = {r.place_name: r for r in evaluate.score_reports(evaluate.match_reports(rep, s), s).collect()}
     assert got["Dolposhi"]["match"] == "auto (0.94)" and got["Dolposhi"].error_days == 3 and got["Dolposhi"].report_in_range and got["Dolposhi"].days_outside_range == 0
     assert got["x"]["match"] == "manual" and got["x"].error_days == -7 and got["x"].days_outside_range == 7
     assert got["Nowhere at all"]["match"] == "no match" and got["Nowhere at all"].village_id is None
-    assert got["Kusiura"]["match"] == "auto (1.00)" and got["Kusiura"].error_days is None and len(blank) == 3
+    assert got["Kusiura"]["match"] == "auto (1.00)" and got["Kusiura"].error_days is None
 
 
-# --- replayed results: values copied from published result tables ----------------------------------------------
+# --- replayed results ------------------------------------------------------------------------------------------
 
+# Date, flooded, dry and unknown share of published flood maps, which the decision must reproduce
 SUMMARY = """2022-05-16 3.74 40.92 55.33|2022-05-18 1.32 54.89 43.79|2022-05-23 39.33 60.67 0.0|2022-05-25 36.59 63.41 0.0|2022-05-28 6.31 38.34 55.35|2022-05-30 12.12 43.97 43.91|2022-06-04 34.71 65.29 0.0
 2022-06-06 37.07 62.93 0.0|2022-06-09 6.35 38.18 55.47|2022-06-11 2.72 53.3 43.98|2022-06-16 34.81 65.19 0.0|2022-06-18 42.86 57.14 0.0|2022-06-21 7.32 37.29 55.39|2022-06-23 1.87 54.19 43.93
 2022-06-28 40.83 59.17 0.0|2022-06-30 41.08 58.92 0.0|2022-07-03 7.1 37.52 55.38|2022-07-05 5.75 50.34 43.91|2022-07-12 33.21 66.79 0.0"""
@@ -238,6 +257,7 @@ def test_replay_go_no_go(spark):
 
 
 def test_replay_village_summary(spark):
+    # Two published village results
     isolated = [("Dholkotob village", "2022-05-18", "2022-05-23", "2022-05-19", "2022-05-26", "isolated between 19 May and 23 May"), ("Patharia", None, "2022-05-23", "2022-05-23", "2022-05-30", "isolated on or before 23 May")]
     df = spark.createDataFrame([(n, "isolated", a, b, c, d, t) for n, a, b, c, d, t in isolated], "name string, outcome string, lc string, fi string, ie string, dl string, txt string")
     for c in ("lc", "fi", "ie", "dl"):
