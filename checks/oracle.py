@@ -23,7 +23,7 @@ CTES = {
     "nodes": "SELECT p_partkey AS node_id, ((p_partkey%50)*200+(p_size%5)*10)::DOUBLE AS x, ((p_partkey//50)*200+(p_size%7)*10)::DOUBLE AS y FROM part",
     "links": """SELECT p_partkey AS u, p_partkey+1 AS v FROM part, c WHERE p_partkey%50<49 AND (p_partkey*7+p_size)%10<8 AND p_partkey+1<n
         UNION ALL SELECT p_partkey, p_partkey+50 FROM part, c WHERE (p_partkey*3+p_size)%10<8 AND p_partkey+50<n""",
-    "edges": """SELECT l.u||'-'||l.v||'-0' AS edge_id, l.u, l.v, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS len,
+    "edges": """SELECT l.u||'-'||l.v||'-0' AS edge_id, l.u, l.v, CASE WHEN l.u%3=0 THEN b.x ELSE a.x END AS x0, CASE WHEN l.u%3=0 THEN b.y ELSE a.y END AS y0, CASE WHEN l.u%3=0 THEN a.x ELSE b.x END AS x1, CASE WHEN l.u%3=0 THEN a.y ELSE b.y END AS y1, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS len,
         floor(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))*1000)::BIGINT AS mm, floor(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))*1000)/1000.0 AS length_m
         FROM links l JOIN nodes a ON a.node_id=l.u JOIN nodes b ON b.node_id=l.v""",
     "lattice": f"SELECT d, r, c, {base()} AS b FROM (SELECT i//(h*64) AS d, (i//64)%h AS r, i%64 AS c FROM (SELECT unnest(range(10*h*64)) AS i, h FROM c))",
@@ -109,6 +109,19 @@ CTES["tsum"] = """SELECT f.village_id, v.name, v.population, outcome, last_conne
     FROM tfold f LEFT JOIN villages v USING (village_id)"""
 
 
+CTES["esum"] = CTES["tsum"].replace("FROM tfold f", "FROM (SELECT * FROM vfold WHERE threshold=0.2) f")
+CTES["xroutes"] = f"""SELECT f.village_id, f.safe_exit_date AS date, s.nearest_shelter_id AS shelter_id, sh.name AS shelter_name, {rint('p.dist/1000.0::DOUBLE')}::BIGINT AS length_m, v.node_id FROM vfold f JOIN vsnap v USING (village_id)
+    JOIN solved p ON p.threshold=0.2 AND p.mode='pessimistic' AND p.date=f.safe_exit_date AND p.node=v.node_id JOIN vstatus s ON s.threshold=0.2 AND s.date=f.safe_exit_date AND s.village_id=f.village_id
+    JOIN shelters sh ON sh.shelter_id=s.nearest_shelter_id WHERE f.threshold=0.2 AND f.safe_exit_date IS NOT NULL"""
+# the way from each junction: of all tight links to the same source, the smallest (junction, edge)
+CTES["parc"] = "SELECT date, u AS a, v AS b, w, edge_id FROM graph WHERE threshold=0.2 AND mode='pessimistic' UNION ALL SELECT date, v, u, w, edge_id FROM graph WHERE threshold=0.2 AND mode='pessimistic'"
+CTES["psol"] = "SELECT date, node, dist, src FROM solved WHERE threshold=0.2 AND mode='pessimistic'"
+CTES["pick"] = """SELECT p.date, p.a AS node, arg_min(p.b, (p.b, p.edge_id)) AS next FROM parc p JOIN psol h ON h.date=p.date AND h.node=p.a JOIN psol t ON t.date=p.date AND t.node=p.b
+    WHERE h.dist=t.dist+p.w AND h.src=t.src GROUP BY ALL"""
+CTES["walk(village_id, date, k, node)"] = "SELECT village_id, date, 0, node_id FROM xroutes UNION ALL SELECT w.village_id, w.date, w.k+1, p.next FROM walk w JOIN pick p ON p.date=w.date AND p.node=w.node"
+CTES["waytext"] = "SELECT village_id, string_agg(x::BIGINT||' '||y::BIGINT, ',' ORDER BY k) AS way, count(*) AS n FROM walk JOIN nodes ON node_id=node GROUP BY village_id"
+
+
 def _name(key: str) -> str:
     return re.split(r"[ (]", key)[0]
 

@@ -302,7 +302,7 @@ def _(v):
     return patches.require_dem(v.cells, v.cells.withColumn("date", F.when(F.col("source") == "dem_estimate", F.col("date")).otherwise(day("2022-06-11"))))
 
 
-@query("split_dates")
+@query("split_dates", sql("SELECT date, CASE WHEN row_number() OVER (ORDER BY md5('42:'||date::VARCHAR))<=ceil(count(*) OVER ()*0.2) THEN 'validation' ELSE 'train' END AS split FROM dates"))
 def _(v):
     return evaluate.split_dates(v.cells)
 
@@ -312,10 +312,9 @@ def _(v):
     return evaluate.split_dates_in_time(v.cells)
 
 
-@query("split_labels", "SELECT quality, count(*) AS n, ceil(count(*)*0.2)::BIGINT AS validation FROM labels GROUP BY quality")
+@query("split_labels", "SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY md5('42:'||doc_id), doc_id)<=ceil(count(*) OVER (PARTITION BY quality)*0.2) THEN 'validation' ELSE 'train' END AS split FROM (SELECT DISTINCT doc_id, quality FROM labels)")
 def _(v):
-    s = evaluate.split_by_hash(v.table("labels"), "doc_id", 0.2, 42, by="quality")
-    return s.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "validation").alias("validation"))
+    return evaluate.split_by_hash(v.table("labels"), "doc_id", 0.2, 42, by="quality")
 
 
 # --- roads ---------------------------------------------------------------------------------------------------
@@ -379,17 +378,27 @@ def _(v):
     return nearest.nearest(v.villages, v.shelters, "village_id", "shelter_id", "shelter_id", "d", max_distance=1000.0)
 
 
-@query("village_at_click")
+@query("village_at_click", sql(f"""SELECT m.node_id AS click_id, arg_min(w.village_id, (w.d, w.village_id)) AS village_id, {rint('min(w.d)', 6)} AS distance_m FROM nodes m LEFT JOIN (
+    SELECT n.node_id, v.village_id, sqrt(((v.x-n.x-35)/100000.0::DOUBLE*111320.0::DOUBLE*cos(radians(24+n.y/100000.0::DOUBLE)))**2+((v.y-n.y)/100000.0::DOUBLE*110540.0::DOUBLE)**2) AS d FROM nodes n, villages v) w ON w.node_id=m.node_id AND w.d<=400 GROUP BY m.node_id"""))
 def _(v):
-    clicks = v.with_lonlat(v.nodes.select(F.col("node_id").alias("click_id"), (F.col("x") + 35).alias("x"), F.col("y")))
-    return nearest.village_at_click(clicks, v.with_lonlat(v.villages))
+    degrees = lambda df, shift: df.withColumn("lon", F.lit(91.0) + (F.col("x") + shift) / 100000.0).withColumn("lat", F.lit(24.0) + F.col("y") / 100000.0)
+    found = nearest.village_at_click(degrees(v.nodes.withColumnRenamed("node_id", "click_id"), 35.0), degrees(v.villages, 0.0))
+    return found.withColumn("distance_m", half_even(F.col("distance_m"), 6))
 
 
-@query("utm_round_trip", sql(f"SELECT node_id, {rint('x+324000', 3)} AS x, {rint('y+2700000', 3)} AS y FROM nodes"))
+# Forward projection by meridian arc and Redfearn's series, where the library uses Krueger's
+UTM = {"g": "SELECT node_id, radians(24+y/50000.0::DOUBLE) AS f, radians((x-5000)/20000.0::DOUBLE) AS l, 0.0016792203863837047::DOUBLE AS n, 0.006694379990141317::DOUBLE AS e2, 6378137.0::DOUBLE AS a FROM nodes",
+       "h": "SELECT *, a/sqrt(1-e2*sin(f)*sin(f)) AS v, tan(f)*tan(f) AS t, e2/(1-e2) AS ep, e2/(1-e2)*cos(f)*cos(f) AS cc, l*cos(f) AS aa, a/(1+n)*((1+n*n/4+n*n*n*n/64)*f-1.5*(n-n*n*n/8)*sin(2*f)+15/16.0::DOUBLE*(n*n-n*n*n*n/4)*sin(4*f)-35/48.0::DOUBLE*n*n*n*sin(6*f)+315/512.0::DOUBLE*n*n*n*n*sin(8*f)) AS m FROM g"}
+
+
+@query("utm", sql(f"""SELECT node_id, {rint('500000+0.9996::DOUBLE*v*(aa+(1-t+cc)*aa*aa*aa/6+(5-18*t+t*t+72*cc-58*ep)*aa*aa*aa*aa*aa/120)', 3)} AS x,
+    {rint('0.9996::DOUBLE*(m+v*tan(f)*(aa*aa/2+(5-t+9*cc+4*cc*cc)*aa*aa*aa*aa/24+(61-58*t+t*t+600*cc-330*ep)*aa*aa*aa*aa*aa*aa/720))', 3)} AS y, {rint('degrees(l)+93', 9)} AS lon, {rint('degrees(f)', 9)} AS lat FROM h""", **UTM))
 def _(v):
-    ll = v.with_lonlat(v.nodes)
-    x, y = geometry.to_utm(F.col("lon"), F.col("lat"))
-    return ll.select("node_id", half_even(x, 3).alias("x"), half_even(y, 3).alias("y"))
+    """Projected coordinates of given degrees, and the degrees the library gives back for them."""
+    x, y = geometry.to_utm(F.lit(93.0) + (F.col("x") - 5000) / 20000.0, F.lit(24.0) + F.col("y") / 50000.0)
+    there = v.nodes.select("node_id", x.alias("x"), y.alias("y"))
+    lon, lat = geometry.to_lonlat(F.col("x"), F.col("y"))
+    return there.select("node_id", half_even(F.col("x"), 3).alias("x"), half_even(F.col("y"), 3).alias("y"), half_even(lon, 9).alias("lon"), half_even(lat, 9).alias("lat"))
 
 
 @query("polygon_measures", sql(f"SELECT polygon_id, {rint('2*size*size', 3)} AS area, {rint('x', 3)} AS cx, {rint('y', 3)} AS cy, {rint('4*size*sqrt(2)-sqrt(2)*size', 3)} AS outline FROM polys"))
@@ -415,10 +424,12 @@ def _(v):
     return p.join(n, ["bx", "by"]).filter(geometry.ring_distance(F.col("ring"), F.col("x"), F.col("y")) <= 101.3).select("polygon_id", "node_id")
 
 
-@query("simplified_lines")
+@query("simplified_lines", sql("SELECT node_id, CASE WHEN node_id%12>5 THEN x::BIGINT||','||(x+200)::BIGINT||','||(x+500)::BIGINT ELSE x::BIGINT||','||(x+500)::BIGINT END AS kept FROM nodes"))
 def _(v):
-    wiggle = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.struct((F.col("x") + i * 5.0).alias("x"), (F.col("y") + F.sin(i * F.col("node_id")) * 8.0).alias("y")))
-    return v.nodes.select("node_id", simplify(wiggle, 5.0).alias("line"))
+    """Lines that rise evenly to a peak of 0 to 11 m at the 41st of 101 vertices and fall evenly: only the peak may stay."""
+    rise = lambda i: F.when(i <= 40, i / 40.0).otherwise((100 - i) / 60.0)
+    peak = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: F.struct((F.col("x") + i * 5.0).alias("x"), (F.col("y") + rise(i) * (F.col("node_id") % 12)).alias("y")))
+    return v.nodes.select("node_id", F.array_join(F.transform(simplify(peak, 5.0), lambda p: p["x"].cast("bigint").cast("string")), ",").alias("kept"))
 
 
 @query("tag_cleaning", """SELECT 'osm'||p_partkey AS shelter_id, CASE WHEN p_size%5=0 THEN '(unnamed)' ELSE p_name END AS name, CASE WHEN p_size%4=0 THEN 'school' WHEN p_size%4=1 THEN 'healthcare' ELSE 'government' END AS type FROM part WHERE p_size%4<3""")
@@ -541,14 +552,13 @@ def _(v):
     return timeline.sensitivity(network.village_status(solved, rs, vs, ss), v.villages)
 
 
-@query("exit_routes", sql(f"""SELECT f.village_id, f.safe_exit_date AS date, s.nearest_shelter_id AS shelter_id, sh.name AS shelter_name, {rint('p.dist/1000.0::DOUBLE')}::BIGINT AS length_m FROM vfold f JOIN vsnap v USING (village_id)
-    JOIN solved p ON p.threshold=0.2 AND p.mode='pessimistic' AND p.date=f.safe_exit_date AND p.node=v.node_id JOIN vstatus s ON s.threshold=0.2 AND s.date=f.safe_exit_date AND s.village_id=f.village_id
-    JOIN shelters sh ON sh.shelter_id=s.nearest_shelter_id WHERE f.threshold=0.2 AND f.safe_exit_date IS NOT NULL"""))
+@query("exit_routes", sql("SELECT village_id, date, shelter_id, shelter_name, length_m, CASE WHEN n=1 THEN way||','||way ELSE way END AS way FROM xroutes JOIN waytext USING (village_id)"))
 def _(v):
     rs, vs, ss, graph, solved = _solve(v)
     main = network.village_status(solved, rs, vs, ss).filter(F.col("threshold") == 0.2)
     folded = materialize(timeline.fold_timeline(main), "folded")
-    return network.exit_routes(graph, solved, folded, vs, v.edges, v.nodes, ss).drop("geom")
+    spot = lambda p: F.concat_ws(" ", p["x"].cast("bigint").cast("string"), p["y"].cast("bigint").cast("string"))
+    return network.exit_routes(graph, solved, folded, vs, v.edges, v.nodes, ss).withColumn("way", F.array_join(F.transform("geom", spot), ",")).drop("geom")
 
 
 # --- timeline and read path ----------------------------------------------------------------------------------
@@ -642,9 +652,17 @@ def _(v):
     return readpath.village_card(summary(v), _routes(v), _asked(v))
 
 
-@query("notice_text_bn")
+def _bn_day(d):
+    return f"translate(day({d})::VARCHAR, '0123456789', '০১২৩৪৫৬৭৮৯')||' '||CASE month({d}) WHEN 5 THEN 'মে' WHEN 6 THEN 'জুন' WHEN 7 THEN 'জুলাই' ELSE strftime({d},'%b') END"
+
+
+@query("notice_text_bn", sql(f"""SELECT village_id, day, name, sn AS shelter_name, m/1000.0::DOUBLE AS route_km, CASE WHEN day>=isolated_from_earliest THEN datediff('day', day, aid_deadline) END::INT AS days_left, CASE WHEN day>=isolated_from_earliest THEN datediff('day', day, aid_deadline) END<=2 AS urgent,
+    'সতর্কতা (পরীক্ষামূলক): '||CASE WHEN substr(village_id,2)::INT%2=1 THEN 'গ্রাম '||name ELSE name END||' এর সড়ক যোগাযোগ '||CASE WHEN last_connected IS NULL THEN {_bn_day('first_isolated')}||' বা তার আগে' ELSE {_bn_day('isolated_from_earliest')}||' - '||{_bn_day('first_isolated')} END||
+    ' এর মধ্যে বিচ্ছিন্ন হতে পারে। নিরাপদ পথ: '||CASE WHEN m IS NULL THEN 'জানা নেই' ELSE 'সড়কপথে '||translate(printf('%.1f', m/1000.0::DOUBLE), '0123456789', '০১২৩৪৫৬৭৮৯')||' কিমি' END||'। নিকটতম আশ্রয়কেন্দ্র: '||coalesce(sn, 'জানা নেই')||'। সরকারি সতর্কবার্তা মেনে চলুন।' AS notice
+    FROM tsum JOIN ask USING (village_id) LEFT JOIN (SELECT village_id, ask.day, arg_min(shelter_name, (date, shelter_id)) AS sn, arg_min(length_m, (date, shelter_id)) AS m FROM ask JOIN rt USING (village_id) WHERE date<=ask.day GROUP BY ALL) r USING (village_id, day) WHERE outcome='isolated'""", **ROUTES))
 def _(v):
-    return readpath.village_card(summary(v), _routes(v), _asked(v), "bn")
+    named = v.villages.withColumn("name_bn", F.when(F.substring("village_id", 2, 9).cast("int") % 2 == 1, F.concat(F.lit("গ্রাম "), "name")))
+    return readpath.village_card(timeline.summarise(v.status, named), _routes(v), _asked(v), "bn")
 
 
 # --- rain ----------------------------------------------------------------------------------------------------
@@ -757,7 +775,7 @@ def _(v):
     return m.filter(F.col("date").between(day("2022-06-03"), day("2022-06-08")))
 
 
-@query("engine_end_to_end")
+@query("engine_end_to_end", sql("SELECT s.*, r.shelter_id AS exit_shelter_id, r.shelter_name AS exit_shelter, r.length_m AS exit_route_m FROM esum s LEFT JOIN xroutes r USING (village_id)"))
 def _(v):
     """Whole run over all tables; the village summary with exit routes is what comes out."""
     return engine.run(v.cells, v.nodes, v.edges, v.villages, v.shelters, v.grid)["village_summary"]

@@ -51,7 +51,7 @@ class Views:
         dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
         mm = F.floor(F.sqrt(dx * dx + dy * dy) * 1000)
         return e.select(F.concat_ws("-", F.col("u").cast("string"), F.col("v").cast("string"), F.lit("0")).alias("edge_id"), "u", "v",
-                        (mm / 1000.0).alias("length_m"), F.array("a", "b").alias("geom"))
+                        (mm / 1000.0).alias("length_m"), F.when(F.col("u") % 3 == 0, F.array("b", "a")).otherwise(F.array("a", "b")).alias("geom"))
 
     @property
     def lattice(self) -> DataFrame:

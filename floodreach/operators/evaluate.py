@@ -87,10 +87,10 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 def split_by_hash(df: DataFrame, item: str, fraction: float = 0.2, seed: int = 42, by: str | None = None) -> DataFrame:
     """Train/validation split of distinct items, ceil(fraction * n) to validation, optionally within each label.
 
-    Items are ordered by a seeded hash. Instead of ranking a whole label in one task, the cut is located on a
+    Items are ordered by the MD5 of seed and item. Instead of ranking a whole label in one task, the cut is located on a
     histogram of hash prefixes and only the bucket that straddles it is ranked."""
     keys = [by] if by else []
-    items = df.select(item, *keys).distinct().withColumn("_h", F.xxhash64(item, F.lit(seed))).withColumn("_b", F.shiftright("_h", 48))
+    items = df.select(item, *keys).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")))).withColumn("_b", F.substring("_h", 1, 4))
     hist = items.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     hist = (hist.withColumn("_cut", F.ceil(F.sum("_c").over(part) * F.lit(fraction)))
