@@ -78,7 +78,7 @@ CTES = {
     "backscatter": f"""SELECT DATE '2022-06-01'+d::INT AS date, row, col, relative_orbit, t, CASE WHEN cents%37<>0 THEN (CASE WHEN {base('d', 'row', 'col')}=1 THEN -22.0::DOUBLE ELSE -10.0::DOUBLE END)+cents/100.0::DOUBLE END AS vv_db,
         -9.0::DOUBLE+cents/200.0::DOUBLE AS dry_db, ((row*3+col)%8)::DOUBLE AS slope_deg, cents AS qa FROM (SELECT l_orderkey%10 AS d, (l_partkey%h)::INT AS row, ((l_suppkey*7+l_linenumber)%64)::INT AS col, (l_linenumber%4)::INT AS relative_orbit,
         l_shipdate AS t, round(l_extendedprice*100)::BIGINT%400 AS cents FROM lineitem, c)""",
-    "dem": "SELECT row::INT AS row, col::INT AS col, (abs(row%64-50)+abs(col-22))/8.0::DOUBLE+((row*13+col*7)%16)/16.0::DOUBLE AS elevation FROM (SELECT i//64 AS row, i%64 AS col FROM (SELECT unnest(range(h*64)) AS i FROM c)) WHERE (row*7+col)%29<>0",
+    "dem": "SELECT row::INT AS row, col::INT AS col, (abs(row%64-50)+abs(col-22))/8.0::DOUBLE+(p_size%16)/16.0::DOUBLE AS elevation FROM (SELECT i//64 AS row, i%64 AS col, i%n AS k FROM (SELECT unnest(range(h*64)) AS i, n FROM c)) JOIN part ON p_partkey=k WHERE (row*7+col)%29<>0",
     "reports": """SELECT o_orderkey, CASE WHEN c_custkey%3=0 THEN substr(c_name,1,9+(c_custkey%9)::INT)||substr(c_name,11+(c_custkey%9)::INT) ELSE c_name END AS place_name, strftime(DATE '2024-01-01'+(day(o_orderdate)-1)::INT, '%Y-%m-%d') AS date_reported,
         CASE o_orderkey%4 WHEN 0 THEN 'no' WHEN 1 THEN '' ELSE 'yes' END AS reported_isolated, CASE WHEN o_orderkey%7=0 THEN printf('v%06d', c_custkey) ELSE '' END AS village_id
         FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_orderstatus='F'""",
@@ -109,6 +109,9 @@ CTES["tsum"] = """SELECT f.village_id, v.name, v.population, outcome, last_conne
     FROM tfold f LEFT JOIN villages v USING (village_id)"""
 
 
+CTES["ain"] = "SELECT 0.0::DOUBLE AS threshold, v.village_id, s.date, s.status FROM villages v JOIN status s ON s.village_id=printf('v%06d', substr(v.village_id,2)::INT%15)"
+CTES["afold"] = fold("ain")
+CTES["asum"] = CTES["tsum"].replace("FROM tfold f", "FROM afold f")
 CTES["esum"] = CTES["tsum"].replace("FROM tfold f", "FROM (SELECT * FROM vfold WHERE threshold=0.2) f")
 CTES["xroutes"] = f"""SELECT f.village_id, f.safe_exit_date AS date, s.nearest_shelter_id AS shelter_id, sh.name AS shelter_name, {rint('p.dist/1000.0::DOUBLE')}::BIGINT AS length_m, v.node_id FROM vfold f JOIN vsnap v USING (village_id)
     JOIN solved p ON p.threshold=0.2 AND p.mode='pessimistic' AND p.date=f.safe_exit_date AND p.node=v.node_id JOIN vstatus s ON s.threshold=0.2 AND s.date=f.safe_exit_date AND s.village_id=f.village_id

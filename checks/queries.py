@@ -90,16 +90,21 @@ def _(v):
     return tables.typed(v.villages.drop("population"), VILLAGES, ["village_id", "name", "x", "y"]).select("village_id", "name", "name_bn", "population")
 
 
-@query("geojson_features")
+@query("geojson_features", sql("SELECT village_id, name, population, 'Point' AS kind, 2 AS n FROM villages"))
 def _(v):
-    return documents.to_geojson(v.villages.withColumn("x", F.col("x") + X0).withColumn("y", F.col("y") + Y0), ["village_id", "name", "population"])
+    """Features read back: properties, geometry type and number of coordinates (their values: query ``utm``)."""
+    f = documents.to_geojson(v.villages.withColumn("x", F.col("x") + X0).withColumn("y", F.col("y") + Y0), ["village_id", "name", "population"])
+    f = f.select(F.from_json("value", "properties struct<village_id:string,name:string,population:bigint>, geometry struct<type:string,coordinates:array<double>>").alias("f"))
+    return f.select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.size("f.geometry.coordinates").alias("n"))
 
 
-@query("cut_roads_geojson")
+@query("cut_roads_geojson", sql("SELECT date::VARCHAR AS date, edge_id, 'LineString' AS kind, 2 AS n FROM road_status WHERE threshold=0.2 AND status='cut'"))
 def _(v):
     cut = engine.road_status_for(v.cells, v.edges, v.grid).filter((F.col("threshold") == 0.2) & (F.col("status") == "cut")).select("date", "edge_id").join(v.edges.select("edge_id", "geom"), "edge_id")
     moved = cut.withColumn("geom", F.transform("geom", lambda p: F.struct((p["x"] + X0).alias("x"), (p["y"] + Y0).alias("y"))))
-    return documents.to_geojson(moved, ["date", "edge_id"], simplify_m=10.0)
+    f = documents.to_geojson(moved, ["date", "edge_id"], simplify_m=10.0)
+    f = f.select(F.from_json("value", "properties struct<date:string,edge_id:string>, geometry struct<type:string,coordinates:array<array<double>>>").alias("f"))
+    return f.select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.size("f.geometry.coordinates").alias("n"))
 
 
 @query("meta_document", sql("SELECT 'synthetic' AS data_label, 0.2::DOUBLE AS cut_threshold, (count(*) OVER ())::INT AS n_dates, CASE src WHEN '' THEN '' ELSE 'sentinel1+unosat+dem_estimate+modis' END AS sources, strftime(date, '%Y-%m-%d') AS date, unknown_pct FROM summary"))
@@ -289,12 +294,24 @@ def _(v):
     return patches.history(merged(v), dates=v.cells)
 
 
-@query("patches")
+HISTORY = """SELECT date, row, col, h0, h1, h2, target FROM (SELECT date, row, col, lag(value,3) OVER w AS h0, lag(value,2) OVER w AS h1, lag(value,1) OVER w AS h2, value AS target, row_number() OVER w AS i FROM (
+    SELECT d.date, k.row, k.col, coalesce(m.value,255) AS value FROM (SELECT DISTINCT row, col FROM merged) k CROSS JOIN dates d LEFT JOIN merged m ON m.date=d.date AND m.row=k.row AND m.col=k.col) WINDOW w AS (PARTITION BY row, col ORDER BY date)) WHERE i>3"""
+
+
+@query("patches", sql("""SELECT strftime(w.date,'%Y%m%d')||'_'||prow||'_'||pcol AS sample_id, w.date, prow, pcol, string_agg(coalesce(h0,255)::INT::VARCHAR, ',' ORDER BY w.row, w.col) AS h0, string_agg(coalesce(h2,255)::INT::VARCHAR, ',' ORDER BY w.row, w.col) AS h2,
+    string_agg(coalesce(target,255)::INT::VARCHAR, ',' ORDER BY w.row, w.col) AS target, sum(CASE WHEN target IS NULL OR w.date=DATE '2022-06-11' THEN 0 ELSE datediff('day', DATE '2022-06-01', w.date) END)::DOUBLE AS rain, sum(CASE WHEN target IS NULL THEN 0 ELSE coalesce(elevation,0) END)::DOUBLE AS elevation
+    FROM win w LEFT JOIN hist USING (date, row, col) LEFT JOIN dem USING (row, col) GROUP BY w.date, prow, pcol""", hist=HISTORY,
+    rs="SELECT DISTINCT least(s, h-16)::INT AS prow FROM (SELECT unnest(range(0, h, 8)) AS s, h FROM c)", cs="SELECT DISTINCT least(s, 48)::INT AS pcol FROM (SELECT unnest(range(0, 64, 8)) AS s)",
+    win="SELECT date, prow, pcol, (prow+i//16)::INT AS row, (pcol+i%16)::INT AS col FROM (SELECT DISTINCT date FROM hist), rs, cs, (SELECT unnest(range(256)) AS i)"))
 def _(v):
+    """Maps as text; of rain and elevation their sums over the patch, where a missing value counts 0."""
     m = materialize(merged(v), "merged")
     mm = F.datediff("date", day("2022-06-01")).cast("double")
     ctx = patches.with_context(patches.history(m, dates=v.cells), m.select("date").distinct().withColumn("mm", mm), v.dem)
-    return patches.patches(ctx, v.grid, 16, ["h0", "h1", "h2", "rain", "elevation"])
+    p = patches.patches(ctx, v.grid, 16, ["h0", "h1", "h2", "rain", "elevation"])
+    plain = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",").alias(c)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")).alias(c)
+    return p.select("sample_id", "date", "prow", "pcol", plain("h0"), plain("h2"), plain("target"), total("rain"), total("elevation"))
 
 
 @query("dem_available", sql("SELECT date FROM dates"))
@@ -379,10 +396,10 @@ def _(v):
 
 
 @query("village_at_click", sql(f"""SELECT m.node_id AS click_id, arg_min(w.village_id, (w.d, w.village_id)) AS village_id, {rint('min(w.d)', 6)} AS distance_m FROM nodes m LEFT JOIN (
-    SELECT n.node_id, v.village_id, sqrt(((v.x-n.x-35)/100000.0::DOUBLE*111320.0::DOUBLE*cos(radians(24+n.y/100000.0::DOUBLE)))**2+((v.y-n.y)/100000.0::DOUBLE*110540.0::DOUBLE)**2) AS d FROM nodes n, villages v) w ON w.node_id=m.node_id AND w.d<=400 GROUP BY m.node_id"""))
+    SELECT n.node_id, v.village_id, sqrt(((v.x-n.x-35.37::DOUBLE)/100000.0::DOUBLE*111320.0::DOUBLE*cos(radians(24+(n.y+3.11::DOUBLE)/100000.0::DOUBLE)))**2+((v.y-n.y-3.11::DOUBLE)/100000.0::DOUBLE*110540.0::DOUBLE)**2) AS d FROM nodes n, villages v) w ON w.node_id=m.node_id AND w.d<=400 GROUP BY m.node_id"""))
 def _(v):
-    degrees = lambda df, shift: df.withColumn("lon", F.lit(91.0) + (F.col("x") + shift) / 100000.0).withColumn("lat", F.lit(24.0) + F.col("y") / 100000.0)
-    found = nearest.village_at_click(degrees(v.nodes.withColumnRenamed("node_id", "click_id"), 35.0), degrees(v.villages, 0.0))
+    degrees = lambda df, dx, dy: df.withColumn("lon", F.lit(91.0) + (F.col("x") + dx) / 100000.0).withColumn("lat", F.lit(24.0) + (F.col("y") + dy) / 100000.0)
+    found = nearest.village_at_click(degrees(v.nodes.withColumnRenamed("node_id", "click_id"), 35.37, 3.11), degrees(v.villages, 0.0, 0.0))
     return found.withColumn("distance_m", half_even(F.col("distance_m"), 6))
 
 
@@ -487,10 +504,13 @@ def _(v):
     return clusters.density_clusters(clusters.confident_centroids(_buildings(v))).select("point_id", "cluster")
 
 
-@query("settlements")
+@query("settlements", sql(f"""SELECT printf('ob%05d', n) AS village_id, coalesce(w.name, 'Settlement '||n) AS name, CASE WHEN w.name IS NOT NULL THEN 'bn '||w.name END AS name_bn, 'building_cluster' AS place, 'Google Open Buildings v3' AS source, n_buildings, {rint('num.x', 4)} AS x, {rint('num.y', 4)} AS y
+    FROM num LEFT JOIN (SELECT cl, arg_min(name, (d, village_id)) AS name FROM (SELECT num.cl, v.name, v.village_id, sqrt((v.x-num.x)*(v.x-num.x)+(v.y-num.y)*(v.y-num.y)) AS d FROM num, villages v) WHERE d<=1000 GROUP BY cl) w ON w.cl=num.cl""",
+    **BUILD, num="SELECT cl, x, y, n_buildings, row_number() OVER (ORDER BY cl) AS n FROM (SELECT coalesce(l.l, b.l) AS cl, avg(x) AS x, avg(y) AS y, count(*) AS n_buildings FROM pts LEFT JOIN lab l ON l.p=point_id LEFT JOIN bord b ON b.p=point_id WHERE coalesce(l.l, b.l) IS NOT NULL GROUP BY 1)"))
 def _(v):
     b = clusters.density_clusters(clusters.confident_centroids(_buildings(v)))
-    return clusters.settlements(b, v.villages.withColumn("name_bn", F.lit(None).cast("string")))
+    s = clusters.settlements(b, v.villages.withColumn("name_bn", F.concat(F.lit("bn "), "name")))
+    return s.withColumn("x", half_even(F.col("x"), 4)).withColumn("y", half_even(F.col("y"), 4))
 
 
 # --- network -------------------------------------------------------------------------------------------------
@@ -687,7 +707,12 @@ def _(v):
 
 # --- names, reports, metrics ---------------------------------------------------------------------------------
 
-@query("fuzzy")
+# Every reported name is a village's name or one letter short of one: the similarity of the latter is 2(n-1)/(2n-1)
+NAMES = {"asked": "SELECT DISTINCT lower(place_name) AS query FROM reports", "short": "SELECT name, substr(name, 1, i-1)||substr(name, i+1) AS k FROM (SELECT name, unnest(range(1, length(name)+1)) AS i FROM (SELECT DISTINCT lower(name) AS name FROM villages))",
+         "best": "SELECT query, coalesce(any_value(e.name), max(s.name)) AS match, CASE WHEN any_value(e.name) IS NOT NULL THEN 1.0::DOUBLE ELSE 2.0::DOUBLE*length(query)/(2*length(query)+1) END AS score FROM asked LEFT JOIN (SELECT DISTINCT lower(name) AS name FROM villages) e ON e.name=query LEFT JOIN short s ON s.k=query GROUP BY query"}
+
+
+@query("fuzzy", sql("SELECT query, match, score FROM best WHERE match IS NOT NULL", **NAMES))
 def _(v):
     names = v.villages.select(F.lower("name").alias("cand"))
     return fuzzy.best_match(v.reports.select(F.lower("place_name").alias("query")), names)
@@ -700,40 +725,33 @@ def _(v):
 
 
 def _scored(v):
-    s = materialize(summary(v), "summary")
+    """All reports against a summary that knows every village: village k repeats the record of village k modulo 15."""
+    key = F.format_string("v%06d", F.substring("village_id", 2, 9).cast("int") % 15)
+    every = v.villages.select(F.col("village_id").alias("own"), key.alias("village_id")).join(v.status, "village_id").select(F.col("own").alias("village_id"), "date", "status")
+    s = materialize(timeline.summarise(every, v.villages), "summary")
     return evaluate.score_reports(evaluate.match_reports(v.reports, s), s)
 
 
-@query("report_matches")
-def _(v):
-    return _scored(v)
-
-
-EXACT = {"rp": "SELECT r.*, CASE WHEN r.village_id<>'' THEN r.village_id ELSE m.village_id END AS vid, CASE WHEN r.village_id<>'' THEN 'manual' WHEN m.village_id IS NOT NULL THEN 'auto (1.00)' ELSE 'no match' END AS how FROM reports r LEFT JOIN (SELECT name, village_id FROM tsum) m ON m.name=r.place_name WHERE r.village_id<>'' OR m.village_id IS NOT NULL",
-         "sc": "SELECT rp.*, t.name AS mname, t.outcome, datediff('day', date_reported::DATE, first_isolated) AS err, date_reported::DATE BETWEEN isolated_from_earliest AND first_isolated AS inr, least(abs(datediff('day', date_reported::DATE, isolated_from_earliest)), abs(datediff('day', date_reported::DATE, first_isolated))) AS away FROM rp LEFT JOIN tsum t ON t.village_id=vid"}
-
-
-def _exact(v):
-    """Reports with an id or a name that exists as it stands, where the match needs no similarity."""
-    s = materialize(summary(v), "summary")
-    names = s.select(F.col("name").alias("place_name"))
-    known = v.reports.filter(F.col("village_id") != "").unionByName(v.reports.filter(F.col("village_id") == "").join(names, "place_name", "left_semi").select(*v.reports.columns))
-    return evaluate.score_reports(evaluate.match_reports(known, s), s)
+EXACT = {**NAMES, "known": "SELECT DISTINCT name, max(village_id) AS village_id FROM asum WHERE name IS NOT NULL GROUP BY name",
+         "sshort": "SELECT name, substr(name, 1, i-1)||substr(name, i+1) AS k FROM (SELECT name, unnest(range(1, length(name)+1)) AS i FROM known)",
+         "smatch": "SELECT place_name, coalesce(any_value(e.name), max(s.name)) AS match, CASE WHEN any_value(e.name) IS NOT NULL THEN 1.0::DOUBLE ELSE 2.0::DOUBLE*length(place_name)/(2*length(place_name)+1) END AS score FROM (SELECT DISTINCT place_name FROM reports WHERE village_id='') LEFT JOIN known e ON e.name=place_name LEFT JOIN sshort s ON s.k=place_name GROUP BY place_name",
+         "rp": "SELECT r.*, CASE WHEN r.village_id<>'' THEN r.village_id ELSE k.village_id END AS vid, CASE WHEN r.village_id<>'' THEN 'manual' WHEN k.village_id IS NOT NULL THEN printf('auto (%.2f)', m.score) ELSE 'no match' END AS how FROM reports r LEFT JOIN smatch m ON m.place_name=r.place_name AND r.village_id='' LEFT JOIN known k ON k.name=m.match",
+         "sc": "SELECT rp.*, t.name AS mname, t.outcome, datediff('day', date_reported::DATE, first_isolated) AS err, date_reported::DATE BETWEEN isolated_from_earliest AND first_isolated AS inr, least(abs(datediff('day', date_reported::DATE, isolated_from_earliest)), abs(datediff('day', date_reported::DATE, first_isolated))) AS away FROM rp LEFT JOIN asum t ON t.village_id=vid"}
 
 
 @query("report_error", sql("SELECT o_orderkey, vid AS village_id, how AS match, mname AS model_name, outcome AS model_outcome, CASE WHEN outcome='isolated' THEN err END::INT AS error_days, CASE WHEN outcome='isolated' THEN inr END AS report_in_range, CASE WHEN outcome='isolated' THEN (CASE WHEN inr THEN 0 ELSE away END) END::INT AS days_outside_range FROM sc", **EXACT))
 def _(v):
-    return _exact(v).select("o_orderkey", "village_id", "match", "model_name", "model_outcome", "error_days", "report_in_range", "days_outside_range")
+    return _scored(v).select("o_orderkey", "village_id", "match", "model_name", "model_outcome", "error_days", "report_in_range", "days_outside_range")
 
 
 @query("contingency", sql("SELECT outcome='isolated' AS model_isolated, sum((reported_isolated='no')::INT)::BIGINT AS report_no, sum((reported_isolated<>'no')::INT)::BIGINT AS report_yes FROM sc WHERE outcome IS NOT NULL GROUP BY ALL", **EXACT))
 def _(v):
-    return evaluate.contingency(_exact(v))
+    return evaluate.contingency(_scored(v))
 
 
 @query("date_error_stats", sql(f"SELECT count(*) AS n, {rint('avg(err)', 1)} AS mean_days, {rint('avg(abs(err))', 1)} AS mean_abs_days, median(err) AS median_days, {rint('avg(inr::INT)*100', 0)} AS in_range_pct FROM sc WHERE outcome='isolated'", **EXACT))
 def _(v):
-    return evaluate.error_stats(_exact(v))
+    return evaluate.error_stats(_scored(v))
 
 
 _CONF = "sum((p=0 AND l=0)::INT)::BIGINT AS tn, sum((p=1 AND l=0)::INT)::BIGINT AS fp, sum((p=0 AND l=1)::INT)::BIGINT AS fn, sum((p=1 AND l=1)::INT)::BIGINT AS tp"

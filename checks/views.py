@@ -134,13 +134,13 @@ class Views:
 
     @property
     def dem(self) -> DataFrame:
-        """Bowl-shaped elevation on the grid, with a few cells missing."""
+        """Bowl-shaped elevation, roughened by the part table, with a few cells missing."""
         h = self.grid.height
-        i = F.col("id")
-        t = self.spark.range(h * 64).select(F.floor(i / 64).cast("int").alias("row"), (i % 64).cast("int").alias("col"))
+        size = self.table("part").select(F.col("p_partkey").alias("k"), "p_size")
+        t = self.spark.range(h * 64).select((F.col("id") % self.n).alias("k"), F.floor(F.col("id") / 64).cast("int").alias("row"), (F.col("id") % 64).cast("int").alias("col")).join(size, "k")
         r, c = F.col("row"), F.col("col")
-        z = (F.abs(r % 64 - 50) + F.abs(c - 22)) / 8.0 + ((r * 13 + c * 7) % 16) / 16.0
-        return t.withColumn("elevation", z).filter((r * 7 + c) % 29 != 0)
+        z = (F.abs(r % 64 - 50) + F.abs(c - 22)) / 8.0 + (F.col("p_size") % 16) / 16.0
+        return t.select("row", "col", z.alias("elevation")).filter((r * 7 + c) % 29 != 0)
 
     @property
     def reports(self) -> DataFrame:
