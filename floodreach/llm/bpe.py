@@ -322,17 +322,6 @@ def decode_stream(ids: np.ndarray, tokens: list[bytes | None], chunk: int = CHUN
     yield b"", machine.close()
 
 
-_built: dict[int, Transducer] = {}
-
-
-def _transducer(raw: bytes, pattern: str) -> Transducer:
-    key = hash((raw, pattern))
-    if key not in _built:
-        _built.clear()
-        _built[key] = Transducer(parse_ranks(raw), pattern)
-    return _built[key]
-
-
 def _shared(df: DataFrame, path: str):
     with open(path, "rb") as f:  # a vocabulary file is small and of fixed size
         return df.sparkSession.sparkContext.broadcast(f.read())
@@ -344,7 +333,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches):
         gc.disable()  # the tables hold millions of small tuples and no cycles
-        machine = _transducer(raw.value, pattern)
+        machine = scan.held(("bpe", hash((raw.value, pattern))), lambda: Transducer(parse_ranks(raw.value), pattern))
         for batch in batches:
             _, offsets = scan.buffers(batch.column(1))
             for a, b in scan.slices(offsets):
@@ -353,32 +342,59 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(run, f"doc_id {key}, {ids} binary")
 
 
+def _table(raw: bytes) -> list[bytes | None]:
+    ranks = parse_ranks(raw)
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def _decoded(values, tokens: list[bytes | None]) -> list[pa.Array]:
+    """Bytes and number of characters of each id sequence."""
+    data, chars = [], []
+    for ids in values:
+        pieces = list(decode_stream(ids, tokens))
+        data.append(b"".join([p[0] for p in pieces]))
+        chars.append(sum([len(p[1]) for p in pieces]))
+    return [pa.array(data, pa.binary()), pa.array(chars, pa.int64())]
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded`` (the bytes the ids stand for) and ``n_decoded_chars`` (code points of their text)."""
     raw = _shared(encoded, path)
 
     def run(batches):
-        ranks = parse_ranks(raw.value)
-        tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
+        tokens = _table(raw.value)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             _, offsets = scan.buffers(batch.column(at))
             for a, b in scan.slices(offsets):
                 part = batch.slice(a, b - a)
-                data, chars = [], []
-                for value in part.column(at).to_pylist():
-                    pieces = list(decode_stream(np.frombuffer(value or b"", "<u4"), tokens))
-                    data.append(b"".join(p[0] for p in pieces))
-                    chars.append(sum(len(p[1]) for p in pieces))
-                yield pa.record_batch([*part.columns, pa.array(data, pa.binary()), pa.array(chars, pa.int64())], [*part.schema.names, "decoded", "n_decoded_chars"])
+                found = _decoded((np.frombuffer(v or b"", "<u4") for v in part.column(at).to_pylist()), tokens)
+                yield pa.record_batch([*part.columns, *found], [*part.schema.names, "decoded", "n_decoded_chars"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kinds}, decoded binary, n_decoded_chars bigint")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """doc_id, ids, decoded and n_decoded_chars in one pass, by the same encoder and decoder."""
+    raw, key = _shared(docs, path), docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        gc.disable()  # the tables hold millions of small tuples and no cycles
+        machine = scan.held(("bpe", hash((raw.value, pattern))), lambda: Transducer(parse_ranks(raw.value), pattern))
+        tokens = _table(raw.value)
+        for batch in batches:
+            _, offsets = scan.buffers(batch.column(1))
+            for a, b in scan.slices(offsets):
+                ids = [machine.encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in ids], pa.binary()), *_decoded(ids, tokens)], ["doc_id", "ids", "decoded", "n_decoded_chars"])
+    return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(run, f"doc_id {key}, ids binary, decoded binary, n_decoded_chars bigint")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_chars of every document row."""
-    out = decode(encode(docs, path, pattern), path)
+    out = round_trip(docs, path, pattern)
     return out.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"), F.col("n_decoded_chars"))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize
 from . import scan
+from .rows import same_row, without
 
 SPAN, GRAM = 13, 5
 AROUND = SPAN - GRAM
@@ -101,6 +102,7 @@ def _meetings(bits: np.ndarray, sizes: list[int]):
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan.held()
         for batch in batches:
             data, offsets = scan.buffers(batch.column(2))
             for a, b in scan.slices(offsets):
@@ -191,4 +193,4 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
     bad = materialize(judge(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
+    return without(docs, bad, same_row(docs, bad))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from . import scan
+from .rows import same_row, without
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50  # fixed values: the base rules
 MAX_DOCUMENTS, COMPANION_SHARE, KEEP_SHARE = 20, 0.25, 0.2
@@ -89,6 +90,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
 
 
 def _measured(batches):
+    scan.held()
     for batch in batches:
         data, offsets = scan.buffers(batch.column(3))
         for a, b in scan.slices(offsets):
@@ -132,5 +134,4 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """``docs`` without the rejected rows."""
     bad = verdicts(docs, host).filter("not kept").select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("text_key").alias("_key")).distinct()
     bad = materialize(bad, "rejected")
-    same = docs["doc_id"].eqNullSafe(bad["_doc"]) & docs[host].cast("string").eqNullSafe(bad["_host"]) & (F.xxhash64(docs["text"]) == bad["_key"])
-    return docs.join(bad, same, "left_anti")
+    return without(docs, bad, same_row(docs, bad) & docs[host].cast("string").eqNullSafe(bad["_host"]))

@@ -33,6 +33,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object = None, build=None) -> object:
+    """One large table at a time for the tasks of a worker process. Workers go on to other stages, which ask for
+    another table or, with ``held()``, for none, and so let the last one go."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        if build is not None:
+            _held[key] = build()
+    return _held.get(key)
+
+
 _powers: dict[str, np.ndarray] = {}
 
 

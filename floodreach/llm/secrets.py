@@ -150,6 +150,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        scan.held()
         for batch in batches:
             _, offsets = scan.buffers(batch.column(2))
             for a, b in scan.slices(offsets):
@@ -173,6 +174,7 @@ def redact(docs: DataFrame, model: Model | None = None, mask: str = "[secret]")
         return "".join([*out, text[at:]]) if out else text
 
     def run(batches):
+        scan.held()
         for batch in batches:
             at = batch.schema.get_field_index("text")
             _, offsets = scan.buffers(batch.column(at))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 from . import scan
 from .components import components
+from .rows import same_row, without
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 PAIRS_WITHIN = 64
@@ -46,6 +47,7 @@ def fingerprint(text: str) -> int:
 
 
 def _fingerprints(batches):
+    scan.held()
     for batch in batches:
         _, offsets = scan.buffers(batch.column(2))
         for a, b in scan.slices(offsets):
@@ -67,9 +69,12 @@ def _narrow(members: DataFrame, width: int) -> DataFrame:
     low, high = F.col("rest").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("rest", half).bitwiseAND(F.lit(mask))
     cut = members.select("g", "fp", F.inline(F.array(F.struct(F.lit(0).alias("h"), low.alias("v"), high.alias("rest")), F.struct(F.lit(1).alias("h"), high.alias("v"), low.alias("rest")))))
     same = cut.select(F.xxhash64("g", "h", "v").alias("g"), "fp", "rest")
-    variant = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: F.struct(i.alias("i"), F.col("v").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))).alias("k")))
-    pairs = (cut.select("g", "h", "v").distinct().select("g", "h", "v", F.inline(variant)).groupBy("g", "h", "i", "k")
-             .agg(F.min("v").alias("v0"), F.max("v").alias("v1")).filter("v0 < v1"))
+    parts = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), cut.sparkSession.sparkContext.defaultParallelism)
+    # Hardly any two values share a variant, so rows are dealt out before they are aggregated, and no task holds more than its share
+    values = cut.select("g", "h", "v").repartition(parts, "g", "h", "v").distinct()
+    variant = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: F.col("v").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))) + (i + half * F.col("h")) * F.lit(1 << 32))
+    keyed = values.select("g", "h", "v", F.explode(variant).alias("key")).repartition(parts, "g", "key")  # variant, bit and segment in one integer
+    pairs = keyed.groupBy("g", "key").agg(F.min("h").alias("h"), F.min("v").alias("v0"), F.max("v").alias("v1")).filter("v0 < v1")
     sides = pairs.select("g", "h", F.xxhash64("g", "h", "v0", "v1").alias("to"), F.explode(F.array("v0", "v1")).alias("v"))
     near = cut.join(sides, ["g", "h", "v"]).select(F.col("to").alias("g"), "fp", "rest")
     return same.unionByName(near)
@@ -77,7 +82,7 @@ def _narrow(members: DataFrame, width: int) -> DataFrame:
 
 def links(prints: DataFrame, within: int = PAIRS_WITHIN) -> DataFrame:
     """a, b: all pairs of the distinct fingerprints ``fp`` that differ in 1 to 3 bits, each once."""
-    found, members, width = None, prints.select(F.lit(0).cast("bigint").alias("g"), "fp", F.col("fp").alias("rest")), 64
+    found, members, width = None, prints.select(F.col("fp").bitwiseAND(F.lit(0)).alias("g"), "fp", F.col("fp").alias("rest")), 64
     while True:
         groups = materialize(_narrow(members, width), "groups")
         width //= 2
@@ -119,13 +124,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = prints.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.join(named, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     kept = materialize(first.select(F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key")), "kept")
-
-    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_doc"]) & (F.xxhash64(rows["text"]) == keys["_key"]), how)
-
-    same = prints.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).count().filter("count > 1").drop("count")
-    repeated = materialize(same, "repeated")
-    out = among(docs, kept, "left_semi")
+    keys = materialize(prints.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).count(), "keys")
+    gone = keys.join(kept, keys["_doc"].eqNullSafe(kept["_doc"]) & (keys["_key"] == kept["_key"]), "left_anti").drop("count")
+    gone = materialize(gone, "gone")
+    out = without(docs, gone, same_row(docs, gone))
+    repeated = materialize(keys.filter("count > 1").drop("count"), "repeated")
     if not repeated.isEmpty():  # only rows that are there more than once go through a shuffle of their own
-        out = among(out, repeated, "left_anti").unionByName(among(out, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+        out = without(out, repeated, same_row(out, repeated)).unionByName(out.join(repeated, same_row(out, repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
     return out
