@@ -431,14 +431,9 @@ def _(v):
     return v.polygons.select("polygon_id", half_even(px, 3).alias("px"), half_even(py, 3).alias("py"))
 
 
-@query("buffered_area", sql("SELECT polygon_id, node_id FROM polys p, (SELECT node_id, x AS nx, y AS ny FROM nodes) m WHERE abs(nx-x)<=1400 AND abs(ny-y)<=1400 AND (abs(nx-x)+abs(ny-y)<=size OR greatest((abs(nx-x)+abs(ny-y)-size)/sqrt(2), CASE WHEN abs(nx-x)-abs(ny-y)>size THEN sqrt((abs(nx-x)-size)*(abs(nx-x)-size)+ny*ny-2*ny*y+y*y) WHEN abs(ny-y)-abs(nx-x)>size THEN sqrt((abs(ny-y)-size)*(abs(ny-y)-size)+nx*nx-2*nx*x+x*x) ELSE 0 END)<=101.3)"))
-def _(v):
-    bucket = lambda c: F.floor(c / 1400)
-    off = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    p = v.polygons.select("polygon_id", F.col("rings")[0].alias("ring"), F.explode(F.transform(off, lambda o: bucket(F.col("rings")[0][1]["x"]) + o)).alias("bx"), F.col("rings")[0][0]["y"].alias("cy"))
-    p = p.withColumn("by", F.explode(F.transform(off, lambda o: bucket(F.col("cy")) + o)))
-    n = v.nodes.select("node_id", "x", "y", bucket(F.col("x")).alias("bx"), bucket(F.col("y")).alias("by"))
-    return p.join(n, ["bx", "by"]).filter(geometry.ring_distance(F.col("ring"), F.col("x"), F.col("y")) <= 101.3).select("polygon_id", "node_id")
+@query("buffered_area", sql("SELECT polygon_id, node_id FROM polys p, (SELECT node_id, x AS nx, y AS ny FROM nodes) m WHERE abs(nx-x)+abs(ny-y)<=size OR greatest((abs(nx-x)+abs(ny-y)-size)/sqrt(2), CASE WHEN abs(nx-x)-abs(ny-y)>size THEN sqrt((abs(nx-x)-size)*(abs(nx-x)-size)+ny*ny-2*ny*y+y*y) WHEN abs(ny-y)-abs(nx-x)>size THEN sqrt((abs(ny-y)-size)*(abs(ny-y)-size)+nx*nx-2*nx*x+x*x) ELSE 0 END)<=101.3"))
+def _(v):
+    return polygons.points_within(v.nodes, v.polygons, "node_id", 101.3)
 
 
 @query("simplified_lines", sql("SELECT node_id, CASE WHEN node_id%12>5 THEN x::BIGINT||','||(x+200)::BIGINT||','||(x+500)::BIGINT ELSE x::BIGINT||','||(x+500)::BIGINT END AS kept FROM nodes"))

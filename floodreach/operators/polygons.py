@@ -1,14 +1,15 @@
 """Polygons against grids and points.
 
-Ring edges are cut into horizontal bands. A polygon row is filled between successive crossings, and a point is
-tested against the few edges of its own band, so no cell or point ever meets all vertices of a polygon."""
+A polygon row is filled between successive crossings. Points meet polygons through tiles sized to each polygon, and then only
+the edges of their own band, so no cell or point ever meets all vertices of a polygon, nor polygons far away."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.classify import cell_col, cell_row, cell_x, cell_y, inside_grid
-from ..functions.geometry import to_lonlat
+from ..functions.geometry import ring_distance, to_lonlat
 from ..params import Grid
+from .common import distinct_values
 
 
 def ring_edges(polygons: DataFrame, key: str = "polygon_id", rings: str = "rings") -> DataFrame:
@@ -44,19 +45,52 @@ def burn(polygons: DataFrame, grid: Grid, key: str = "polygon_id") -> DataFrame:
     return row_spans(polygons, grid, key).select(key, "row", F.explode(F.sequence("col_from", "col_to")).alias("col"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, key: str = "polygon_id", band: float = 200.0) -> DataFrame:
-    """Pairs (point, polygon) with the point inside. Crossings to the right are counted per pair, map-side first."""
-    def b(y):
-        return F.floor(y / F.lit(band))
+_TILE, _ACROSS = 50.0, 8  # metres of the finest tile; tiles along a polygon's longer side, at most twice as many
 
-    e = ring_edges(polygons, key).withColumn("_b", F.explode(F.sequence(b(F.least("y0", "y1")), b(F.greatest("y0", "y1")))))
-    p = points.select(point_id, "x", "y").withColumn("_b", b(F.col("y")))
+
+def _cover(polygons: DataFrame, key: str, reach: float = 0.0) -> DataFrame:
+    """Tiles of each polygon's box, widened by ``reach``: key, level, tx, ty. Tiles double in size per level, and a polygon takes the
+    level at which about ``_ACROSS`` of them cover its longer side, so it has a bounded number of tiles whatever its extent."""
+    points = F.flatten("rings")
+    end = lambda f, axis, by: f(F.transform(points, lambda q: q[axis])) + F.lit(by)
+    box = polygons.select(key, end(F.array_min, "x", -reach).alias("x0"), end(F.array_max, "x", reach).alias("x1"), end(F.array_min, "y", -reach).alias("y0"), end(F.array_max, "y", reach).alias("y1"))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(_TILE * _ACROSS))
+    box = box.withColumn("level", F.ceil(F.log2(side / F.lit(_TILE * _ACROSS))).cast("int"))
+    tile = F.lit(_TILE) * F.pow(F.lit(2.0), F.col("level"))
+    run = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
+    return box.withColumn("tx", run("x0", "x1")).withColumn("ty", run("y0", "y1")).select(key, "level", "tx", "ty")
+
+
+def _near_pairs(points: DataFrame, polygons: DataFrame, point_id: str, key: str, reach: float = 0.0) -> DataFrame:
+    """Pairs (point, polygon) with the point in a tile of the polygon: point_id, x, y, key, level. The levels in use are few."""
+    cover = _cover(polygons, key, reach)
+    p = points.select(point_id, "x", "y", F.explode(distinct_values(cover, "level")).alias("level"))
+    tile = F.lit(_TILE) * F.pow(F.lit(2.0), F.col("level"))
+    return p.withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile)).join(cover, ["level", "tx", "ty"]).drop("tx", "ty")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, key: str = "polygon_id") -> DataFrame:
+    """Pairs (point, polygon) with the point inside.
+
+    A point meets the polygons of its tile, and of each only the edges of its own thin band. Crossings to the right are
+    counted per pair, map-side first."""
+    pairs = _near_pairs(points, polygons, point_id, key)
+    band = lambda y: F.floor(y / (F.lit(_TILE / 4) * F.pow(F.lit(2.0), F.col("level"))))
+    level = _cover(polygons, key).select(key, "level").distinct()
+    e = ring_edges(polygons, key).join(level, key).withColumn("_b", F.explode(F.sequence(band(F.least("y0", "y1")), band(F.greatest("y0", "y1"))))).drop("level")
     right = (((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y")))
              & (F.col("x") < F.col("x0") + (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))))
-    return (p.join(e, "_b").filter(right).groupBy(point_id, key).agg(F.count(F.lit(1)).alias("_n"))
+    return (pairs.withColumn("_b", band(F.col("y"))).join(e, [key, "_b"]).filter(right).groupBy(point_id, key).agg(F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") % 2 == 1).select(point_id, key))
 
 
+def points_within(points: DataFrame, polygons: DataFrame, point_id: str, distance_m: float, key: str = "polygon_id") -> DataFrame:
+    """Pairs (point, polygon) with the point inside the outer ring or at most ``distance_m`` away from it, for polygons of any size."""
+    pairs = _near_pairs(points, polygons, point_id, key, distance_m)
+    ring = polygons.select(key, F.get("rings", F.lit(0)).alias("_ring"))
+    return pairs.join(ring, key).filter(ring_distance(F.col("_ring"), F.col("x"), F.col("y")) <= F.lit(float(distance_m))).select(point_id, key)
+
+
 def classify_area(water: DataFrame, analysed: DataFrame, grid: Grid) -> DataFrame:
     """Cells of a polygon product: flooded inside water, dry in the rest of the analysed area."""
     w = burn(water, grid).select("row", "col", F.lit(1).alias("value"))
