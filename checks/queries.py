@@ -532,7 +532,7 @@ def _(v):
 def _(v):
     src = nearest.snap_shelters(v.shelters, v.nodes).filter("road_reachable").select(F.col("node_id").alias("node"))
     nodes = v.edges.select(F.explode(F.array("u", "v")).alias("node"))
-    return network.reachable_from(materialize(_graph(v), "graph"), nodes, src, ["date"])
+    return network.reachable_from(materialize(_graph(v), "graph"), nodes, src, ["date"], v.cells)
 
 
 def _solve(v):

@@ -139,8 +139,9 @@ def components(pairs: DataFrame, keys: list[str] = (), u: str = "u", v: str = "v
     return e.select(*keys, F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def reachable_from(graph: DataFrame, nodes: DataFrame, sources: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Nodes that share a component with a source. ``nodes`` are the junctions of any edge, open or not."""
+def reachable_from(graph: DataFrame, nodes: DataFrame, sources: DataFrame, keys: list[str] = (), scenarios: DataFrame | None = None) -> DataFrame:
+    """Nodes that share a component with a source. ``nodes`` are the junctions of any edge, open or not; ``scenarios`` has the
+    keys of all scenarios, also of those without a usable road (else those of ``graph``)."""
     keys = list(keys)
     cc = components(graph, keys)
     src = sources.select("node").distinct().join(nodes.select("node").distinct(), "node")
@@ -148,7 +149,7 @@ def reachable_from(graph: DataFrame, nodes: DataFrame, sources: DataFrame, keys:
     reached = cc.join(hit, [*keys, "component"], "left_semi").select(*keys, "node")
     if not keys:
         return reached.unionByName(src).distinct()
-    alone = src.withColumn("_k", F.explode(distinct_values(graph, *keys)))
+    alone = src.withColumn("_k", F.explode(distinct_values(graph if scenarios is None else scenarios, *keys)))
     alone = alone.select(*([F.col("_k").alias(keys[0])] if len(keys) == 1 else ["_k.*"]), "node")
     return reached.unionByName(alone.select(*reached.columns)).distinct()
 
