@@ -55,8 +55,9 @@ def _score(pairs: DataFrame, cutoff: float) -> DataFrame:
     spark = pairs.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     total = F.col("qn") + F.col("cn")
-    may = (pairs.filter(F.lit(2.0) * F.least("qn", "cn") / total >= cutoff)
-           .filter(F.lit(2.0) * F.size(F.array_intersect("qt", "ct")) / total >= cutoff).select("query", "cand"))
+    least = F.col("least") if "least" in pairs.columns else F.lit(cutoff)
+    may = (pairs.filter(F.lit(2.0) * F.least("qn", "cn") / total >= least)
+           .filter(F.lit(2.0) * F.size(F.array_intersect("qt", "ct")) / total >= least).select("query", "cand"))
     scored = may.repartition(width, "query", "cand").withColumn("s", similarity(F.col("cand"), F.col("query"))).filter(F.col("s") >= cutoff)
     return scored.groupBy("query").agg(F.max(F.struct("s", "cand")).alias("b")).select("query", "b.s", "b.cand")
 
@@ -64,22 +65,22 @@ def _score(pairs: DataFrame, cutoff: float) -> DataFrame:
 def _letter_candidates(queries: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
     """Lossless candidates at any cutoff c: names that share one of the rare letters in both prefixes.
 
-    Similarity >= c needs an overlap of at least c/2 of both lengths, and the other name cannot be shorter than
-    c/(2-c) of this one; so among the letters in rare-first order one of the first n - need + 1 is shared. A
-    pair is reported at the first letter its prefixes share, hence once."""
-    reach = cutoff / (2 - cutoff)
+    Similarity >= c needs an overlap of at least c/(2-c) of each length; so among the letters in rare-first order one of
+    the first n - need + 1 is shared. A query that knows a match already (``least``) only asks for better ones, with a
+    shorter prefix. A pair is reported at the first letter its prefixes share, hence once."""
     freq = names.select(F.explode("ct").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
 
     def prefix(df, col, tag):
-        need = F.ceil(F.lit(cutoff / 2 * (1 + reach)) * F.col(f"{tag}n") - F.lit(1e-9))
+        c = F.first("least") if tag == "q" else F.lit(cutoff)
+        need = F.ceil(F.col("_c") / (F.lit(2.0) - F.col("_c")) * F.col(f"{tag}n") - F.lit(1e-9))
         t = df.withColumn("tok", F.explode(f"{tag}t")).join(freq, "tok", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-        g = t.groupBy(col).agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("_o"), F.first(f"{tag}n").alias(f"{tag}n"), F.first(f"{tag}t").alias(f"{tag}t"))
+        g = t.groupBy(col).agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("_o"), F.first(f"{tag}n").alias(f"{tag}n"), F.first(f"{tag}t").alias(f"{tag}t"), c.alias("_c"))
         return g.withColumn(f"{tag}p", F.transform(F.slice("_o", F.lit(1), (F.col(f"{tag}n") - need + 1).cast("int")), lambda o: o["tok"])).drop("_o")
 
-    q = prefix(queries, "query", "q").withColumn("tok", F.explode("qp"))
-    n = prefix(names, "cand", "c").withColumn("tok", F.explode("cp"))
+    q = prefix(queries, "query", "q").withColumnRenamed("_c", "least").withColumn("tok", F.explode("qp"))
+    n = prefix(names, "cand", "c").drop("_c").withColumn("tok", F.explode("cp"))
     met = q.join(n, "tok").filter(F.get(F.array_intersect("qp", "cp"), F.lit(0)) == F.col("tok"))
-    return met.select("query", "qn", "qt", "cand", "cn", "ct")
+    return met.select("query", "least", "qn", "qt", "cand", "cn", "ct")
 
 
 def best_match(queries: DataFrame, names: DataFrame, cutoff: float = 0.75) -> DataFrame:
@@ -99,7 +100,8 @@ def best_match(queries: DataFrame, names: DataFrame, cutoff: float = 0.75) -> Da
     longest = F.floor(F.length("query") * F.lit((2 - cutoff) / cutoff) + F.lit(1e-9))
     bound = F.lit(1.0) - F.lit(2.0) / (F.length("query") + longest)
     closed = tier.filter(F.col("s") > bound)
-    left = q.join(closed, "query", "left_anti")
+    left = q.join(closed, "query", "left_anti").join(tier.select("query", F.col("s").alias("least")), "query", "left")
+    left = left.withColumn("least", F.coalesce(F.col("least"), F.lit(cutoff)))
     far = _score(_letter_candidates(left, n, cutoff), cutoff)
     out = same.unionByName(closed).unionByName(far)
     return out.select("query", F.col("cand").alias("match"), similarity(F.col("query"), F.col("cand")).alias("score"))
