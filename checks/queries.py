@@ -9,7 +9,7 @@ from floodreach.functions.rounding import half_even
 from floodreach.functions.simplify import simplify
 from floodreach.operators import (clusters, common, evaluate, focal, fuzzy, nearest, network, patches, places, polygons,
                                   quality, rain, raster, readpath, roads, timeline, water_level, zones)
-from floodreach.plans import engine
+from floodreach.plans import engine, maps
 from floodreach.session import materialize
 from floodreach.sources import documents, tables
 
@@ -183,10 +183,7 @@ def _(v):
     comp="SELECT k, date, row, col, median(green) AS g, median(nir) AS r FROM clear GROUP BY ALL", comp0="SELECT row, col, median(green) AS g, median(nir) AS r FROM clear WHERE k=0 GROUP BY ALL"))
 def _(v):
     px = v.backscatter.filter("vv_db is not null").withColumn("green", -F.col("vv_db")).withColumn("nir", F.lit(5.0) + (F.col("qa") % 13).cast("double"))
-    late = F.col("t") >= F.lit("1998-01-01").cast("timestamp")
-    now = raster.clear_composite(px.filter(late), ["date"]).withColumn("now", classify.ndwi(F.col("green"), F.col("nir"))).select("date", "row", "col", "now")
-    old = raster.clear_composite(px.filter(~late), []).withColumn("old", classify.ndwi(F.col("green"), F.col("nir"))).select("row", "col", "old")
-    return now.join(old, ["row", "col"], "left").select("date", "row", "col", classify.optical_class(F.col("now"), F.col("old")).alias("value"))
+    return maps.optical_maps(px, "1998-01-01").drop("source")
 
 
 @query("otsu", sql(f"""SELECT date, {rint("CASE WHEN w>1000 AND t BETWEEN -26 AND -12 THEN t ELSE -18.0::DOUBLE END", 6)} AS threshold_db, w::BIGINT AS pixels FROM (
@@ -244,7 +241,8 @@ def _(v):
 
 @query("bathtub", sql("SELECT y.date, 'dem_estimate' AS source, row, col, (elevation<=level_m)::INT AS value FROM dem, daily y WHERE NOT observed", **LEVELS))
 def _(v):
-    return water_level.bathtub(v.dem, water_level.daily_levels(_levels(v)))
+    every3 = v.cells.filter(F.datediff("date", day("2022-06-01")) % 3 == 0)
+    return maps.gap_fill(every3, v.dem, 20, Params(tile_px=32))
 
 
 @query("in_polygon", sql("SELECT polygon_id, row, col FROM burned"))
@@ -690,6 +688,14 @@ def _(v):
     return rain.daily_rain(v.rain)
 
 
+@query("rain_boxes", sql("SELECT ts, box, printf('%.2f/%.2f', lon, lat) AS cell, mm_per_h FROM (SELECT ts, 90+(user_id%40)*0.25::DOUBLE AS lon, 24+(event_id%20)*0.25::DOUBLE AS lat, value AS mm_per_h FROM events) JOIN (VALUES ('a', 90.0, 24.0, 92.5, 26.0), ('b', 92.0, 25.0, 96.25, 28.0), ('none', 10.0, 10.0, 11.0, 11.0)) b(box, w, s, e, n) ON lon>=w AND lon<e AND lat>=s AND lat<n"))
+def _(v):
+    r = v.table("events").select("ts", (F.lit(90.0) + (F.col("user_id") % 40) * 0.25).alias("lon"), (F.lit(24.0) + (F.col("event_id") % 20) * 0.25).alias("lat"), F.col("value").alias("mm_per_h"))
+    boxes = v.spark.createDataFrame([("a", 90.0, 24.0, 92.5, 26.0), ("b", 92.0, 25.0, 96.25, 28.0), ("none", 10.0, 10.0, 11.0, 11.0)], "box string, west double, south double, east double, north double")
+    two = lambda c: F.format_string("%.2f", F.split("cell", "/")[c].cast("double"))
+    return rain.box_rain(r, boxes).withColumn("cell", F.concat_ws("/", two(0), two(1)))
+
+
 @query("rain_long", sql("SELECT d.date, b.box||'_mm' AS box, mm FROM (SELECT DISTINCT date FROM rd) d CROSS JOIN (SELECT unnest(['sunamganj','meghalaya_upstream']) AS box) b LEFT JOIN rd ON rd.date=d.date AND rd.box=b.box WHERE d.date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'", **RAIN))
 def _(v):
     return rain.rain_long(rain.rain_wide(rain.daily_rain(v.rain), ["sunamganj", "meghalaya_upstream"]), "2024-01-05", "2024-01-20")

@@ -7,6 +7,17 @@ from ..functions.rounding import half_even
 from ..params import Params
 
 
+def box_rain(rain: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Half-hourly rates of named boxes ``(ts, box, cell, mm_per_h)`` from gridded ones ``(ts, lon, lat, mm_per_h)``.
+
+    A grid cell belongs to every box (box, west, south, east, north) that holds its centre, west and south borders included.
+    Boxes are the few areas of a run: they travel as one array that each row filters."""
+    areas = boxes.agg(F.collect_list(F.struct("box", "west", "south", "east", "north"))).scalar()
+    inside = F.filter("_boxes", lambda b: (F.col("lon") >= b["west"]) & (F.col("lon") < b["east"]) & (F.col("lat") >= b["south"]) & (F.col("lat") < b["north"]))
+    hit = rain.withColumn("_boxes", areas).withColumn("box", F.explode(F.transform(inside, lambda b: b["box"])))
+    return hit.select("ts", "box", F.concat_ws("/", F.col("lon").cast("string"), F.col("lat").cast("string")).alias("cell"), "mm_per_h")
+
+
 def daily_rain(rain: DataFrame, step_hours: float = 0.5, p: Params = Params()) -> DataFrame:
     """Box-average mm per local day from half-hourly rates ``(ts, box, cell, mm_per_h)``.
 

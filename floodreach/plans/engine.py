@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import nearest, network, raster, roads, timeline
+from ..operators import nearest, network, quality, raster, roads, timeline
 from ..operators.evaluate import match_reports, score_reports
 from ..params import Grid, Params
 from ..session import materialize
-from ..sources.documents import meta_document, write_geojson
+from ..sources.documents import file_inventory, manifest_document, meta_document, write_geojson
 from ..sources.tables import write_by_date, write_csv
 
 
@@ -48,8 +48,24 @@ def run(cells: DataFrame, nodes: DataFrame, edges: DataFrame, villages: DataFram
     return t
 
 
-def publish(t: dict[str, DataFrame], edges: DataFrame, out: str, p: Params = Params()) -> None:
-    """Write the reader's package: GeoJSON features, status tables, metadata."""
+def contract(t: dict[str, DataFrame], edges: DataFrame, cells: DataFrame, p: Params = Params()) -> DataFrame:
+    """The contract report of a run, before anything of it is published."""
+    main = F.col("threshold") == F.lit(float(p.main_threshold))
+    cut = t["road_status"].filter(main & (F.col("status") == "cut")).select("edge_id").distinct()
+    return quality.quality_report({
+        "meta": t["meta"], "villages": t["villages_snapped"], "village_status": t["village_status"].filter(main).drop("threshold"), "shelters": t["shelters_snapped"],
+        "exit_routes": t["exit_routes"], "cut_roads": edges.filter(F.size("geom") > 0).join(cut, "edge_id", "left_semi"), "flood": cells}, ())
+
+
+def publish(t: dict[str, DataFrame], edges: DataFrame, out: str, p: Params = Params(), cells: DataFrame | None = None, rainfall: DataFrame | None = None,
+            flood_area: DataFrame | None = None) -> None:
+    """Write the reader's package: GeoJSON features, status tables, rain and area series, metadata, file inventory.
+
+    With ``cells``, the contract is checked first, and a breach raises before anything is written."""
+    if cells is not None:
+        broken = contract(t, edges, cells, p).filter((F.col("severity") == "error") & (F.col("n_bad") > 0)).collect()
+        if broken:
+            raise ValueError("contract broken: " + "; ".join(f"{r.table_name}.{r.rule} ({r.n_bad})" for r in broken))
     main = F.col("threshold") == F.lit(float(p.main_threshold))
     snapped = t["villages_snapped"].select("village_id", "x", "y", "snap_dist_m", "boat_dependent")
     v = t["village_summary"].join(snapped, "village_id")
@@ -62,6 +78,13 @@ def publish(t: dict[str, DataFrame], edges: DataFrame, out: str, p: Params = Par
     write_geojson(cut, f"{out}/cut_roads.geojson", [c for c in cut.columns if c != "geom"], simplify_m=10.0)
     write_by_date(t["village_status"].filter(main).drop("threshold"), f"{out}/village_status")
     write_csv(t["sensitivity_summary"], f"{out}/sensitivity_summary")
+    write_csv(t["sensitivity"], f"{out}/sensitivity")
+    write_csv(t["road_cut_summary"], f"{out}/road_cut_summary")
+    for name, table in (("rainfall_daily", rainfall), ("flood_area", flood_area)):
+        if table is not None:
+            write_csv(table, f"{out}/{name}")
     if "validation" in t:
         write_csv(t["validation"], f"{out}/validation")
     t["meta"].select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{out}/meta")
+    files = materialize(file_inventory(t["meta"].sparkSession, out), "inventory")
+    manifest_document(files, "floodreach", "", p).write.mode("overwrite").text(f"{out}/manifest.json")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.geometry import to_utm
 from ..operators.places import verified_only
 from ..params import Grid, Params
-from ..schema import MANIFEST, ddl
+from ..schema import CELLS, MANIFEST, ddl
 from ..session import materialize
 
 
@@ -123,6 +123,18 @@ def register_flood_maps(cells: DataFrame, notes: DataFrame, root: str, p: Params
     return merged
 
 
+def read_cells(spark: SparkSession, root: str, dates: list | None = None, sources: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, dates) as registered under ``root``: the known cells of the chosen partitions, and all registered dates among the
+    chosen, also those of maps that know nothing. Dates and sources prune partitions before anything is read."""
+    def chosen(df):
+        df = df if dates is None else df.filter(F.col("date").isin([str(d) for d in dates]))
+        return df if sources is None else df.filter(F.col("source").isin(sources))
+
+    cells = spark.read.schema(CELLS).option("basePath", f"{root}/cells").parquet(f"{root}/cells")
+    known = chosen(cells).filter(F.col("row").isNotNull())
+    return known, chosen(load_manifest(spark, f"{root}/manifest")).select("date").distinct()
+
+
 def write_by_date(df: DataFrame, path: str) -> None:
     """Long result tables, one folder per date, replacing only the dates present; a date of many rows is several tasks and files."""
     df.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)

@@ -1,6 +1,8 @@
 """The whole run on the small projections, published and checked against the contract."""
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from checks.views import Views
@@ -14,7 +16,13 @@ def test_run_and_publish(spark, tmp_path):
     reports = v.reports.withColumn("date_reported", F.lit("2022-06-05"))
     t = engine.run(v.cells, v.nodes, v.edges, v.villages, v.shelters, v.grid, reports, label="DEMO")
     out = str(tmp_path / "app")
-    engine.publish(t, v.edges, out)
+    rain = spark.createDataFrame([("2022-06-01", 1.5)], "date string, sunamganj_mm double")
+    engine.publish(t, v.edges, out, cells=v.cells, rainfall=rain)
+    listed = {json.loads(r[0])["path"] for r in spark.read.text(f"{out}/manifest.json").collect() if "path" in r[0]}
+    assert {x.split("/")[0] for x in listed} >= {"villages.geojson", "cut_roads.geojson", "rainfall_daily", "sensitivity", "road_cut_summary", "village_status", "meta"}
+    with pytest.raises(ValueError, match="flood.class_domain"):
+        engine.publish(t, v.edges, str(tmp_path / "bad"), cells=v.cells.withColumn("value", F.lit(9)))
+    assert not (tmp_path / "bad").exists()
     n = v.villages.count()
     counts = t["sensitivity"].select((F.col("boat_dependent") + F.col("connected") + F.col("isolated") + F.col("uncertain")).alias("n"))
     assert counts.count() == 33 and counts.filter(F.col("n") != n).count() == 0
