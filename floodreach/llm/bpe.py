@@ -339,7 +339,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             for a, b in scan.slices(offsets):
                 out = [machine.encode(t or "").tobytes() for t in batch.column(1).slice(a, b - a).to_pylist()]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], ["doc_id", ids])
-    return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(run, f"doc_id {key}, {ids} binary")
+    return scan.small_batches(docs).select("doc_id", F.col(text).cast("string")).mapInArrow(run, f"doc_id {key}, {ids} binary")
 
 
 def _table(raw: bytes) -> list[bytes | None]:
@@ -374,7 +374,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 found = _decoded((np.frombuffer(v or b"", "<u4") for v in part.column(at).to_pylist()), tokens)
                 yield pa.record_batch([*part.columns, *found], [*part.schema.names, "decoded", "n_decoded_chars"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{kinds}, decoded binary, n_decoded_chars bigint")
+    return scan.small_batches(encoded).mapInArrow(run, f"{kinds}, decoded binary, n_decoded_chars bigint")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -390,7 +390,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
             for a, b in scan.slices(offsets):
                 ids = [machine.encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in ids], pa.binary()), *_decoded(ids, tokens)], ["doc_id", "ids", "decoded", "n_decoded_chars"])
-    return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(run, f"doc_id {key}, ids binary, decoded binary, n_decoded_chars bigint")
+    return scan.small_batches(docs).select("doc_id", F.col(text).cast("string")).mapInArrow(run, f"doc_id {key}, ids binary, decoded binary, n_decoded_chars bigint")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

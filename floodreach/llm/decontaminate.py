@@ -159,7 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
     windows = benchmark_windows(benchmark)
     bits, sizes = _bloom(windows)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    inputs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
+    inputs = scan.small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
     texts = inputs.mapInArrow(_meetings(bits, sizes), f"doc_id {kind}, text_key bigint, n_words bigint, meetings array<{_MEETING_DDL}>")
     texts = materialize(texts.withColumn("rid", F.monotonically_increasing_id()), "meetings")
     context = windows.select(F.col("need"), F.col("at.hash").alias("hash"), F.col("at.gram").alias("gram"), F.col("at.left").alias("ileft"), F.col("at.right").alias("iright"), F.col("item_id"))

@@ -217,6 +217,6 @@ def judge(docs: DataFrame, network: Network | None = None) -> DataFrame:
                     score[lettered] = np.minimum(1.0, p[np.arange(b - a), best][lettered])
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
     text = F.col("text").cast("string")
-    inputs = docs.select("doc_id", text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    inputs = scan.small_batches(docs).select("doc_id", text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
     out = inputs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -137,5 +137,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for a, b in scan.slices(offsets):
                 own = scores(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], shared.value, intercept)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(own)], ["doc_id", "score"])
-    out = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
+    out = scan.small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))

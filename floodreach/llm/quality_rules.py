@@ -102,7 +102,7 @@ def _measured(batches):
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, text_key (a hash of the text), the base counts and the distinct lines of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    inputs = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
+    inputs = scan.small_batches(docs).select("doc_id", F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
     return inputs.mapInArrow(_measured, f"doc_id {kind}, host string, text_key bigint, {', '.join(c + ' bigint' for c in _COUNTS)}, lines array<struct<line:bigint,words:int,companion:bigint>>")
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE = 1 << 20  # bytes of text scanned at once; hashing works in blocks of this size, also inside one long text
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -33,6 +34,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BATCH_ROWS = 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session to hand workers fewer rows at a time than its default of 10,000: texts are long, and
+    a batch stands in the memory of both the executor and the worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 _held: dict[object, object] = {}
 
 

@@ -157,7 +157,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 part = batch.slice(a, b - a)
                 found = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in spans(t or "", model)] for t in part.column(2).to_pylist()]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(found, _SPANS)], ["doc_id", "text_key", "spans"])
-    inputs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
+    inputs = scan.small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
     return inputs.mapInArrow(run, f"doc_id {kind}, text_key bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
@@ -182,7 +182,7 @@ def redact(docs: DataFrame, model: Model | None = None, mask: str = "[secret]")
                 part = batch.slice(a, b - a)
                 clean = pa.array([t if t is None else masked(t) for t in part.column(at).to_pylist()], part.column(at).type)
                 yield part.set_column(at, part.schema.field(at), clean)
-    out = docs.mapInArrow(run, docs.schema)
+    out = scan.small_batches(docs).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

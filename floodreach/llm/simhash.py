@@ -58,7 +58,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text) and fp (signed 64-bit) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).mapInArrow(_fingerprints, f"doc_id {kind}, text_key bigint, fp bigint")
+    return scan.small_batches(docs).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).mapInArrow(_fingerprints, f"doc_id {kind}, text_key bigint, fp bigint")
 
 
 def _narrow(members: DataFrame, width: int) -> DataFrame:

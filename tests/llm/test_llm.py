@@ -148,6 +148,9 @@ def test_token_digests(spark, machine):
         assert (r["n_tokens"], r["n_decoded_chars"]) == (len(ids), len(text))
         assert r["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.digests(empty(spark), VOCABULARY, public_tokenizers.PATTERN).count() == 0
+    apart = bpe.decode(bpe.encode(documents(spark, ODD), VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
+    assert sorted(apart.select("doc_id", F.md5("ids"), F.md5("decoded"), "n_decoded_chars").collect(), key=str) == sorted(
+        bpe.round_trip(documents(spark, ODD), VOCABULARY, public_tokenizers.PATTERN).select("doc_id", F.md5("ids"), F.md5("decoded"), "n_decoded_chars").collect(), key=str)
 
 
 # op4, op5
