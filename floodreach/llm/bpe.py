@@ -16,7 +16,10 @@ from __future__ import annotations
 
 import base64
 import gc
+import sys
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +64,7 @@ class Transducer:
             raise ValueError("vocabulary too large")
         self.pairs: dict[int, bool] = {}
         self.histories: dict[int, tuple] = {}
-        self.fresh: dict[str, tuple[int, ...]] = {}
-        self.stale: dict[str, tuple[int, ...]] = {}
+        self.fresh = _Pieces(self, {})
         self._restart()
 
     def _restart(self) -> None:
@@ -239,19 +241,32 @@ class Transducer:
         ids.extend(self.held[self.sets[state][-1] >> _NODE_BITS])
         return tuple(ids)
 
-    def encode(self, text: str) -> np.ndarray:
-        ids: list[int] = []
-        fresh, stale = self.fresh, self.stale
-        for piece in self.split.findall(text):
-            own = fresh.get(piece)
-            if own is None:
-                own = stale.get(piece) or self.encode_piece(piece.encode())
-                if len(piece) <= 64:
-                    if len(fresh) >= PIECES:
-                        self.fresh, self.stale = fresh, stale = {}, fresh
-                    fresh[piece] = own
-            ids += own
-        return np.array(ids, "<u4")
+    def encode(self, text: str) -> list[int]:
+        if len(self.fresh) >= PIECES:
+            self.fresh = _Pieces(self, self.fresh)
+        return list(chain.from_iterable(map(self.fresh.__getitem__, self.split.findall(text))))
+
+
+class _Pieces(dict):
+    """Ids of pieces, encoded when first asked for; what the table before this one knew is taken over on use."""
+
+    def __init__(self, machine: Transducer, before: dict):
+        super().__init__()
+        self.machine, self.before = machine, dict(before)
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        own = self.before.get(piece) or self.machine.encode_piece(piece.encode())
+        if len(piece) <= SHORT and len(self) < 2 * PIECES:
+            self[piece] = own
+        return own
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 # Lead bytes of UTF-8 with how many bytes follow and the range of the first of them
@@ -313,11 +328,11 @@ class Utf8Stream:
         return out
 
 
-def decode_stream(ids: np.ndarray, tokens: list[bytes | None], chunk: int = CHUNK) -> Iterator[tuple[bytes, str]]:
+def decode_stream(ids: list[int], tokens: list[bytes | None], chunk: int = CHUNK) -> Iterator[tuple[bytes, str]]:
     """The bytes and the certain text of each chunk of ids."""
     machine = Utf8Stream()
     for at in range(0, len(ids), chunk):
-        data = b"".join([tokens[i] for i in ids[at:at + chunk].tolist()])
+        data = b"".join([tokens[i] for i in ids[at:at + chunk]])
         yield data, machine.feed(data)
     yield b"", machine.close()
 
@@ -337,7 +352,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         for batch in batches:
             _, offsets = scan.buffers(batch.column(1))
             for a, b in scan.slices(offsets):
-                out = [machine.encode(t or "").tobytes() for t in batch.column(1).slice(a, b - a).to_pylist()]
+                out = [packed(machine.encode(t or "")) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], ["doc_id", ids])
     return scan.small_batches(docs).select("doc_id", F.col(text).cast("string")).mapInArrow(run, f"doc_id {key}, {ids} binary")
 
@@ -371,7 +386,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             _, offsets = scan.buffers(batch.column(at))
             for a, b in scan.slices(offsets):
                 part = batch.slice(a, b - a)
-                found = _decoded((np.frombuffer(v or b"", "<u4") for v in part.column(at).to_pylist()), tokens)
+                found = _decoded((np.frombuffer(v or b"", "<u4").tolist() for v in part.column(at).to_pylist()), tokens)
                 yield pa.record_batch([*part.columns, *found], [*part.schema.names, "decoded", "n_decoded_chars"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return scan.small_batches(encoded).mapInArrow(run, f"{kinds}, decoded binary, n_decoded_chars bigint")
@@ -389,7 +404,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
             _, offsets = scan.buffers(batch.column(1))
             for a, b in scan.slices(offsets):
                 ids = [machine.encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in ids], pa.binary()), *_decoded(ids, tokens)], ["doc_id", "ids", "decoded", "n_decoded_chars"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([packed(x) for x in ids], pa.binary()), *_decoded(ids, tokens)], ["doc_id", "ids", "decoded", "n_decoded_chars"])
     return scan.small_batches(docs).select("doc_id", F.col(text).cast("string")).mapInArrow(run, f"doc_id {key}, ids binary, decoded binary, n_decoded_chars bigint")
 
 

@@ -119,14 +119,13 @@ def test_transducer_equals_merging_by_rank(machine, monkeypatch):
     rng = np.random.default_rng(4)
     letters = list("abcdefghijklmnopqrstuvwxyz   \n'01.é ü中🙂")
     texts = [t or "" for t in ODD] + ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(1500)] + ["ab" * 3000, "é" * 2000]
-    assert all(machine.encode(t).tolist() == peer.encode_ordinary(t) for t in texts)
+    assert all(machine.encode(t) == peer.encode_ordinary(t) for t in texts)
     monkeypatch.setattr(bpe, "STATES", 40)  # forgetting sets, also within one piece, changes nothing
     monkeypatch.setattr(bpe, "PIECES", 10)
     monkeypatch.setattr(bpe, "PAIRS", 50)
     monkeypatch.setattr(bpe, "SHORT", 4)
-    machine.fresh.clear()
-    machine.stale.clear()
-    assert all(machine.encode(t).tolist() == peer.encode_ordinary(t) for t in texts)
+    machine.fresh = bpe._Pieces(machine, {})
+    assert all(machine.encode(t) == peer.encode_ordinary(t) for t in texts)
 
 
 def test_utf8_stream_takes_any_cut():
@@ -146,7 +145,7 @@ def test_token_digests(spark, machine):
         text = (ODD[r["doc_id"]] if r["doc_id"] is not None else "no id here at all") or ""
         ids = machine.encode(text)
         assert (r["n_tokens"], r["n_decoded_chars"]) == (len(ids), len(text))
-        assert r["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert r["ids_sha256"] == hashlib.sha256(bpe.packed(ids)).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.digests(empty(spark), VOCABULARY, public_tokenizers.PATTERN).count() == 0
     apart = bpe.decode(bpe.encode(documents(spark, ODD), VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
     assert sorted(apart.select("doc_id", F.md5("ids"), F.md5("decoded"), "n_decoded_chars").collect(), key=str) == sorted(
