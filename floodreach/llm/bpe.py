@@ -332,7 +332,7 @@ def decode_stream(ids: list[int], tokens: list[bytes | None], chunk: int = CHUNK
     """The bytes and the certain text of each chunk of ids."""
     machine = Utf8Stream()
     for at in range(0, len(ids), chunk):
-        data = b"".join([tokens[i] for i in ids[at:at + chunk]])
+        data = b"".join(map(tokens.__getitem__, ids[at:at + chunk]))
         yield data, machine.feed(data)
     yield b"", machine.close()
 
