@@ -3,11 +3,11 @@
 A line is normalised (A-Z lower-cased, digits as 0, white space collapsed) and hashed. A line that more than ``MAX_DOCUMENTS``
 distinct documents of its host carry is boilerplate and removed; a document that keeps less than ``KEEP_SHARE`` of its words
 is depleted and rejected. So that copies of one text do not turn its own lines into boilerplate, documents count as distinct
-by what else they hold: besides the number of distinct texts, the number of distinct *companions* of the line (the longest
-other line of each document) must be above the limit and at least a quarter of the texts.
+by what is their own: all lines but the frequent ones (above the limit in distinct texts) and edits of these, which have up to one
+word more or less and the same ``EDGE`` words at the start or end. Documents that own nothing are told apart by the least frequent-line hash.
 
-Scale: texts are read once and never shuffled. Line hashes are counted with partial sums per host and line; a second,
-exact count follows only for lines above the limit, as a distinct over (line, text) and one over (line, companion). A line or
+Scale: texts are read once and never shuffled. Line hashes are counted with partial sums per host and line; exact counts follow
+only for lines above the limit, as a distinct over (line, text) and one over (line, hash of a document's own lines). A line or
 a host of a third of all rows is thus summed in all tasks before it meets in one. Nothing is collected.
 
 Defined cases: null has no words and fails; a null host is a host of its own; lines without a word are never counted; repeated
@@ -23,13 +23,14 @@ from . import scan
 from .rows import same_row, without
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50  # fixed values: the base rules
-MAX_DOCUMENTS, COMPANION_SHARE, KEEP_SHARE = 20, 0.25, 0.2
+MAX_DOCUMENTS, KEEP_SHARE = 20, 0.2
+EDGE = 4  # words at either end by which an edited line is known; half of a shorter line
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _FOLD = scan.LOWER.copy()
 _FOLD[0x30:0x3A] = 0x30
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_LINES = pa.struct([("line", pa.int64()), ("words", pa.int32()), ("companion", pa.int64())])
+_LINES = pa.struct([("line", pa.int64()), ("words", pa.int32()), ("size", pa.int32()), ("head", pa.int64()), ("tail", pa.int64())])
 
 
 def _total(flags: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,24 +69,23 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
 
     _, _, _, folded = scan.runs(_FOLD[data], offsets, scan.NOT_SPACE)
     first = np.searchsorted(start, l_start)
-    mixed = np.zeros(len(l_row), np.uint64)  # a line's hash from its words' hashes and their places in it
+    mixed, head, tail = (np.zeros(len(l_row), np.uint64) for _ in range(3))  # from the words' hashes and their places
     if len(l_row):
         place = np.arange(len(word)) - np.repeat(first, words)
-        power = scan.mix(np.arange(1, int(words.max()) + 1, dtype=np.uint64)) | np.uint64(1)
+        power = scan.mix(np.arange(1, max(EDGE, int(words.max())) + 1, dtype=np.uint64)) | np.uint64(1)
         mixed = scan.mix(np.add.reduceat(folded * power[place], first))
-    order = np.lexsort((-words, l_row))  # longest line first, of equal ones the earliest
-    l_row, mixed, words = l_row[order], mixed[order], words[order]
+        edge = np.minimum(EDGE, words // 2)
+        for j in range(EDGE):
+            own = edge > j
+            head[own] += folded[first[own] + j] * power[j]
+            tail[own] += folded[(first + words - edge)[own] + j] * power[j]
     key = mixed ^ of_row[l_row]
     _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
     total = np.bincount(inverse, words).astype(np.int32)  # words of all lines alike
     rank = np.sort(at)
     total = total[inverse[rank]]
-    l_row, mixed = l_row[rank], mixed[rank]
-    head = np.searchsorted(l_row, l_row)  # the row's longest line
-    second = np.minimum(head + 1, max(len(l_row) - 1, 0))
-    other = np.where(l_row[second] == l_row, mixed[second], 0).astype(np.uint64) if len(l_row) else mixed
-    companion = np.where(head == np.arange(len(l_row)), other, mixed[head]) if len(l_row) else mixed
-    lines = pa.StructArray.from_arrays([pa.array(mixed.view(np.int64)), pa.array(total, pa.int32()), pa.array(companion.view(np.int64))], fields=list(_LINES))
+    l_row, mixed, head, tail, words = (x[rank] for x in (l_row, mixed, head, tail, words))
+    lines = pa.StructArray.from_arrays([pa.array(mixed.view(np.int64)), pa.array(total, pa.int32()), pa.array(words, pa.int32()), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64))], fields=list(_LINES))
     return out, lines, scan.per_row(l_row, n)
 
 
@@ -103,19 +103,32 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, text_key (a hash of the text), the base counts and the distinct lines of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     inputs = scan.small_batches(docs).select("doc_id", F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
-    return inputs.mapInArrow(_measured, f"doc_id {kind}, host string, text_key bigint, {', '.join(c + ' bigint' for c in _COUNTS)}, lines array<struct<line:bigint,words:int,companion:bigint>>")
+    return inputs.mapInArrow(_measured, f"doc_id {kind}, host string, text_key bigint, {', '.join(c + ' bigint' for c in _COUNTS)}, lines array<struct<line:bigint,words:int,size:int,head:bigint,tail:bigint>>")
 
 
 def boilerplate(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """key (of host and line) of every line above the limits."""
+    """key (of host and line) of every line above the limit."""
     key = F.xxhash64("host", "line").alias("key")
-    lines = rows.select("host", "text_key", F.inline("lines"))
+    lines = rows.select("rid", "host", "text_key", F.inline("lines"))
     often = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_documents).select("key")
     often = materialize(often, "often")
-    held = lines.select(key, "text_key", "companion").join(often, "key")
-    texts = held.select("key", "text_key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-    companions = held.select("key", "companion").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("companions"))
-    return texts.join(companions, "key").filter((F.col("texts") > max_documents) & (F.col("companions") > max_documents) & (F.col("companions") >= F.lit(COMPANION_SHARE) * F.col("texts"))).select("key")
+    held = lines.select(key, "host", "text_key", "size", "head", "tail").join(often, "key")
+    texts = held.select("key", "text_key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > max_documents)
+    seen = held.groupBy("key", "host", "size", "head", "tail").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    frequent = materialize(seen.join(texts.select("key"), "key"), "frequent")
+
+    def near(end: str, size="size"):  # lines of fewer than two words have no ends
+        return F.when(F.col("size") > 1, F.xxhash64("host", size, end))
+    edits = frequent.withColumn("to", F.explode(F.array(*[(F.col("size") + d).cast("int") for d in (-1, 0, 1)])))
+    heads, tails = (materialize(edits.select(near(end, "to").alias(end + "_key")).filter(F.col(end + "_key").isNotNull()).distinct().withColumn(end + "_like", F.lit(True)), end) for end in ("head", "tail"))
+    known = materialize(frequent.select("key").distinct().withColumn("often", F.lit(True)), "known")
+    marked = lines.select("rid", "line", key, near("head").alias("head_key"), near("tail").alias("tail_key"))
+    marked = marked.join(known, "key", "left").join(heads, "head_key", "left").join(tails, "tail_key", "left")
+    own = F.coalesce("often", "head_like", "tail_like").isNull()
+    classes = marked.groupBy("rid").agg(F.bit_xor(F.when(own, F.col("line"))).alias("own"), F.min(F.when(F.col("often"), F.col("line"))).alias("least"))
+    classes = classes.filter("least is not null").select("rid", F.coalesce("own", "least").alias("class"))
+    met = lines.select("rid", key).join(known.select("key"), "key").join(classes, "rid").select("key", "class").distinct()
+    return met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_documents).select("key")
 
 
 def verdicts(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:

@@ -313,6 +313,16 @@ def test_quality_rules_spare_copies(spark):
     assert quality_rules.keep_good(documents(spark, ODD + [prose(1, 60)])).columns == documents(spark, []  + [""]).columns
 
 
+def test_templates_of_several_lines_are_removed(spark):
+    menu, footer = (" ".join(f"{name}{w}{k}" for k in "abc" for w in WORDS[:n]) for name, n in (("menu", 10), ("foot", 8)))
+    pages = [f"{menu}\n{prose(i, 6)}\n{footer}" for i in range(30)]  # two lines longer than a page's own
+    edited = ["\n".join(f"{prose(901 + k, 40)} edited{chr(97 + i % 26)}" if k == i % 25 else prose(901 + k, 40) for k in range(25)) for i in range(100)]
+    rows = [(i, t, None, "one", None) for i, t in enumerate(pages)] + [(1000 + i, t, None, "two", None) for i, t in enumerate(edited)]
+    got = by_id(quality_rules.verdicts(spark.createDataFrame(rows, SCHEMA)))
+    assert all(not got[i]["kept"] and got[i]["n_removed_words"] == len(f"{menu} {footer}".split()) for i in range(30))
+    assert all(got[1000 + i]["n_removed_words"] == 0 and got[1000 + i]["kept"] for i in range(100))
+
+
 # op9
 
 def _print(text):
