@@ -323,6 +323,14 @@ def test_templates_of_several_lines_are_removed(spark):
     assert all(got[1000 + i]["n_removed_words"] == 0 and got[1000 + i]["kept"] for i in range(100))
 
 
+def test_copies_do_not_shield_a_line(spark):
+    lead, base = prose(900, 12) + " lead", [prose(901 + k, 40) for k in range(25)]
+    copies = ["\n".join([lead, *(f"{x} edited{chr(97 + i // 25)}" if k == i % 25 else x for k, x in enumerate(base))]) for i in range(400)]
+    others = [f"{lead}\n{prose(2000 + i, 60)}" for i in range(30)]  # the line is in many near copies and in 30 other documents
+    got = by_id(quality_rules.verdicts(spark.createDataFrame([(i, t, None, "one", None) for i, t in enumerate(copies + others)], SCHEMA)))
+    assert all(r["kept"] and r["n_removed_words"] == len(lead.split()) for r in got.values())
+
+
 # op9
 
 def _print(text):
