@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
-Base spans come from three patterns. Any other run of identifier characters that is long enough is scored by two first-order
-Markov models; where the likelihood ratio per character says "random", the run is a secret too. Models are trained by counting
+Base spans come from three patterns. Any other run of identifier characters that is long enough, and what base
+spans leave of one, is scored by two first-order Markov models; where the likelihood ratio per character says "random", the run is a secret too. Models are trained by counting
 transitions in labelled samples: values behind the base patterns and seeded random strings of common alphabets on one side,
 words of the corpus and identifiers composed of them on the other. The limit lies between the samples held back.
 
@@ -123,21 +123,42 @@ def train(docs: DataFrame) -> Model:
     return fit(sorted(r["text"] for r in chosen.collect()))
 
 
+def _rests(start: int, end: int, base: list[tuple[int, int]]):
+    """What the base spans (sorted) leave of a run."""
+    for s, e in base:
+        if s >= end:
+            break
+        if e > start:
+            if s > start:
+                yield start, s
+            start = e
+    if start < end:
+        yield start, end
+
+
 def spans(text: str, model: Model) -> list[tuple[int, int, int]]:
-    """All spans by start, then kind: the base ones, and random runs that touch none of them."""
+    """All spans by start, then kind: the base ones, and random runs beside them."""
     found = base_spans(text)
     more, i = [], 0
-    base = sorted((s, e) for s, e, _ in found)
+    base = []  # joined where they overlap
+    for s, e, _ in found:
+        if base and s < base[-1][1]:
+            base[-1] = base[-1][0], max(base[-1][1], e)
+        else:
+            base.append((s, e))
     for m in RUN.finditer(text):
-        s, e = m.span()
-        while i < len(base) and base[i][1] <= s:
+        while i < len(base) and base[i][1] <= m.start():
             i += 1
-        if i < len(base) and base[i][0] < e:
-            continue
-        run = m.group()
-        blocks = [run[k:k + MAX_SCORED] for k in range(0, len(run), MAX_SCORED)]
-        if np.average([model.score(b) if len(b) > 1 else 0.0 for b in blocks], weights=[len(b) for b in blocks]) > model.limit:
-            more.append((s, e, 3))
+        j = i
+        while j < len(base) and base[j][0] < m.end():
+            j += 1
+        for s, e in _rests(*m.span(), base[i:j]):
+            if e - s < MIN_RUN:
+                continue
+            run = text[s:e]
+            blocks = [run[k:k + MAX_SCORED] for k in range(0, len(run), MAX_SCORED)]
+            if np.average([model.score(b) if len(b) > 1 else 0.0 for b in blocks], weights=[len(b) for b in blocks]) > model.limit:
+                more.append((s, e, 3))
     return sorted(found + more, key=lambda x: (x[0], x[2])) if more else found
 
 
