@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
 Base spans come from three patterns. Any other run of identifier characters that is long enough, and what base
-spans leave of one, is scored by two first-order Markov models; where the likelihood ratio per character says "random", the run is a secret too. Models are trained by counting
+spans leave of one, is scored by two first-order Markov models; where the likelihood ratio per character says "random", the run is a secret too; where it does not for the whole run, any stretch of it that
+gains enough on the limit is. Models are trained by counting
 transitions in labelled samples: values behind the base patterns and seeded random strings of common alphabets on one side,
 words of the corpus and identifiers composed of them on the other. The limit lies between the samples held back.
 
@@ -31,6 +32,7 @@ KEYWORDS = ("passw", "secret", "token", "api")
 
 MIN_RUN, MAX_SCORED = 20, 4096  # characters: shorter runs are not judged, of longer ones the mean over blocks of this size
 TRAIN_DOCS, TRAIN_CHARS, RANDOM_STRINGS, SEED = 2000, 20_000, 4000, 7
+JOINT = re.compile("[/=_-]")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
@@ -63,10 +65,12 @@ def _transitions(samples: list[str]) -> np.ndarray:
 
 
 class Model:
-    """``ratio``: per transition, log likelihood as random less that as ordinary; ``limit``: mean ratio from which a run is random."""
+    """``ratio``: per transition, log likelihood as random less that as ordinary; ``limit``: mean ratio from which a run is random;
+    ``gain``: sum of ratios less ``limit`` from which a part of a run is."""
 
-    def __init__(self, ratio: np.ndarray, limit: float):
-        self.ratio, self.limit = ratio, limit
+    def __init__(self, ratio: np.ndarray, limit: float, gain: float = np.inf):
+        self.ratio, self.limit, self.gain = ratio, limit, gain
+        self.steps = None
 
     def score(self, run: str) -> float:
         c = _codes(run)
@@ -75,6 +79,49 @@ class Model:
     def is_secret(self, run: str) -> bool:
         return self.score(run) > self.limit
 
+    def climb(self, run: str) -> float:
+        """The highest sum of the ratios less ``limit`` over any part of a run."""
+        c = _codes(run)
+        total = np.concatenate([[0.0], np.cumsum(self.ratio[c[:-1], c[1:]] - self.limit)])
+        return float((total - np.minimum.accumulate(total)).max())
+
+    def parts(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of the stretches of a run over which the ratios less ``limit`` sum to ``gain`` and more. One ends at its
+        highest sum, once the sum has fallen from it by twice ``gain`` or to 0, and the next is looked for from there on."""
+        if self.steps is None:
+            self.steps = {a + b: x for a, row in zip(_ALPHABET, (self.ratio - self.limit).tolist()) for b, x in zip(_ALPHABET, row)}
+        out, t, n = [], 0, len(run) - 1
+        start, end, total, most = 0, 0, 0.0, 0.0
+        while t < n or most >= self.gain:
+            if t < n:
+                total += self.steps[run[t:t + 2]]
+                t += 1
+                if total > most:
+                    most, end = total, t + 1
+                    continue
+                if total > 0 and total >= most - 2 * self.gain:
+                    continue
+            if most >= self.gain:
+                if end - start >= MIN_RUN:
+                    out.append((start, end))
+                t = end
+            start, end, total, most = t, t, 0.0, 0.0
+        return out
+
+    def secret_parts(self, run: str) -> list[tuple[int, int]]:
+        """The whole run where its mean is above the limit, else its random parts, out to the next joint within ``MIN_RUN`` characters."""
+        blocks = [run[k:k + MAX_SCORED] for k in range(0, len(run), MAX_SCORED)]
+        if np.average([self.score(b) if len(b) > 1 else 0.0 for b in blocks], weights=[len(b) for b in blocks]) > self.limit:
+            return [(0, len(run))]
+        out = []
+        for s, e in self.parts(run):
+            before, after = JOINT.search(run[max(0, s - MIN_RUN):s][::-1]), JOINT.search(run, e, e + MIN_RUN)
+            s, e = s - before.start() if before else max(0, s - MIN_RUN), after.start() if after else min(len(run), e + MIN_RUN)
+            if out and s <= out[-1][1]:
+                s = out.pop()[0]
+            out.append((s, e))
+        return out
+
 
 def _random_strings(rng: np.random.Generator) -> list[str]:
     alphabets = ["0123456789abcdef", _ALPHABET[:62], _ALPHABET[:64], _ALPHABET[:26] + "0123456789", _ALPHABET[26:62]]
@@ -113,6 +160,9 @@ def fit(texts: list[str]) -> Model:
     low = np.quantile([model.score(x) for x in held[0]], 0.02)
     high = np.quantile([model.score(x) for x in held[1] if len(x) >= MIN_RUN] or [0.0], 0.99)
     model.limit = float(max(0.0, (low + high) / 2))
+    climbs = [[model.climb(x) for x in h if len(x) >= MIN_RUN] for h in held]
+    low, high = np.quantile(climbs[0], 0.02), np.quantile(climbs[1] or [0.0], 0.999)
+    model.gain = float(max(1.0, high, (low + high) / 2))
     return model
 
 
@@ -155,10 +205,7 @@ def spans(text: str, model: Model) -> list[tuple[int, int, int]]:
         for s, e in _rests(*m.span(), base[i:j]):
             if e - s < MIN_RUN:
                 continue
-            run = text[s:e]
-            blocks = [run[k:k + MAX_SCORED] for k in range(0, len(run), MAX_SCORED)]
-            if np.average([model.score(b) if len(b) > 1 else 0.0 for b in blocks], weights=[len(b) for b in blocks]) > model.limit:
-                more.append((s, e, 3))
+            more += [(s + a, s + b, 3) for a, b in model.secret_parts(text[s:e])]
     return sorted(found + more, key=lambda x: (x[0], x[2])) if more else found
 
 

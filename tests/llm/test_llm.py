@@ -286,6 +286,20 @@ def test_secrets_beside_base_spans(spark):
     assert not any(key in t for t in clean)
 
 
+def test_secrets_inside_ordinary_runs():
+    model = secrets.fit([prose(i, 300) for i in range(20)])
+    rng = np.random.default_rng(19)
+    path = "/".join(rng.choice(WORDS, 60))
+    for _ in range(20):
+        key = "".join(rng.choice(list(secrets._ALPHABET[:62]), 40))
+        for before, after in ((path + "/", ""), ("my_long_setting_name=", ""), ("-" * 200, "-" * 200), (path + "/", "/" + path), ("=" * 2 * secrets.MAX_SCORED, "")):
+            text = f"see {before}{key}{after} now"
+            found = secrets.spans(text, model)
+            assert any(s <= 4 + len(before) and e >= 44 + len(before) for s, e, _ in found)
+            assert sum(e - s for s, e, _ in found) <= len(key) + 2 * secrets.MIN_RUN or model.is_secret(before + key + after)
+    assert not any(secrets.spans(x, model) for x in (path, path.replace("/", "_"), path.replace("/", "-").upper(), "=" * 9000))
+
+
 # op8
 
 def _measures(text):
