@@ -4,8 +4,8 @@ A text is read as consecutive segments of ``SEGMENT`` bytes. In each, one recurr
 states at a position give it a label distribution, and a document's distribution is the mean over all its positions.
 The network is trained in numpy by backpropagation through time. Gates use x / (1 + |x|) in place of exponentials.
 
-Scale: training sees about ``PER_LANGUAGE`` documents of each language, chosen by id hash, and ``STEPS * BATCH`` segments, whatever
-the size of the tables. Prediction is one pass over all whole texts without
+Scale: training sees about ``PER_LANGUAGE`` documents of every language, chosen by id hash, and ``STEPS * BATCH`` segments, whatever
+the size of the tables; above ``FULL_LANGUAGES`` languages fewer documents of each and more steps. Prediction is one pass over all whole texts without
 a shuffle; all segments of about ``scan.SLICE`` bytes advance together.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; languages are those of the sample; without any, all
@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from . import scan
 from .sample import hash_share
 
 SEGMENT, HIDDEN = 64, 8
-PER_LANGUAGE, MAX_LANGUAGES = 300, 64
+PER_LANGUAGE, FULL_LANGUAGES = 300, 64  # with more languages than these, fewer documents of each and more steps
 STEPS, BATCH, RATE, SEED = 350, 192, 0.02, 5
-MAX_TRAIN_CHARS = 100_000  # longer texts are predicted like any other, but not trained on
+MAX_TRAIN_CHARS = 100_000  # longer texts train, by their start, only where a language has no other
 HOLD_MOD, HOLD_AT = 4, 2
 
 
@@ -147,7 +148,7 @@ class Network:
         row = np.repeat(np.arange(n), per)
         start = offsets[row] + SEGMENT * (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per))
         size = np.minimum(SEGMENT, offsets[row + 1] - start)
-        group = max(1, scan.SLICE // SEGMENT)
+        group = max(1, scan.SLICE // SEGMENT * 16 // max(16, len(self.languages)))
         padded = np.concatenate([data, np.zeros(SEGMENT, np.uint8)])
         for at in range(0, len(row), group):
             s, z = start[at:at + group], size[at:at + group]
@@ -176,9 +177,10 @@ def fit(texts: list[str], languages: list[str]) -> Network | None:
     network = Network(names)
     if pieces and len(names) > 1:
         rng, label = np.random.default_rng(SEED), np.array(label)
-        most = max(1, STEPS * BATCH // len(names))  # equally many segments of each language
+        steps = STEPS * max(1, -(-len(names) // FULL_LANGUAGES))
+        most = max(1, steps * BATCH // len(names))  # equally many segments of each language
         pick = np.concatenate([rng.choice(np.flatnonzero(label == k), most) for k in range(len(names)) if (label == k).any()])
-        network.train(np.stack(pieces)[pick], np.array(sizes)[pick], label[pick])
+        network.train(np.stack(pieces)[pick], np.array(sizes)[pick], label[pick], steps)
     return network
 
 
@@ -187,15 +189,20 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame) -> Network | None:
-    """Fit on about ``PER_LANGUAGE`` documents of each of the ``MAX_LANGUAGES`` most frequent languages, none held out."""
-    own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    own = own.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.length("text").between(1, MAX_TRAIN_CHARS) & ~held_out(F.col("doc_id")))
-    often = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not often:
+    """Fit on about ``PER_LANGUAGE`` documents of each language, none held out; with more than ``FULL_LANGUAGES`` languages on
+    so many fewer that all together stay bounded, but one at least."""
+    text = F.col("text").cast("string")
+    own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), (F.length(text) > MAX_TRAIN_CHARS).alias("long"), F.substring(text, 1, MAX_TRAIN_CHARS).alias("text"))
+    own = own.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
+    sizes = own.groupBy("lang", "long").agg(F.count(F.lit(1)).alias("n"), F.min(hash_share("doc_id")).alias("least"))
+    sizes = materialize(sizes.groupBy("lang").agg(F.min(F.struct("long", "n", "least")).alias("s")).select("lang", "s.*"), "languages")
+    n = sizes.count()
+    if not n:
         return None
-    share = F.create_map(*[F.lit(x) for r in often for x in (r["lang"], PER_LANGUAGE / r["count"])])
-    chosen = own.filter(hash_share("doc_id") < F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))
-    rows = sorted(chosen.limit(2 * PER_LANGUAGE * len(often)).collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
+    per = max(1, PER_LANGUAGE * FULL_LANGUAGES // max(n, FULL_LANGUAGES))
+    share = sizes.select("lang", "long", F.greatest(F.lit(per) / F.col("n"), F.col("least")).alias("share"))  # the first one by hash at least
+    chosen = own.join(share, ["lang", "long"]).filter(hash_share("doc_id") <= F.col("share"))
+    rows = sorted(chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], r["doc_id"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

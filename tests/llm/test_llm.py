@@ -224,6 +224,15 @@ def test_language_prediction(spark):
     assert {r["lang_pred"] for r in langid.judge(documents(spark, ["plain words"], extra=False).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 2)
+    rows = [(i, f"{WORDS[i % len(WORDS)]} {i % 70}", f"l{i % 70:02d}", "s", 1) for i in range(700)]
+    rows += [(1000 + i, "été à la où " * 9000, "long", "s", 1) for i in range(4)]
+    network = langid.train(spark.createDataFrame(rows, SCHEMA))
+    assert network.languages == [f"l{k:02d}" for k in range(70)] + ["long"]
+    assert network.pooled(*scan.buffers(pa.array(["a b", "", "c" * 200]))).sum(axis=1).round(5).tolist() == [1.0, 0.0, 1.0]
+
+
 # op6
 
 def test_chat_round_trip(spark):
