@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, langid, licences, quality_model, quality_rules, secrets, simhash, urlfilter
+from . import bpe, chat, collocations, decontaminate, langid, licences, quality_model, quality_rules, secrets, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,6 +124,27 @@ fit AS (SELECT page_id, host, path, arg_max(name || prefix, length(name || prefi
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host <> '' AND starts_with(md5(host), '0') THEN 'block' ELSE 'allow' END) AS verdict FROM fit
 """
 
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), min_count=100, top=2000)
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k)) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE k > 1),
+inside AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, a FROM (SELECT lang, phrase, a, k, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) t(m) WHERE m < k)),
+told AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN told USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS x, array_to_string(string_split(phrase, ' ')[cut + 1:k], ' ') AS y FROM kept, range(1, 5) t(cut) WHERE cut < k),
+s AS (SELECT cuts.*, l.a AS l, r.a AS r, n, CAST((CAST(1000 AS HUGEINT) * cuts.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+      FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y JOIN total ON total.lang = cuts.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+"""
+
 REGISTRY = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op2_licences": (op2_licences, licences.sql()),
@@ -135,4 +156,5 @@ REGISTRY = {
     "op8_quality_rules": (op8_quality_rules, OP8_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
+    "op11_collocations": (op11_collocations, OP11_SQL),
 }
