@@ -22,6 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.common import global_rank
 from ..session import materialize
@@ -174,7 +175,7 @@ _OUT = ["leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
 
 def manifest(docs: DataFrame, part_levels: int = PART_LEVELS, proofs: bool = False) -> DataFrame:
     """doc_id, source, leaf, subroot, root, proof_sha256, folded_root, verified of every row; with ``proofs`` also ``proof``, its siblings."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
     rows = materialize(placed(leaves(docs), part_levels), "placed")
     upper = exchanged(part_roots(rows, part_levels))
     # A part's upper proof travels as one row before its leaves, not on every leaf
@@ -200,7 +201,7 @@ def manifest(docs: DataFrame, part_levels: int = PART_LEVELS, proofs: bool = Fal
                 if proofs:
                     texts.append(siblings)
             n = len(own)
-            cols = [pa.array(ids[1:]), pa.array(sources[1:], pa.string()), pa.array(own, pa.string()), pa.array([subroot] * n, pa.string()), pa.array([root] * n, pa.string()),
+            cols = [pa.array(ids[1:], id_type), pa.array(sources[1:], pa.string()), pa.array(own, pa.string()), pa.array([subroot] * n, pa.string()), pa.array([root] * n, pa.string()),
                     pa.array(digests, pa.string()), pa.array(folded, pa.string()), pa.array([f == root for f in folded], pa.bool_())]
             yield pa.record_batch(cols + ([pa.array(texts, pa.string())] if proofs else []), fields)
     types = f"doc_id {kind}, source string, " + ", ".join(f"{c} {'boolean' if c == 'verified' else 'string'}" for c in _OUT) + (", proof string" if proofs else "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, collocations, decontaminate, langid, licences, quality_model, quality_rules, secrets, simhash, urlfilter
+from . import bpe, chat, collocations, decontaminate, langid, licences, merkle, quality_model, quality_rules, secrets, simhash, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +145,44 @@ best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase OR
 SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
 """
 
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("source")
+
+
+# CRC-32 of a decimal number, by its reflected polynomial; levels of the trees by recursion
+OP12_SQL = r"""
+WITH RECURSIVE poly AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, source, lang, n_chars, text, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])) AS inverted FROM documents, poly),
+f AS (SELECT *, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-')) AS fields,
+             CASE WHEN inverted & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS struck FROM d),
+leaf AS MATERIALIZED (SELECT doc_id, source, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(fields || coalesce(strlen(struck) || ':' || struck, '-')) AS tampered FROM f),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid FROM leaf),
+low AS (SELECT 0 AS level, sid, pos AS i, leaf AS h, count(*) OVER (PARTITION BY sid) AS n FROM placed
+        UNION ALL SELECT level + 1, sid, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY level, sid, i // 3),
+sub AS MATERIALIZED (SELECT sid, h, level FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, sid AS i, h, count(*) OVER () AS n FROM sub
+         UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY level, i // 3),
+lows AS MATERIALIZED (SELECT * FROM low), highs AS MATERIALIZED (SELECT * FROM high),
+steps AS MATERIALIZED (
+  SELECT p.sid, p.pos, l.level AS step, coalesce(string_agg(l.h, '' ORDER BY l.i) FILTER (l.i < p.pos // CAST(pow(3, l.level) AS BIGINT)), '') AS x, coalesce(string_agg(l.h, '' ORDER BY l.i) FILTER (l.i > p.pos // CAST(pow(3, l.level) AS BIGINT)), '') AS y
+  FROM placed p JOIN lows l ON l.sid = p.sid AND l.n > 1 AND l.i // 3 = p.pos // CAST(pow(3, l.level + 1) AS BIGINT) GROUP BY ALL
+  UNION ALL
+  SELECT p.sid, p.pos, s.level + g.level, coalesce(string_agg(g.h, '' ORDER BY g.i) FILTER (g.i < p.sid // CAST(pow(3, g.level) AS BIGINT)), ''), coalesce(string_agg(g.h, '' ORDER BY g.i) FILTER (g.i > p.sid // CAST(pow(3, g.level) AS BIGINT)), '')
+  FROM placed p JOIN sub s ON s.sid = p.sid JOIN highs g ON g.n > 1 AND g.i // 3 = p.sid // CAST(pow(3, g.level + 1) AS BIGINT) GROUP BY p.sid, p.pos, s.level, g.level),
+proofs AS (SELECT sid, pos, sha256(string_agg(x || y, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY 1, 2),
+walk AS (SELECT sid, pos, 0 AS step, tampered AS h FROM placed UNION ALL SELECT w.sid, w.pos, w.step + 1, sha256(s.x || w.h || s.y) FROM walk w JOIN steps s USING (sid, pos, step)),
+ends AS (SELECT sid, pos, arg_max(h, step) AS folded_root FROM walk GROUP BY 1, 2)
+SELECT doc_id, leaf, sub.h AS subroot, r.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+FROM placed JOIN sub USING (sid) JOIN ends USING (sid, pos) LEFT JOIN proofs USING (sid, pos), (SELECT h FROM highs WHERE n = 1) r
+"""
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 REGISTRY = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op2_licences": (op2_licences, licences.sql()),
@@ -157,4 +195,6 @@ REGISTRY = {
     "op9_simhash": (op9_simhash, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
     "op11_collocations": (op11_collocations, OP11_SQL),
+    "op12_merkle": (op12_merkle, OP12_SQL),
+    "op13_toxicity": (op13_toxicity, None),
 }
