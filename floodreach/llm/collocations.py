@@ -3,14 +3,15 @@
 A hash sample of the documents, at a lowered threshold, proposes frequent phrases of one to four words. The full pass counts,
 over all documents, every occurring phrase whose two parents (the phrase less its last and less its first word) are proposed:
 these are the proposals and their negative border, the latter never spelt out but met in the texts. All words are counted, as
-their parent is the empty phrase. A border phrase that turns out frequent is a failure: its extensions were not looked at, so
-another pass counts what the enlarged set adds, until nothing new is frequent. Then, by induction over the length, every
-frequent phrase has been counted, whatever the sample missed; counts are exact in every pass.
+their parent is the empty phrase. A border phrase that turns out frequent is a failure: its extensions were not looked at. So
+the set is enlarged by all that is frequent and closed under its borders (every phrase whose words and pairs of words are in the
+set), and a further pass counts what is new in that, until nothing new is frequent. Then, by induction over the length, every
+frequent phrase has been counted, whatever the sample missed; counts are exact in every pass. A last pass reads off the words of the frequent ones.
 
-Scale: passes read the texts in place; what is shuffled are counts, summed per block of words, then per task, then per phrase, so a
-frequent phrase meets in one task as one row a task. Proposals go to the tasks as a Bloom filter of at most ``FILTER_BITS``,
-made by an aggregate of its 64-bit words, of which the driver sees at most that many bits. A false member only has more
-phrases counted. Scores, subsumption and ranks are equality joins and aggregates over frequent phrases alone.
+Scale: passes read the texts in place; what is shuffled are counts by a hash of 96 bits, summed per block of words, then per task, then
+per phrase, so a frequent phrase meets in one task as one row a task. Proposals go to the tasks as a Bloom filter of at most
+``FILTER_BITS``, made by an aggregate of its 64-bit words, of which the driver sees at most that many bits. A false member only
+has more phrases counted. Scores, subsumption and ranks are equality joins and aggregates over frequent phrases alone.
 
 Defined cases: a null text is empty, a null lang is ``und`` (together with documents that say so); a null doc_id is sampled by
 its text; repeated rows count each; empty tables and tables without a frequent phrase give no rows; a long text is handled in
@@ -18,6 +19,8 @@ blocks of words with four words of lookahead; equal scores and counts are ranked
 read, whatever their names."""
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,9 +30,10 @@ from . import scan
 from .sample import hash_share
 
 LONGEST = 5
-SAMPLE_SHARE, LOWERED = 0.125, 0.32  # part of the documents, and part of the expected count that makes a proposal
+SAMPLE_SHARE, LOWERED = 0.0625, 0.8  # part of the documents, and part of the expected count that makes a proposal
 FILTER_BITS = 1 << 27
 BLOCK = 1 << 18  # words handled at once
+_TOLD = 1 << 20  # phrases a task remembers to have said
 
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -91,23 +95,22 @@ def _counted(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, n
 
 
+def _digest(name: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little"))
+
+
 def _words(batches, docs_at: int = 0):
     """Words of each slice of rows, with the languages of its rows as a list."""
     scan.held()
     for batch in batches:
         data, offsets = scan.buffers(batch.column(docs_at + 1))
         names = batch.column(docs_at).to_pylist()
-        codes = {x: np.uint64(int.from_bytes(_digest(x), "little")) for x in set(names)}
+        codes = {x: _digest(x) for x in set(names)}
         langs = np.array([codes[x] for x in names], np.uint64)
         for a, b in scan.slices(offsets):
             yield _Words(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], langs[a:b]), names[a:b]
 
 
-def _digest(name: str) -> bytes:
-    import hashlib
-    return hashlib.blake2b(name.encode(), digest_size=8).digest()
-
-
 def _proposed(batches):
     for words, _ in _words(batches):
         for at, own, seen in words.blocks():
@@ -160,62 +163,120 @@ class Members:
         return cls(words)
 
 
-_COUNTS = "lang string, k int, phrase string, hash bigint, known boolean, n bigint"
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _mark(x: np.ndarray, k: int, known: np.ndarray | int = 0) -> pa.Array:
+    """The upper half of the second hash (with the first it makes 96 bits), the length and a flag in one integer."""
+    return pa.array(((x >> np.uint64(32)) << np.uint64(4)).view(np.int64) + (2 * k + known))
 
 
-def count_pass(docs: DataFrame, members: Members, before: Members | None) -> DataFrame:
-    """Exact counts of all phrases whose parents are both in ``members`` and, after a first pass, not both in ``before``: lang,
-    k, phrase, hash, known (is itself a member), n. The first pass also counts single words and, as k = 0, all word occurrences."""
-    shared = docs.sparkSession.sparkContext.broadcast((members.words, None if before is None else before.words))  # of bounded size
+def _told(counts: DataFrame) -> DataFrame:
+    """What ``_mark`` has packed: k, two, known."""
+    mark = F.col("mark")
+    return counts.withColumns({"k": F.shiftright(mark, 1).bitwiseAND(F.lit(7)).cast("int"), "two": F.shiftright(mark, 4), "known": mark % 2 == 1}).drop("mark")
+
+
+def _candidates(words: _Words, at: int, seen: int, rules: list[tuple[Members, bool]]):
+    """For each length, what phrases of ``words`` from ``at`` on hash to, whether they lie in one piece, whether they are members of the first
+    rule's filter, and for each rule whether they are its candidates: of a border, both parents are members; of a closed set, every word or pair is."""
+    parents, runs = [None] * len(rules), [None] * len(rules)
+    for k, one, two, whole in words.phrases(at, seen):
+        fits, known = [], None
+        for r, (members, closed) in enumerate(rules):
+            has = whole & members.has(one) if k < LONGEST and (not closed or k < 3) or r == 0 else None
+            known = has if r == 0 else known
+            if k == 1:
+                fits.append(np.ones(len(one), bool))
+            elif closed and k > 2:
+                runs[r] = runs[r][:-1] & parents[r][k - 2:]  # parents still holds the pairs
+                fits.append(whole & runs[r])
+            else:
+                fits.append(whole & parents[r][:-1] & parents[r][1:])
+            if not closed or k < 3:
+                parents[r] = has
+            if closed and k == 2:
+                runs[r] = has
+        yield k, one, two, whole, known, fits
+
+
+def count_pass(docs: DataFrame, members: Members, before: list[tuple[Members, bool]]) -> DataFrame:
+    """Exact counts: k, one, two (the phrase's hashes), n and known (it is itself a member).
+
+    Without earlier passes all phrases whose parents are both in ``members`` are counted, and as k = 0 all word occurrences of each language; else
+    all of the closed set that no rule in ``before`` had counted."""
+    first = not before
+    shared = docs.sparkSession.sparkContext.broadcast([(m.words, closed) for m, closed in [(members, not first), *before]])  # of bounded size
 
     def run(batches):
-        now, past = shared.value
-        now, past = Members(now), None if past is None else Members(past)
+        rules = [(Members(w), closed) for w, closed in shared.value]
+        names = ["one", "mark", "n"]
         for words, langs in _words(batches):
-            names = pa.array(langs, pa.string())
+            if first and len(words.row):
+                n = np.bincount(words.row, minlength=len(langs))
+                total: dict[str, int] = {}
+                for lang, x in zip(langs, n.tolist()):
+                    total[lang] = total.get(lang, 0) + x
+                own = np.array([_digest(x) for x in total], np.uint64)
+                yield pa.record_batch([_signed(own), _mark(own, 0), pa.array(list(total.values()), pa.int64())], names)
             for at, own, seen in words.blocks():
-                rows = words.row[at:at + own]
-                if past is None:
-                    n = np.bincount(rows, minlength=len(langs))
-                    here = np.flatnonzero(n)
-                    zero = pa.array(np.zeros(len(here), np.int64))
-                    yield pa.record_batch([names.take(pa.array(here)), zero.cast(pa.int32()), pa.array([""] * len(here), pa.string()), zero, pa.array(np.ones(len(here), bool)), pa.array(n[here])],
-                                          ["lang", "k", "phrase", "hash", "known", "n"])
-                parents = old = None
-                for k, one, two, whole in words.phrases(at, seen):
-                    take = whole.copy()
-                    if k > 1:
-                        take &= parents[:-1] & parents[1:]
-                        if past is not None:
-                            take &= ~(old[:-1] & old[1:])
-                    if k < LONGEST:
-                        parents = whole & now.has(one)
-                        old = None if past is None else whole & past.has(one)
-                    if k == 1 and past is not None:
-                        continue
+                for k, one, two, whole, known, (take, *old) in _candidates(words, at, seen, rules):
+                    take = take & whole
+                    for x in old:
+                        take &= ~x
                     spot = np.flatnonzero(take[:own])
                     if not len(spot):
                         continue
-                    first, n = _counted(one[spot], two[spot])
-                    first = spot[first]
-                    yield pa.record_batch([names.take(pa.array(rows[first])), pa.array(np.full(len(first), k, np.int32)), words.strings(at + first, k), pa.array(one[first].view(np.int64)),
-                                           pa.array(parents[first] if k < LONGEST else np.ones(len(first), bool)), pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "hash", "known", "n"])
-    counts = _texts(docs).mapInArrow(run, _COUNTS)
-    return counts.groupBy("lang", "k", "phrase").agg(F.min("hash").alias("hash"), F.min("known").alias("known"), F.sum("n").alias("n"))
+                    here, n = _counted(one[spot], two[spot])
+                    here = spot[here]
+                    yield pa.record_batch([_signed(one[here]), _mark(two[here], k, known[here]), pa.array(n.astype(np.int64))], names)
+    return _told(_texts(docs).mapInArrow(run, "one bigint, mark bigint, n bigint").groupBy("one", "mark").agg(F.sum("n").alias("n")))
+
+
+def spelt(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """lang, k, phrase, n of counted phrases: one more pass reads their words off the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(Members.of(found.filter("k > 0").select(F.col("one").alias("hash"))).words)  # of bounded size
+
+    fields = ["one", "mark", "lang", "phrase"]
+
+    def run(batches):
+        members, told = Members(shared.value), np.zeros(_TOLD, np.uint64)
+        for words, langs in _words(batches):
+            own = sorted(set(langs))
+            code = np.array([_digest(x) for x in own], np.uint64)
+            yield pa.record_batch([_signed(code), _mark(code, 0), pa.array(own, pa.string()), pa.array([""] * len(own), pa.string())], fields)
+            names = pa.array(langs, pa.string())
+            for at, size, seen in words.blocks():
+                for k, one, two, whole in words.phrases(at, seen):
+                    spot = np.flatnonzero((whole & members.has(one))[:size])
+                    key = one[spot] ^ two[spot]
+                    slot = (key % np.uint64(_TOLD)).astype(np.int64)
+                    new = told[slot] != key  # the last phrase said from this slot is another
+                    told[slot[new]] = key[new]
+                    spot = spot[new]
+                    if not len(spot):
+                        continue
+                    spot = spot[_counted(one[spot], two[spot])[0]]
+                    yield pa.record_batch([_signed(one[spot]), _mark(two[spot], k), names.take(pa.array(words.row[at + spot])), words.strings(at + spot, k)], fields)
+    read = _texts(docs).mapInArrow(run, "one bigint, mark bigint, lang string, phrase string").groupBy("one", "mark").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    return _told(read).drop("known").join(found.select("k", "one", "two", "n"), ["k", "one", "two"]).select("lang", "k", "phrase", "n")
 
 
 def frequent(docs: DataFrame, min_count: int = 100, share: float = SAMPLE_SHARE, lowered: float = LOWERED) -> DataFrame:
     """lang, k, phrase, n: every phrase of 1 to 5 words with n >= ``min_count``, and as k = 0 all word occurrences of each lang."""
     known = materialize(proposals(docs, min_count, share, lowered), "proposed")
-    members, before, found = Members.of(known), None, None
+    members, passes, found = Members.of(known), [], None
     while True:
-        new = materialize(count_pass(docs, members, before).filter((F.col("n") >= min_count) | (F.col("k") == 0)), "frequent")
+        new = materialize(count_pass(docs, members, passes).filter((F.col("n") >= min_count) | (F.col("k") == 0)), "frequent")
+        # A border stops at any unknown phrase, a closed set only at an unknown word or pair
+        failed = new.filter(~F.col("known") & F.col("k").between(1, 2 if passes else LONGEST - 1)).select(F.col("one").alias("hash"))
         found = new if found is None else found.unionByName(new)
-        failed = new.filter(~F.col("known") & (F.col("k") < LONGEST)).select("hash")
         if failed.isEmpty():
-            return found.select("lang", "k", "phrase", "n")
-        known = materialize(known.unionByName(failed).distinct(), "proposed")
-        members, before = Members.of(known), members
+            return spelt(docs, materialize(found, "counted"))
+        passes.append((members, bool(passes)))
+        known = materialize(known.unionByName(new.filter("k > 0").select(F.col("one").alias("hash"))).distinct(), "proposed")
+        members = Members.of(known)
 
 
 def _part(words: Column, at: Column | int, size: Column) -> Column:
