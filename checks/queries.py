@@ -368,11 +368,11 @@ def _(v):
     return roads.network_totals(v.nodes, v.edges)
 
 
-@query("road_density", sql(f"""SELECT polygon_id, {rint('a')} AS area_km2, {rint('km')} AS road_km, {rint('km/a', 2)} AS road_km_per_km2 FROM (SELECT p.polygon_id, size*size*2/1e6::DOUBLE+0.5 AS a, coalesce(any_value(k.km),0) AS km FROM polys p LEFT JOIN (
+@query("road_density", sql(f"""SELECT polygon_id, {rint('a')} AS area_km2, {rint('km')} AS road_km, {rint('km/a', 2)} AS road_km_per_km2 FROM (SELECT p.polygon_id, (size*size*2-186*186)/1e6::DOUBLE+0.5 AS a, coalesce(any_value(k.km),0) AS km FROM polys p LEFT JOIN (
     SELECT x.polygon_id, sum(e.mm)/1000000.0::DOUBLE AS km FROM edges e JOIN pin x ON x.node_id=e.u JOIN pin y ON y.node_id=e.v AND y.polygon_id=x.polygon_id GROUP BY ALL) k USING (polygon_id) GROUP BY ALL)""",
     pin="SELECT m.node_id, p.polygon_id FROM nodes m, polys p WHERE abs(m.x-p.x)+abs(m.y-p.y)<p.size AND NOT (abs(m.x-p.x)<93 AND abs(m.y-p.y)<93)"))
 def _(v):
-    area = v.polygons.select("polygon_id", (geometry.ring_area(F.col("rings")[0]) / 1e6 + 0.5).alias("area_km2"))
+    area = v.polygons.select("polygon_id", (geometry.polygon_measures(F.col("rings"))[0] / 1e6 + 0.5).alias("area_km2"))
     return polygons.road_density(v.edges, v.nodes, v.polygons, area)
 
 
@@ -416,16 +416,18 @@ def _(v):
     return there.select("node_id", half_even(F.col("x"), 3).alias("x"), half_even(F.col("y"), 3).alias("y"), half_even(lon, 9).alias("lon"), half_even(lat, 9).alias("lat"))
 
 
-@query("polygon_measures", sql(f"SELECT polygon_id, {rint('2*size*size', 3)} AS area, {rint('x', 3)} AS cx, {rint('y', 3)} AS cy, {rint('4*size*sqrt(2)-sqrt(2)*size', 3)} AS outline FROM polys"))
+@query("polygon_measures", sql(f"SELECT polygon_id, {rint('2*size*size-186*186', 3)} AS area, {rint('x', 3)} AS cx, {rint('y', 3)} AS cy, {rint('4*size*sqrt(2)-sqrt(2)*size', 3)} AS outline FROM polys"))
 def _(v):
+    """Area and centroid less the hole, and the open length of the outer ring."""
     ring = F.col("rings")[0]
-    cx, cy = geometry.ring_centroid(ring)
-    return v.polygons.select("polygon_id", half_even(geometry.ring_area(ring), 3).alias("area"), half_even(cx, 3).alias("cx"), half_even(cy, 3).alias("cy"), half_even(geometry.line_length(ring), 3).alias("outline"))
+    area, cx, cy = geometry.polygon_measures(F.col("rings"))
+    return v.polygons.select("polygon_id", half_even(area, 3).alias("area"), half_even(cx, 3).alias("cx"), half_even(cy, 3).alias("cy"), half_even(geometry.line_length(ring), 3).alias("outline"))
 
 
-@query("interior_points", sql(f"SELECT polygon_id, {rint('x', 3)} AS px, {rint('y', 3)} AS py FROM polys"))
+@query("interior_points", sql(f"SELECT polygon_id, {rint('x+(size+46.5)/2', 3)} AS px, {rint('y+46.5', 3)} AS py FROM polys"))
 def _(v):
-    px, py = geometry.ring_interior_point(F.col("rings")[0])
+    """Half height between the centre and the hole's upper side, in the middle between the hole and the outer ring to the east."""
+    px, py = geometry.polygon_interior_point(F.col("rings"))
     return v.polygons.select("polygon_id", half_even(px, 3).alias("px"), half_even(py, 3).alias("py"))
 
 
@@ -434,6 +436,12 @@ def _(v):
     return polygons.points_within(v.nodes, v.polygons, "node_id", 101.3)
 
 
+@query("buffered_area_near", sql("SELECT polygon_id, node_id FROM polys p, (SELECT node_id, x AS nx, y AS ny FROM nodes) m WHERE greatest(abs(nx-x), abs(ny-y))>=93-40.5 AND (abs(nx-x)+abs(ny-y)<=size OR greatest((abs(nx-x)+abs(ny-y)-size)/sqrt(2), CASE WHEN abs(nx-x)-abs(ny-y)>size THEN sqrt((abs(nx-x)-size)*(abs(nx-x)-size)+ny*ny-2*ny*y+y*y) WHEN abs(ny-y)-abs(nx-x)>size THEN sqrt((abs(ny-y)-size)*(abs(ny-y)-size)+nx*nx-2*nx*x+x*x) ELSE 0 END)<=40.5)"))
+def _(v):
+    """What lies deeper than 40.5 m in a hole is not near the polygon, its own junction first of all."""
+    return polygons.points_within(v.nodes, v.polygons, "node_id", 40.5)
+
+
 @query("simplified_lines", sql("SELECT node_id, CASE WHEN node_id%12>5 THEN x::BIGINT||','||(x+200)::BIGINT||','||(x+500)::BIGINT ELSE x::BIGINT||','||(x+500)::BIGINT END AS kept FROM nodes"))
 def _(v):
     """Lines that rise evenly to a peak of 0 to 11 m at the 41st of 101 vertices and fall evenly: only the peak may stay."""

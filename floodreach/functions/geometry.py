@@ -133,6 +133,52 @@ def ring_distance(ring, x, y) -> Column:
         F.array_min(F.transform(_ring_pairs(ring), to_segment)))
 
 
+def _depth(rings, i) -> Column:
+    """How many of the other rings hold the ``i``-th one, told by its first vertex."""
+    at = F.get(F.get(rings, i), F.lit(0))
+    return F.size(F.filter(rings, lambda other, j: (j != i) & ring_contains(other, at["x"], at["y"])))
+
+
+def polygon_measures(rings) -> tuple[Column, Column, Column]:
+    """Area and centroid of all rings together: a ring inside an odd number of others is a hole, any other a part of its own.
+
+    The way a ring runs does not matter; rings may touch but not cross. Without any area the centroid is null."""
+    def part(ring, i):
+        sign = F.when(_depth(rings, i) % 2 == 0, 1.0).otherwise(-1.0)
+        x, y = ring_centroid(ring)
+        a = sign * ring_area(ring)
+        return F.struct(a.alias("a"), F.when(a == 0, 0.0).otherwise(a * x).alias("x"), F.when(a == 0, 0.0).otherwise(a * y).alias("y"))
+
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "axy"])
+    total = F.aggregate(F.transform(rings, part), zero, lambda acc, p: F.struct(*[(acc[c] + p[c]).alias(c) for c in "axy"]))
+    return total["a"], F.try_divide(total["x"], total["a"]), F.try_divide(total["y"], total["a"])
+
+
+def polygon_interior_point(rings) -> tuple[Column, Column]:
+    """Middle of the widest inside span of a horizontal line through all rings, the eastern one of equal spans.
+
+    The line lies midway between the two vertex heights around half height, so it meets no vertex. Rings without height pass
+    through as their first vertex."""
+    heights = F.array_sort(F.array_distinct(F.transform(F.flatten(rings), lambda p: p["y"])))
+    half = (F.element_at(heights, 1) + F.element_at(heights, -1)) / 2
+    y = (F.array_max(F.filter(heights, lambda h: h <= half)) + F.array_min(F.filter(heights, lambda h: h > half))) / 2
+    crossing = F.filter(F.flatten(F.transform(rings, _ring_pairs)), lambda s: (s["p"]["y"] > y) != (s["q"]["y"] > y))
+    xs = F.array_sort(F.transform(crossing, lambda s: s["p"]["x"] + (y - s["p"]["y"]) / (s["q"]["y"] - s["p"]["y"]) * (s["q"]["x"] - s["p"]["x"])))
+    spans = F.transform(F.sequence(F.lit(0), F.greatest((F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(
+        F.round(F.get(xs, i * 2 + 1) - F.get(xs, i * 2), 6).alias("w"), ((F.get(xs, i * 2 + 1) + F.get(xs, i * 2)) / 2).alias("mid")))
+    first = F.get(F.get(rings, F.lit(0)), F.lit(0))
+    inside = F.size(xs) >= 2
+    return F.when(inside, F.array_max(spans)["mid"]).otherwise(first["x"]), F.when(inside, y).otherwise(first["y"])
+
+
+def segment_distance(px, py, x0, y0, x1, y1) -> Column:
+    """Distance from a point to a segment."""
+    dx, dy = x1 - x0, y1 - y0
+    l2 = dx * dx + dy * dy
+    t = F.when(l2 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x0) * dx + (py - y0) * dy) / l2)))
+    return distance(px, py, x0 + t * dx, y0 + t * dy)
+
+
 def merge_lines(lines) -> Column:
     """Concatenate consecutive lines that already run head to tail, dropping repeated joints."""
     flat = F.flatten(lines)

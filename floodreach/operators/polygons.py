@@ -7,18 +7,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.classify import cell_col, cell_row, cell_x, cell_y, inside_grid
-from ..functions.geometry import ring_distance, to_lonlat
+from ..functions.geometry import segment_distance, to_lonlat
 from ..params import Grid
 from .common import distinct_values
 
 
-def ring_edges(polygons: DataFrame, key: str = "polygon_id", rings: str = "rings") -> DataFrame:
-    """One row per ring edge; holes need no flag because filling is even-odd."""
+def ring_edges(polygons: DataFrame, key: str = "polygon_id", rings: str = "rings", level: bool = False) -> DataFrame:
+    """One row per ring edge, level ones only where asked for; holes need no flag because filling is even-odd."""
     ring = F.col("ring")
-    return (polygons.select(key, F.explode(rings).alias("ring"))
-            .select(key, F.explode(F.arrays_zip(ring.alias("p"), F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)).alias("q"))).alias("e"))
-            .select(key, F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
-            .filter(F.col("y0") != F.col("y1")))
+    edges = (polygons.select(key, F.explode(rings).alias("ring"))
+             .select(key, F.explode(F.arrays_zip(ring.alias("p"), F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)).alias("q"))).alias("e"))
+             .select(key, F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1")))
+    return edges if level else edges.filter(F.col("y0") != F.col("y1"))
 
 
 def row_spans(polygons: DataFrame, grid: Grid, key: str = "polygon_id") -> DataFrame:
@@ -85,10 +85,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, ke
 
 
 def points_within(points: DataFrame, polygons: DataFrame, point_id: str, distance_m: float, key: str = "polygon_id") -> DataFrame:
-    """Pairs (point, polygon) with the point inside the outer ring or at most ``distance_m`` away from it, for polygons of any size."""
-    pairs = _near_pairs(points, polygons, point_id, key, distance_m)
-    ring = polygons.select(key, F.get("rings", F.lit(0)).alias("_ring"))
-    return pairs.join(ring, key).filter(ring_distance(F.col("_ring"), F.col("x"), F.col("y")) <= F.lit(float(distance_m))).select(point_id, key)
+    """Pairs (point, polygon) with the point inside the polygon or at most ``distance_m`` away from it, holes and all parts counted.
+
+    A point far enough from a border is either inside or not, which the even-odd test tells; for the others edges are laid out in tiles of
+    their own size, widened by the distance, and a point meets only the edges of its tile, never a whole ring."""
+    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    edges = ring_edges(polygons, key, level=True).select(F.struct(key, "x0", "y0", "x1", "y1").alias("_edge"), F.array(F.array(end("x0", "y0"), end("x1", "y1"))).alias("rings"))
+    near = _near_pairs(points, edges, point_id, "_edge", distance_m)
+    apart = segment_distance(F.col("x"), F.col("y"), *[F.col("_edge")[c] for c in ("x0", "y0", "x1", "y1")])
+    border = near.filter(apart <= F.lit(float(distance_m))).select(point_id, F.col("_edge")[key].alias(key))
+    return border.unionByName(points_in_polygons(points, polygons, point_id, key)).distinct()
 
 
 def classify_area(water: DataFrame, analysed: DataFrame, grid: Grid) -> DataFrame:
