@@ -196,6 +196,25 @@ def _(v):
     return t.select("date", half_even(F.col("threshold_db"), 6).alias("threshold_db"), "pixels")
 
 
+@query("radar_maps", sql("""SELECT f.date, f.row, f.col, CASE WHEN f.v<t.t AND f.v-r.d<-3 AND s.slope<=5 THEN 1 ELSE 0 END::INT AS value, o.o::VARCHAR AS orbit
+    FROM smooth f JOIN orb o USING (date) JOIN thr t USING (date) JOIN dsmooth r ON r.o=o.o AND r.row=f.row AND r.col=f.col JOIN slopes s ON s.row=f.row AND s.col=f.col""",
+    orb="SELECT date, arg_min(relative_orbit, (t, relative_orbit)) AS o FROM backscatter GROUP BY date",
+    mosaic="SELECT date, row, col, arg_max(vv_db, (t, relative_orbit, vv_db)) AS v FROM backscatter WHERE vv_db IS NOT NULL GROUP BY ALL",
+    smooth="SELECT a.date, a.row, a.col, median(b.v) AS v FROM mosaic a JOIN mosaic b ON b.date=a.date AND b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 GROUP BY ALL",
+    dmed="SELECT relative_orbit AS o, row, col, median(vv_db+9) AS d FROM backscatter WHERE vv_db IS NOT NULL AND t>=TIMESTAMP '1995-01-01' AND t<TIMESTAMP '1998-01-01' GROUP BY ALL",
+    dsmooth="SELECT a.o, a.row, a.col, median(b.d) AS d FROM dmed a JOIN dmed b ON b.o=a.o AND b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 GROUP BY ALL",
+    slopes="""SELECT m.row, m.col, degrees(atan(sqrt(((e.elevation-w.elevation)/320.0::DOUBLE)*((e.elevation-w.elevation)/320.0::DOUBLE)+((n.elevation-s.elevation)/320.0::DOUBLE)*((n.elevation-s.elevation)/320.0::DOUBLE)))) AS slope FROM dem m
+    JOIN dem e ON e.row=m.row AND e.col=m.col+1 JOIN dem w ON w.row=m.row AND w.col=m.col-1 JOIN dem n ON n.row=m.row-1 AND n.col=m.col JOIN dem s ON s.row=m.row+1 AND s.col=m.col""",
+    thr="""SELECT date, CASE WHEN w>1000 AND t BETWEEN -26 AND -12 THEN t ELSE -18.0::DOUBLE END AS t FROM (SELECT date, arg_max(mean, (v, -b)) AS t, any_value(w) AS w FROM (SELECT *, CASE WHEN w1=0 THEN 0 ELSE w0*w1*(m0/w0-(m-m0)/w1)*(m0/w0-(m-m0)/w1) END AS v FROM (
+    SELECT *, w-w0 AS w1 FROM (SELECT *, sum(n) OVER d AS w0, sum(n*mean) OVER d AS m0, sum(n) OVER (PARTITION BY date) AS w, sum(n*mean) OVER (PARTITION BY date) AS m FROM (
+    SELECT date, floor(v/0.25::DOUBLE)::BIGINT AS b, count(*)::DOUBLE AS n, avg(v) AS mean FROM smooth GROUP BY ALL) WINDOW d AS (PARTITION BY date ORDER BY b ROWS UNBOUNDED PRECEDING)))) GROUP BY date)"""))
+def _(v):
+    """Raw pixels to classed cells; the dry season is the same table in other years, 9 dB brighter."""
+    px = v.backscatter.withColumn("scene_id", F.col("relative_orbit"))
+    cells, notes = maps.radar_maps(px, px.withColumn("vv_db", F.col("vv_db") + 9), v.dem, v.grid, "1995-01-01", "1998-01-01", 240.0, p=Params(tile_px=32))
+    return cells.join(notes.select("date", F.regexp_extract("note", r"orbit=(\d+)", 1).alias("orbit")), "date").drop("source")
+
+
 @query("radar_class", sql("""SELECT date, row, col, t, qa, CASE WHEN vv_db IS NULL THEN 255 WHEN vv_db<-16.0::DOUBLE AND vv_db-dry_db<-3 AND slope_deg<=5 THEN 1 ELSE 0 END::INT AS value FROM backscatter"""))
 def _(v):
     return v.backscatter.select("date", "row", "col", "t", "qa", classify.radar_class(F.col("vv_db"), F.col("dry_db"), F.col("slope_deg"), F.lit(-16.0)).alias("value"))
