@@ -3,20 +3,26 @@
 A line is normalised (A-Z lower-cased, digits as 0, white space collapsed) and hashed. A line that more than ``MAX_DOCUMENTS``
 distinct documents of its host carry is boilerplate and removed; a document that keeps less than ``KEEP_SHARE`` of its words
 is depleted and rejected. So that copies of one text do not turn its own lines into boilerplate, documents count as distinct
-by what is their own: all lines but the frequent ones (above the limit in distinct texts) and edits of these, which have up to one
-word more or less and the same ``EDGE`` words at the start or end. Documents that own nothing are told apart by the least frequent-line hash.
+by what is their own: all lines but the frequent ones (above the limit in distinct texts) and edits of these. An edit has ``MIN_EDIT``
+words or more, up to one more or fewer than a frequent line, the same ``EDGE`` words at its start or end, and a 64-bit SimHash of its words
+that differs in at most ``MAX_BITS_PERCENT`` of the bits; common first words alone make no edit. Where several frequent lines of one size share
+those words, only bits on which they agree are compared, and where these are under ``MIN_BITS`` there are no edits. A document that
+owns nothing is told apart by all its lines, or, if one of them is an edit, by the least hash of its frequent lines: pages put together
+from template lines alone are distinct, edited copies of one text are not.
 
 Scale: texts are read once and never shuffled. Line hashes are counted with partial sums per host and line; exact counts follow
 only for lines above the limit, as a distinct over (line, text) and one over (line, hash of a document's own lines). A line or
-a host of a third of all rows is thus summed in all tasks before it meets in one. Nothing is collected.
+a host of a third of all rows is thus summed in all tasks before it meets in one. Lines too short for an edit get keys of their own in
+the joins, so they do not meet in one task. Nothing is collected.
 
 Defined cases: null has no words and fails; a null host is a host of its own; lines without a word are never counted; repeated
-rows count as one document and get the same verdict; an empty table has no rows."""
+rows count as one document and get the same verdict; an empty table has no rows; texts are measured whole, long ones in blocks; of columns
+beside doc_id, text and the host none is read, whatever its name."""
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from . import scan
@@ -24,13 +30,15 @@ from .rows import same_row, without
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50  # fixed values: the base rules
 MAX_DOCUMENTS, KEEP_SHARE = 20, 0.2
-EDGE = 4  # words at either end by which an edited line is known; half of a shorter line
+EDGE = 4  # words at either end by which an edited line is looked for; half of a shorter line
+MIN_EDIT = 5  # words: with one of them changed four fifths are left
+MAX_BITS_PERCENT, MIN_BITS = 28, 32
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _FOLD = scan.LOWER.copy()
 _FOLD[0x30:0x3A] = 0x30
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_LINES = pa.struct([("line", pa.int64()), ("words", pa.int32()), ("size", pa.int32()), ("head", pa.int64()), ("tail", pa.int64())])
+_LINES = pa.struct([("line", pa.int64()), ("words", pa.int32()), ("size", pa.int32()), ("head", pa.int64()), ("tail", pa.int64()), ("print", pa.int64())])
 
 
 def _total(flags: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,6 +53,16 @@ def _repeated(key: np.ndarray) -> np.ndarray:
     return count[inverse] > 1
 
 
+def prints(words: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of consecutive runs of word hashes: a bit is set where it is in over half the words of the run."""
+    out = np.zeros(len(first), np.uint64)
+    if len(first):
+        for bit in range(64):
+            ones = np.add.reduceat((words >> np.uint64(bit)).astype(np.uint8) & 1, first, dtype=np.int32)
+            out |= (2 * ones > sizes).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """The base counts of each row, and its distinct lines as an array of structs with the number of them per row."""
     n = len(offsets) - 1
@@ -69,6 +87,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
 
     _, _, _, folded = scan.runs(_FOLD[data], offsets, scan.NOT_SPACE)
     first = np.searchsorted(start, l_start)
+    shown = prints(folded, first, words)  # words outside lines there are none: the runs follow each other
     mixed, head, tail = (np.zeros(len(l_row), np.uint64) for _ in range(3))  # from the words' hashes and their places
     if len(l_row):
         place = np.arange(len(word)) - np.repeat(first, words)
@@ -84,8 +103,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     total = np.bincount(inverse, words).astype(np.int32)  # words of all lines alike
     rank = np.sort(at)
     total = total[inverse[rank]]
-    l_row, mixed, head, tail, words = (x[rank] for x in (l_row, mixed, head, tail, words))
-    lines = pa.StructArray.from_arrays([pa.array(mixed.view(np.int64)), pa.array(total, pa.int32()), pa.array(words, pa.int32()), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64))], fields=list(_LINES))
+    l_row, mixed, head, tail, shown, words = (x[rank] for x in (l_row, mixed, head, tail, shown, words))
+    hashes = [pa.array(x.view(np.int64)) for x in (mixed, head, tail, shown)]
+    lines = pa.StructArray.from_arrays([hashes[0], pa.array(total, pa.int32()), pa.array(words, pa.int32()), *hashes[1:]], fields=list(_LINES))
     return out, lines, scan.per_row(l_row, n)
 
 
@@ -103,7 +123,22 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, text_key (a hash of the text), the base counts and the distinct lines of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     inputs = scan.small_batches(docs).select("doc_id", F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
-    return inputs.mapInArrow(_measured, f"doc_id {kind}, host string, text_key bigint, {', '.join(c + ' bigint' for c in _COUNTS)}, lines array<struct<line:bigint,words:int,size:int,head:bigint,tail:bigint>>")
+    return inputs.mapInArrow(_measured, f"doc_id {kind}, host string, text_key bigint, {', '.join(c + ' bigint' for c in _COUNTS)}, lines array<struct<line:bigint,words:int,size:int,head:bigint,tail:bigint,print:bigint>>")
+
+
+def _ends(frequent: DataFrame, end: str) -> DataFrame:
+    """What frequent lines show that an edit of one word more, fewer or as many may share an end with: the bits set in all of them and in any."""
+    sized = frequent.select("host", end, "print", F.explode(F.array(*[(F.col("size") + d).cast("int") for d in (-1, 0, 1)])).alias("size"))
+    keyed = sized.select(F.xxhash64("host", "size", end).alias(end + "_key"), "print")
+    return materialize(keyed.groupBy(end + "_key").agg(F.bit_and("print").alias(end + "_all"), F.bit_or("print").alias(end + "_any")), end)
+
+
+def _alike(end: str) -> Column:
+    """Whether a line's SimHash is near those of the frequent lines that share its end; false where there are none."""
+    every, some = F.col(end + "_all"), F.col(end + "_any")
+    sure = F.bitwise_not(every.bitwiseXOR(some))
+    apart = F.bit_count(F.col("print").bitwiseXOR(every).bitwiseAND(sure))
+    return F.coalesce((F.bit_count(sure) >= MIN_BITS) & (100 * apart <= MAX_BITS_PERCENT * F.bit_count(sure)), F.lit(False))
 
 
 def boilerplate(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
@@ -112,20 +147,24 @@ def boilerplate(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFram
     lines = rows.select("rid", "host", "text_key", F.inline("lines"))
     often = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_documents).select("key")
     often = materialize(often, "often")
-    held = lines.select(key, "host", "text_key", "size", "head", "tail").join(often, "key")
+    held = lines.select(key, "host", "text_key", "size", "head", "tail", "print").join(often, "key")
     texts = held.select("key", "text_key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > max_documents)
-    seen = held.groupBy("key", "host", "size", "head", "tail").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    seen = held.groupBy("key", "host", "size", "head", "tail", "print").agg(F.count(F.lit(1)).alias("n")).drop("n")
     frequent = materialize(seen.join(texts.select("key"), "key"), "frequent")
 
-    def near(end: str, size="size"):  # lines of fewer than two words have no ends
-        return F.when(F.col("size") > 1, F.xxhash64("host", size, end))
-    edits = frequent.withColumn("to", F.explode(F.array(*[(F.col("size") + d).cast("int") for d in (-1, 0, 1)])))
-    heads, tails = (materialize(edits.select(near(end, "to").alias(end + "_key")).filter(F.col(end + "_key").isNotNull()).distinct().withColumn(end + "_like", F.lit(True)), end) for end in ("head", "tail"))
+    ends = {end: _ends(frequent, end) for end in ("head", "tail")}
     known = materialize(frequent.select("key").distinct().withColumn("often", F.lit(True)), "known")
-    marked = lines.select("rid", "line", key, near("head").alias("head_key"), near("tail").alias("tail_key"))
-    marked = marked.join(known, "key", "left").join(heads, "head_key", "left").join(tails, "tail_key", "left")
-    own = F.coalesce("often", "head_like", "tail_like").isNull()
-    classes = marked.groupBy("rid").agg(F.bit_xor(F.when(own, F.col("line"))).alias("own"), F.min(F.when(F.col("often"), F.col("line"))).alias("least"))
+    own_key = F.xxhash64("rid", "line", F.lit("short"))  # of a line that can be no edit: it meets no other
+    marked = lines.select("rid", "line", "print", key, *[F.when(F.col("size") >= MIN_EDIT, F.xxhash64("host", "size", end)).otherwise(own_key).alias(end + "_key") for end in ends])
+    marked = marked.join(known, "key", "left")
+    for end, table in ends.items():
+        marked = marked.join(table, end + "_key", "left")
+    often = F.coalesce("often", F.lit(False))
+    edit = ~often & (_alike("head") | _alike("tail"))
+    classes = marked.select("rid", "line", often.alias("often"), edit.alias("edit")).groupBy("rid").agg(
+        F.bit_xor(F.when(~F.col("often") & ~F.col("edit"), F.col("line"))).alias("own"), F.min(F.when(F.col("often"), F.col("line"))).alias("least"),
+        F.bit_xor("line").alias("all"), F.bool_or("edit").alias("edited"))
+    classes = classes.withColumn("own", F.coalesce("own", F.when(~F.col("edited"), F.col("all"))))
     classes = classes.filter("least is not null").select("rid", F.coalesce("own", "least").alias("class"))
     met = lines.select("rid", key).join(known.select("key"), "key").join(classes, "rid").select("key", "class").distinct()
     return met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_documents).select("key")

@@ -75,34 +75,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents")).drop("text_key", "host")
 
 
-OP8_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w FROM documents),
-tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE c > 1) GROUP BY 1),
-raw AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-ln AS (SELECT doc_id, source, text, x, pos, len(regexp_extract_all(x, '[^ 	-
-]+')) AS n,
-              array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^ 	-
-]+'), ' ') AS f
-       FROM raw WHERE regexp_matches(x, '[^ 	-
-]')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM ln GROUP BY 1),
-fl AS (SELECT doc_id, source, text, f, max(n) AS n, sum(n) AS words, min(pos) AS pos FROM ln GROUP BY 1, 2, 3, 4),
-rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS r FROM fl),
-co AS (SELECT a.*, coalesce(CASE WHEN a.r = 1 THEN s.f ELSE t.f END, '') AS companion
-       FROM rk a JOIN rk t ON t.doc_id = a.doc_id AND t.r = 1 LEFT JOIN rk s ON s.doc_id = a.doc_id AND s.r = 2),
-bad AS (SELECT source, f FROM co GROUP BY 1, 2 HAVING count(DISTINCT text) > 20 AND count(DISTINCT companion) > 20 AND count(DISTINCT companion) >= 0.25 * count(DISTINCT text)),
-gone AS (SELECT doc_id, sum(words) AS n FROM co JOIN bad ON co.f = bad.f AND co.source IS NOT DISTINCT FROM bad.source GROUP BY 1),
-m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
-             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
-             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
-      FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_words - n_removed_words < 0.2 * n_words) AS kept FROM m
-"""
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.judge(_table(spark, sf_dir, "documents"))
 
@@ -191,7 +163,7 @@ REGISTRY = {
     "op5_language": (op5_language, None),
     "op6_chat": (op6_chat, OP6_SQL),
     "op7_secrets": (op7_secrets, None),
-    "op8_quality_rules": (op8_quality_rules, OP8_SQL),
+    "op8_quality_rules": (op8_quality_rules, None),
     "op9_simhash": (op9_simhash, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
     "op11_collocations": (op11_collocations, OP11_SQL),
