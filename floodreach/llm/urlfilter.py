@@ -4,12 +4,15 @@ Level 1 of the cascade encodes the listed keys of the corpus, level 2 the keys i
 level 2 wrongly accepts, and so on until no key is wrong. A key's membership is then known from the first level that
 rejects it: exactly, for every key of the universe, without joining the corpus to the list.
 
-Scale: keys are aggregated once to the distinct universe; pages are scanned once and never shuffled. A level is an
-array of 64-bit words made by bitwise aggregation. All levels together may hold ``max_words`` words (8 bytes each); a longer
-cascade is cut into shards by key hash, kept in a table of one row per shard and read by an equality join on the shard.
+Scale: keys are aggregated once to the distinct universe; pages are scanned once and never shuffled. A level is a table of
+64-bit words made by bitwise aggregation, sorted into one array that the pages' scan reads as a scalar subquery. All levels
+together may hold ``max_words`` words (8 bytes each). The words of a longer cascade stay rows of a table: each distinct key asks
+for the few words it needs by equality joins, level by level while it is accepted, and one more join brings the answers to the
+pages. No row carries a level.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, and the empty key is never listed;
-repeated pages are judged each on its own; an empty list blocks nothing."""
+of rules of equal length the one greatest in order
+of host and path counts; repeated pages are judged each on its own; an empty list blocks nothing; other columns are not read."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -54,13 +57,17 @@ def _accepts(key: Column, level: int, words: int, bits: Column) -> Column:
 
 
 def _level(keys: DataFrame, level: int, words: int) -> DataFrame:
-    """One row per shard: the filter over its keys as an array of words."""
-    spots = keys.select("shard", F.explode(F.array(*_spots(F.col("key"), level, words))).alias("p"))
+    """The filter over the keys: w, v of every word that has a bit set."""
+    spots = keys.select(F.explode(F.array(*_spots(F.col("key"), level, words))).alias("p"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))
-    filled = spots.groupBy("shard", F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("v"))
-    by_word = F.map_from_entries(F.collect_list(F.struct(F.col("w").cast("int"), "v")))
-    full = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0).cast("bigint")))
-    return filled.groupBy("shard").agg(by_word.alias("m")).select("shard", full.alias("bits"))
+    return spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("v"))
+
+
+def _packed(filled: DataFrame, words: int) -> DataFrame:
+    """One row: all ``words`` words as an array, in order. Words without a bit come from a range, so that a sort lays them out."""
+    every = filled.unionByName(filled.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("v")))
+    whole = every.groupBy("w").agg(F.bit_or("v").alias("v"))
+    return whole.agg(F.sort_array(F.collect_list(F.struct("w", "v"))).alias("a")).select(F.col("a.v").alias("bits"))
 
 
 def _size(n: int) -> int:
@@ -75,41 +82,51 @@ class Cascade:
 
     def __init__(self, universe: DataFrame, max_words: int = MAX_WORDS):
         universe = materialize(universe.select("key", "listed"), "universe")
-        n_listed, n_all = universe.agg(F.coalesce(F.count_if("listed"), F.lit(0)), F.count(F.lit(1))).first()
-        self.shards = max(1, -(-(_size(n_listed) * 2) // max_words))
-        universe = universe.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(self.shards)))
-        self.levels: list[tuple[int, DataFrame | Column | None]] = []
+        left = universe.agg(F.coalesce(F.count_if("listed"), F.lit(0))).first()[0]
+        self.packed = 2 * _size(left) <= max_words
+        self.levels: list[tuple[int, DataFrame]] = []
         mine, other = universe.filter("listed"), universe.filter(~F.col("listed"))
-        counts = n_listed
-        while counts:
-            level = len(self.levels)
-            widest = mine.groupBy("shard").count().agg(F.max("count")).first()[0] if self.shards > 1 else counts
-            words = _size(widest)
-            bits = materialize(_level(mine, level, words), "level")
-            if self.shards == 1:
-                self.levels.append((words, F.lit(bits.first()["bits"])))
-                wrong = other.filter(_accepts(F.col("key"), level, words, self.levels[-1][1]))
-            else:
-                self.levels.append((words, bits))
-                wrong = other.join(bits, "shard", "left").filter(F.coalesce(_accepts(F.col("key"), level, words, F.col("bits")), F.lit(False))).drop("bits")
-            wrong = materialize(wrong, "wrong")
-            mine, other, counts = wrong, mine, wrong.count()
+        while left:
+            words = _size(left)
+            filled = materialize(_level(mine, len(self.levels), words), "words")
+            self.levels.append((words, materialize(_packed(filled, words), "level") if self.packed else filled))
+            wrong = materialize(self._accepted(other, len(self.levels) - 1).select("key"), "wrong")
+            mine, other, left = wrong, mine, wrong.count()
+
+    def _test(self, key: Column, level: int) -> Column:
+        words, table = self.levels[level]
+        return F.coalesce(_accepts(key, level, words, table.scalar()), F.lit(False))
+
+    def _accepted(self, keys: DataFrame, level: int) -> DataFrame:
+        """Those of distinct keys that a level accepts."""
+        if self.packed:
+            return keys.filter(self._test(F.col("key"), level))
+        words, table = self.levels[level]
+        spots = keys.select("key", F.explode(F.array(*_spots(F.col("key"), level, words))).alias("p"))
+        met = spots.join(table, F.shiftright("p", 6) == F.col("w"))
+        is_set = F.call_function("shiftrightunsigned", F.col("v"), (F.col("p") % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        return met.filter(is_set).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == HASHES).select("key")
 
     def decide(self, df: DataFrame, key: Column, name: str) -> DataFrame:
-        """``df`` with a boolean column: whether the key is listed. Only keys of the universe may be asked for."""
+        """``df`` with a boolean column: whether the key is listed. Only keys of the universe may be asked for; a null key is not listed."""
         if not self.levels:
             return df.withColumn(name, F.lit(False))
-        if self.shards == 1:
-            accepted = [_accepts(key, i, words, bits) for i, (words, bits) in enumerate(self.levels)]
-        else:
-            df = df.withColumn("_shard", F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards)))
-            for i, (_, bits) in enumerate(self.levels):
-                df = df.join(bits.select(F.col("shard").alias("_shard"), F.col("bits").alias(f"_bits{i}")), "_shard", "left")
-            accepted = [F.coalesce(_accepts(key, i, words, F.col(f"_bits{i}")), F.lit(False)) for i, (words, _) in enumerate(self.levels)]
-        verdict = F.lit(len(self.levels) % 2 == 1)  # accepted by all levels: in the set of the last one
-        for i in range(len(self.levels) - 1, -1, -1):
-            verdict = F.when(~accepted[i], F.lit(i % 2 == 1)).otherwise(verdict)
-        return df.withColumn(name, verdict).drop("_shard", *[f"_bits{i}" for i in range(len(self.levels))])
+        if self.packed:
+            verdict = F.lit(len(self.levels) % 2 == 1)  # accepted by all levels: in the set of the last one
+            for i in range(len(self.levels) - 1, -1, -1):
+                verdict = F.when(~self._test(key, i), F.lit(i % 2 == 1)).otherwise(verdict)
+            return df.withColumn(name, verdict)
+        asked = materialize(df.select(key.alias("key")).filter("key is not null").distinct(), "asked")
+        through, depth = asked, []  # a key's depth is the number of levels that accept it; an odd depth is a listed key
+        for i in range(len(self.levels)):
+            through = materialize(self._accepted(through, i), "accepted")
+            depth.append(through)
+        listed = depth[0].withColumn("n", F.lit(1))
+        for through in depth[1:]:
+            listed = listed.unionByName(through.withColumn("n", F.lit(1)))
+        listed = listed.groupBy("key").agg(F.sum("n").alias("n")).filter("n % 2 = 1").select(F.col("key").alias("_listed_key"))
+        joined = df.join(materialize(listed, "listed"), key == F.col("_listed_key"), "left")
+        return joined.withColumn(name, F.col("_listed_key").isNotNull()).drop("_listed_key")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_words: int = MAX_WORDS) -> DataFrame:

@@ -504,9 +504,26 @@ def test_cascade_is_exact(spark):
     universe = spark.createDataFrame(keys, "key string, listed boolean")
     for most in (1 << 17, 40):
         cascade = urlfilter.Cascade(universe, most)
-        assert (cascade.shards > 1) == (most == 40) and len(cascade.levels) > 1
+        assert cascade.packed == (most > 40) and len(cascade.levels) > 1
         assert {(r["key"], r["in"]) for r in cascade.decide(universe.select("key"), F.col("key"), "in").collect()} == set(keys)
     assert not urlfilter.Cascade(universe.filter("not listed")).decide(universe, F.col("key"), "in").filter("in").count()
+    clash = universe.withColumns({c: F.lit(1) for c in ("w", "v", "p", "n", "bits", "a")})
+    assert {(r["key"], r["in"]) for r in urlfilter.Cascade(universe, 40).decide(clash, F.col("key"), "in").collect()} == set(keys)
+
+
+@pytest.mark.parametrize("most", [urlfilter.MAX_WORDS, 1 << 10])
+def test_long_lists_are_exact(spark, most):
+    """Arrays of 15,625 words as literals of the scan, and the same as rows of a table."""
+    universe = spark.range(400_000).select(F.concat(F.lit("host"), "id").alias("key"), (F.col("id") % 4 == 0).alias("listed"))
+    cascade = urlfilter.Cascade(universe, most)
+    assert cascade.packed == (most > 1 << 10)
+    assert not cascade.decide(universe, F.col("key"), "in").filter("in <> listed").count()
+    assert cascade.decide(universe, F.col("key"), "in").count() == 400_000
+
+
+def test_words_of_a_level_are_laid_out_in_order(spark):
+    filled = spark.createDataFrame([(3, -1), (0, 7), (9, 1 << 62)], "w bigint, v bigint")
+    assert urlfilter._packed(filled, 11).first()["bits"] == [7, 0, 0, -1, 0, 0, 0, 0, 0, 1 << 62, 0]
 
 
 def test_url_rules(spark):
@@ -517,6 +534,10 @@ def test_url_rules(spark):
         ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("org/", "allow"), ("com/fr/", "allow"), ("com/de/", "block"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow"),
         (None, "allow"), (None, "block"), (None, "block"), ("com/de/", "block"), (None, "allow")]
     assert (got[1]["host"], got[1]["path"], got[12]["path"], got[10]["host"]) == ("www.example.org", "/es/1", "", "")
+    tied = [("a.org", "/", "allow"), ("org", "/xy", "block"), ("b.a.org", "", "block")]
+    one = spark.createDataFrame([(1, "http://b.a.org/xy"), (2, "http://a.org/xy")], "page_id bigint, url string")
+    none = spark.createDataFrame([], "host string")
+    assert {r["page_id"]: r["rule"] for r in urlfilter.judge(one, none, tied).collect()} == {1: "b.a.org", 2: "org/xy"}
     assert urlfilter.judge(pages.limit(0), spark.createDataFrame([], "host string")).count() == 0
 
 
