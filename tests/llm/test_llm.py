@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -103,6 +105,47 @@ def test_licences_follow_rule_order(spark):
     assert licences.judge(empty(spark)).count() == 0 and licences.judge(documents(spark, ODD)).count() == len(ODD) + 2
 
 
+def _notice(letters):
+    """Sentences as a licence would print them, with capitals, full stops and commas that the normal form lacks."""
+    by_letter = {letter: sentence for sentence, letter in reversed(licences.SENTENCES.items())}
+    return ".\n\n".join(by_letter[x][0].upper() + by_letter[x][1:].replace(" and ", ", and ").replace(" or ", ", or ") for x in letters) + "."
+
+
+def test_wrapped_and_commented_notices_are_found(spark):
+    texts, want = [], []
+    for name, letters, kind in licences.RULES:
+        notice = _notice(letters)
+        wrapped = "\n".join(textwrap.fill(part, 60) for part in notice.split("\n\n"))
+        apart = "\n\n".join(textwrap.fill(part, 60) for part in notice.split("\n\n"))
+        items = "\n".join(f"{k}. {part}" for k, part in enumerate(notice.split("\n\n")))
+        lead = "some code here\n"
+        for x in (notice, wrapped, apart, lead + items, "\n".join(("// " + y).strip() for y in apart.split("\n")), "/*\n" + "\n".join(" * " + y for y in apart.split("\n")) + "\n */\ncode",
+                  "\n".join("# " + y for y in wrapped.split("\n")), "<!--\n" + apart.upper().replace("\n", "\r\n") + "\r\n-->"):
+            texts.append(x)
+            want.append((letters, name, "", kind))
+    got = by_id(licences.judge(documents(spark, texts, extra=False)))
+    assert [(letters, *(got[i][c] for c in ("licences", "left_over", "verdict"))) for i, (letters, *_) in enumerate(want)] == want
+    assert [got[i]["identifiers"] for i in range(len(want))] == [w[0] for w in want]
+    assert len({name for name, *_ in licences.RULES}) >= 36
+
+
+def test_lines_stand_for_themselves_beside_other_text(spark):
+    mit = textwrap.fill(_notice("M"), 70).replace("conditions.", "conditions:") + "\n" + textwrap.fill(_notice("N"), 70) + "\n" + textwrap.fill(_notice("O"), 70)
+    texts = ["released under the MIT license\nsee the file beside this one", f"Copyright (c) 2020 Some One\n\n{mit}\nIN NO EVENT SHALL THE AUTHORS", "SPDX-License-Identifier: LGPL-2.1-only", "x\n// SPDX-License-Identifier: MIT-0 \nimport y"]
+    got = by_id(licences.judge(documents(spark, texts, extra=False)))
+    assert [got[i]["licences"] for i in range(4)] == ["MIT", "MIT", "LGPL-2.1-only", "MIT-0"]
+
+
+def test_licence_sql_agrees(spark):
+    rows = [(i, t) for i, t in enumerate([*ODD[1:], *(_notice(x) for _, x, _ in licences.RULES), "a: b\n\n1) all rights reserved\n \n b. x! all rights\nreserved", "a. b.\n\n\nAll rights reserved\nmore"])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    df = licences.judge(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = con.execute(licences.sql()).to_arrow_table().to_pylist()
+    assert sorted(map(tuple, df.collect())) == sorted(tuple(r[c] for c in df.columns) for r in want)
+
+
 # op3
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
