@@ -107,19 +107,24 @@ def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
 
     def known(piece: Column) -> Column:
         return F.try_element_at(table, F.trim(F.regexp_replace(F.regexp_replace(piece, _APART, " "), _ITEM, "")))
-    found = F.transform(F.split(plain, _CUT), lambda s: F.coalesce(known(s), F.array_join(F.transform(F.split(s, "\n"), known), "")))
+
+    def lines(piece: Column) -> Column:
+        return F.when(F.contains(piece, F.lit("\n")), F.array_join(F.transform(F.split(piece, "\n"), known), "")).otherwise("")
+    found = F.transform(F.split(plain, _CUT), lambda s: F.coalesce(known(s), lines(s)))
     return F.array_join(found, "")
 
 
 def match(sequence: Column, rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column, Column]:
     """Licences found (distinct, in rule order), their kinds, and the identifiers left over."""
-    rest, names, kinds = sequence, [], []
-    for name, pattern, kind in rules:
-        hit = F.contains(rest, F.lit(pattern))
-        names.append(F.when(hit, F.lit(name)))
-        kinds.append(F.when(hit, F.lit(kind)))
-        rest = F.replace(rest, F.lit(pattern), F.lit("|"))
-    return F.array_distinct(F.array_compact(F.array(*names))), F.array_distinct(F.array_compact(F.array(*kinds))), F.replace(rest, F.lit("|"), F.lit(""))
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern"), F.lit(kind).alias("kind")) for name, pattern, kind in rules])
+    start = F.struct(sequence.alias("rest"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("kinds"))
+
+    def tried(state: Column, rule: Column) -> Column:
+        hit = F.contains(state["rest"], rule["pattern"])
+        grown = [F.when(hit, F.concat(state[many], F.array(rule[one]))).otherwise(state[many]).alias(many) for many, one in (("names", "name"), ("kinds", "kind"))]
+        return F.struct(F.replace(state["rest"], rule["pattern"], F.lit("|")).alias("rest"), *grown)
+    end = F.when(sequence == "", start).otherwise(F.aggregate(table, start, tried))  # most texts have nothing to match
+    return F.array_distinct(end["names"]), F.array_distinct(end["kinds"]), F.replace(end["rest"], F.lit("|"), F.lit(""))
 
 
 def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
