@@ -31,7 +31,7 @@ CTES = {
         WHEN (source='modis' AND (r+c)%7=0) OR (source='unosat' AND (r+2*c)%9=0) THEN 1-b ELSE b END AS value FROM (
         SELECT *, {base()} AS b FROM (SELECT l_orderkey%10 AS d, CASE l_linenumber%3 WHEN 0 THEN 'sentinel1' WHEN 1 THEN 'unosat' ELSE 'modis' END AS source,
         l_partkey%h AS r, (l_suppkey*7+l_linenumber)%64 AS c, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem, c))""",
-    "hits": "SELECT d, source, r, c, arg_max(value, (l_orderkey,l_linenumber,l_partkey,l_suppkey,value)) AS value FROM hits0 GROUP BY ALL",
+    "hits": "SELECT d, source, r, c, arg_max(value, (l_orderkey,l_linenumber,value)) AS value FROM hits0 GROUP BY ALL",
     "cells": """SELECT DATE '2022-06-01'+d::INT AS date, source, r::INT AS row, c::INT AS col, value::INT AS value FROM (
         SELECT * FROM hits UNION ALL SELECT d, 'dem_estimate', r, c, b FROM lattice WHERE (r+c)%5<>0
         UNION ALL SELECT DISTINCT 10, unnest(['sentinel1','unosat']), p_partkey%h, p_size%64, 255 FROM part, c)""",
@@ -52,7 +52,7 @@ CTES = {
     "villages": """SELECT printf('v%06d', c_custkey) AS village_id, c_name AS name, CASE WHEN c_custkey%17<>0 THEN floor(abs(c_acctbal))::BIGINT END AS population,
         CASE WHEN c_custkey%10=0 THEN -(100+(c_custkey%13)*100)::DOUBLE ELSE x+30 END AS x, y+40 AS y FROM (SELECT *, (c_custkey*37)%n AS node_id FROM customer, c) JOIN nodes USING (node_id)""",
     "shelters": """SELECT printf('s%05d', s_suppkey) AS shelter_id, s_name AS name, CASE WHEN s_suppkey%20=0 THEN -(100+(s_suppkey%13)*100)::DOUBLE ELSE x+30 END AS x, y+40 AS y
-        FROM (SELECT *, (s_suppkey*113+n//2)%n AS node_id FROM supplier, c WHERE s_suppkey%5=0) JOIN nodes USING (node_id)""",
+        FROM (SELECT *, (s_suppkey*113+n//2)%n AS node_id FROM supplier, c) JOIN nodes USING (node_id)""",
     "vsnap": """SELECT village_id, any_value(name) AS name, any_value(population) AS population, arg_min(node_id, (d, node_id)) AS node_id, min(d) AS snap_dist_m FROM (
         SELECT v.*, m.node_id, sqrt((v.x-m.x)*(v.x-m.x)+(v.y-m.y)*(v.y-m.y)) AS d FROM villages v, nodes m) GROUP BY village_id""",
     "ssnap": """SELECT shelter_id, any_value(name) AS name, arg_min(node_id, (d, node_id)) AS node_id, min(d) AS snap_dist_m FROM (
@@ -81,8 +81,8 @@ CTES = {
     "dem": "SELECT row::INT AS row, col::INT AS col, (abs(row%64-50)+abs(col-22))/8.0::DOUBLE+(p_size%16)/16.0::DOUBLE AS elevation FROM (SELECT i//64 AS row, i%64 AS col, i%n AS k FROM (SELECT unnest(range(h*64)) AS i, n FROM c)) JOIN part ON p_partkey=k WHERE (row*7+col)%29<>0",
     "reports": """SELECT o_orderkey, CASE WHEN c_custkey%3=0 THEN substr(c_name,1,9+(c_custkey%9)::INT)||substr(c_name,11+(c_custkey%9)::INT) ELSE c_name END AS place_name, strftime(DATE '2024-01-01'+(day(o_orderdate)-1)::INT, '%Y-%m-%d') AS date_reported,
         CASE o_orderkey%4 WHEN 0 THEN 'no' WHEN 1 THEN '' ELSE 'yes' END AS reported_isolated, CASE WHEN o_orderkey%7=0 THEN printf('v%06d', c_custkey) ELSE '' END AS village_id
-        FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_orderstatus='F'""",
-    "polys": "SELECT node_id AS polygon_id, x, y, (303+(node_id%7)*150)::DOUBLE AS size FROM nodes WHERE node_id%40=7",
+        FROM orders JOIN customer ON o_custkey=c_custkey""",
+    "polys": "SELECT node_id AS polygon_id, x, y, (303+(node_id%7)*150)::DOUBLE AS size FROM nodes",
     "burned": """SELECT polygon_id, row, col FROM (SELECT polygon_id, r AS row, q AS col, x, y, size, h*160.0::DOUBLE-(r+0.5::DOUBLE)*160.0::DOUBLE AS cy, (q+0.5::DOUBLE)*160.0::DOUBLE AS cx FROM polys, (SELECT unnest(range(h))::INT AS r, h FROM c), (SELECT unnest(range(64))::INT AS q))
         WHERE abs(cx-x)+abs(cy-y)<size AND NOT (abs(cx-x)<93 AND abs(cy-y)<93)""",
     # timelines keyed by threshold; the events status is threshold 0
