@@ -96,21 +96,34 @@ def ring_centroid(ring) -> tuple[Column, Column]:
     return acc["sx"] / (acc["w"] * 3), acc["sy"] / (acc["w"] * 3)
 
 
+def _let(value, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _widest_span(edges, y, otherwise) -> Column:
+    """(x, y): middle of the widest inside span of the line at height ``y``, the eastern one of equal spans; ``otherwise`` without a span."""
+    crossing = F.filter(edges, lambda s: (s["p"]["y"] > y) != (s["q"]["y"] > y))
+    xs = F.array_sort(F.transform(crossing, lambda s: s["p"]["x"] + (y - s["p"]["y"]) / (s["q"]["y"] - s["p"]["y"]) * (s["q"]["x"] - s["p"]["x"])))
+
+    def widest(xs):
+        spans = F.transform(F.filter(xs, lambda x, i: (i % 2 == 0) & (i + 1 < F.size(xs))), lambda x, k: F.struct(
+            F.round(F.get(xs, k * 2 + 1) - x, 6).alias("w"), ((F.get(xs, k * 2 + 1) + x) / 2).alias("mid")))
+        return F.when(F.size(xs) >= 2, F.struct(F.array_max(spans)["mid"].alias("x"), y.alias("y"))).otherwise(otherwise)
+
+    return _let(xs, widest)
+
+
 def ring_interior_point(ring) -> tuple[Column, Column]:
     """Middle of the widest inside span on the horizontal line halfway up the ring.
 
     A single point or a line passes through as its first vertex."""
     ys = F.transform(ring, lambda p: p["y"])
-    y = (F.array_min(ys) + F.array_max(ys)) / 2
-    crossing = F.filter(_ring_pairs(ring), lambda s: (s["p"]["y"] > y) != (s["q"]["y"] > y))
-    xs = F.array_sort(F.transform(crossing, lambda s: s["p"]["x"] + (y - s["p"]["y"]) / (
-        s["q"]["y"] - s["p"]["y"]) * (s["q"]["x"] - s["p"]["x"])))
-    spans = F.transform(F.sequence(F.lit(0), F.greatest((F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(
-        (F.get(xs, i * 2 + 1) - F.get(xs, i * 2)).alias("w"),
-        ((F.get(xs, i * 2 + 1) + F.get(xs, i * 2)) / 2).alias("mid")))
-    inside = (F.size(ring) >= 3) & (F.size(xs) >= 2)
-    return (F.when(inside, F.array_max(spans)["mid"]).otherwise(F.get(ring, F.lit(0))["x"]),
-            F.when(inside, y).otherwise(F.get(ring, F.lit(0))["y"]))
+    first = F.get(ring, F.lit(0))
+    first = F.struct(first["x"].alias("x"), first["y"].alias("y"))
+    point = _let((F.array_min(ys) + F.array_max(ys)) / 2, lambda y: _widest_span(_ring_pairs(ring), y, first))
+    point = F.when(F.size(ring) >= 3, point).otherwise(first)
+    return point["x"], point["y"]
 
 
 def ring_contains(ring, x, y) -> Column:
@@ -160,15 +173,16 @@ def polygon_interior_point(rings) -> tuple[Column, Column]:
     The line lies midway between the two vertex heights around half height, so it meets no vertex. Rings without height pass
     through as their first vertex."""
     heights = F.array_sort(F.array_distinct(F.transform(F.flatten(rings), lambda p: p["y"])))
-    half = (F.element_at(heights, 1) + F.element_at(heights, -1)) / 2
-    y = (F.array_max(F.filter(heights, lambda h: h <= half)) + F.array_min(F.filter(heights, lambda h: h > half))) / 2
-    crossing = F.filter(F.flatten(F.transform(rings, _ring_pairs)), lambda s: (s["p"]["y"] > y) != (s["q"]["y"] > y))
-    xs = F.array_sort(F.transform(crossing, lambda s: s["p"]["x"] + (y - s["p"]["y"]) / (s["q"]["y"] - s["p"]["y"]) * (s["q"]["x"] - s["p"]["x"])))
-    spans = F.transform(F.sequence(F.lit(0), F.greatest((F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(
-        F.round(F.get(xs, i * 2 + 1) - F.get(xs, i * 2), 6).alias("w"), ((F.get(xs, i * 2 + 1) + F.get(xs, i * 2)) / 2).alias("mid")))
     first = F.get(F.get(rings, F.lit(0)), F.lit(0))
-    inside = F.size(xs) >= 2
-    return F.when(inside, F.array_max(spans)["mid"]).otherwise(first["x"]), F.when(inside, y).otherwise(first["y"])
+    first = F.struct(first["x"].alias("x"), first["y"].alias("y"))
+
+    def between(hs):
+        half = lambda: (F.get(hs, F.lit(0)) + F.element_at(hs, -1)) / 2
+        return (F.array_max(F.filter(hs, lambda h: h <= half())) + F.array_min(F.filter(hs, lambda h: h > half()))) / 2
+
+    y = _let(heights, lambda hs: F.when(F.size(hs) > 0, between(hs)))
+    point = _let(y, lambda y: _widest_span(F.flatten(F.transform(rings, _ring_pairs)), y, first))
+    return point["x"], point["y"]
 
 
 def segment_distance(px, py, x0, y0, x1, y1) -> Column:
