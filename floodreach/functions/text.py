@@ -1,19 +1,26 @@
 """Text built from results: isolation ranges, notices, countdowns, in English and Bengali."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-# Digits and month names.
+# Digits, month names and the sentences, whose {slots} are filled below.
 _DIGITS, _BN_DIGITS = "0123456789", "০১২৩৪৫৬৭৮৯"
 _BN_MONTHS = {5: "মে", 6: "জুন", 7: "জুলাই"}
+_RANGE = {"between": "isolated between {from} and {to}", "before": "isolated on or before {to}"}
+_NOTICE = {
+    "en": {"between": "{from} - {to}", "before": "on or before {to}", "route": "{km} km by road to {shelter}", "no route": "not available", "no shelter": "None",
+           "all": "Provisional: {name} may be isolated during {when}. Last safe route: {route}. Follow official flood alerts."},
+    "bn": {"between": "{from} - {to}", "before": "{to} বা তার আগে", "route": "সড়কপথে {km} কিমি", "no route": "জানা নেই", "no shelter": "জানা নেই",
+           "all": "সতর্কতা (পরীক্ষামূলক): {name} এর সড়ক যোগাযোগ {when} এর মধ্যে বিচ্ছিন্ন হতে পারে। নিরাপদ পথ: {route}। নিকটতম আশ্রয়কেন্দ্র: {shelter}। সরকারি সতর্কবার্তা মেনে চলুন।"},
+}
 
 
-def isolation_range_text(outcome, last_connected, earliest, first) -> Column:
-    day = "dd MMM"
-    return (F.when(outcome != "isolated", "")
-            .when(last_connected.isNull(), F.concat(F.lit("isolated on or before "), F.date_format(first, day)))
-            .otherwise(F.concat(F.lit("isolated between "), F.date_format(earliest, day),
-                                F.lit(" and "), F.date_format(first, day))))
+def fill(pattern: str, **slots: Column) -> Column:
+    """``pattern`` with each {slot} replaced by its column; null where one of its columns is null."""
+    parts = re.split(r"\{(\w+)\}", pattern)  # text and slot names in turn
+    return F.concat(*[slots[part] if i % 2 else F.lit(part) for i, part in enumerate(parts) if part])
 
 
 def bengali_number(text) -> Column:
@@ -21,33 +28,33 @@ def bengali_number(text) -> Column:
 
 
 def format_day(day, lang: str = "en") -> Column:
-    if lang != "bn":
-        return F.coalesce(F.date_format(day, "dd MMM"), F.lit("-"))
-    month = F.date_format(day, "MMM")
-    for number, name in _BN_MONTHS.items():
-        month = F.when(F.month(day) == number, name).otherwise(month)
-    return F.when(day.isNull(), "-").otherwise(F.concat(bengali_number(F.dayofmonth(day)), F.lit(" "), month))
+    """Day and short month; a hyphen where there is no day."""
+    text = F.date_format(day, "dd MMM")
+    if lang == "bn":
+        names = F.create_map(*[F.lit(v) for pair in _BN_MONTHS.items() for v in pair])
+        text = fill("{day} {month}", day=bengali_number(F.dayofmonth(day)), month=F.coalesce(names[F.month(day)], F.date_format(day, "MMM")))
+    return F.coalesce(text, F.lit("-"))
+
+
+def _span(patterns: dict, last_connected, start, end) -> Column:
+    """The time of isolation: open to the past where no connected day is known."""
+    slots = {"from": start, "to": end}
+    return F.when(last_connected.isNull(), fill(patterns["before"], **slots)).otherwise(fill(patterns["between"], **slots))
+
+
+def isolation_range_text(outcome, last_connected, earliest, first) -> Column:
+    start, end = F.date_format(earliest, "dd MMM"), F.date_format(first, "dd MMM")
+    return F.when(outcome == "isolated", _span(_RANGE, last_connected, start, end)).otherwise(F.when(outcome.isNotNull(), ""))
 
 
 def notice_text(name, name_bn, last_connected, earliest, first, route_km, shelter, lang: str = "en") -> Column:
     """Short provisional notice for one settlement; the route part depends on a route being known."""
-    # The sentences of the notice.
+    said, km = _NOTICE[lang], F.format_string("%.1f", route_km)
     if lang == "bn":
-        who = F.when(F.coalesce(name_bn, F.lit("")) != "", name_bn).otherwise(name)
-        when = F.when(last_connected.isNotNull(), F.concat(format_day(earliest, "bn"), F.lit(" - "), format_day(first, "bn"))
-                      ).otherwise(F.concat(format_day(first, "bn"), F.lit(" বা তার আগে")))
-        route = F.when(route_km.isNull(), "জানা নেই").otherwise(
-            F.concat(F.lit("সড়কপথে "), bengali_number(F.format_string("%.1f", route_km)), F.lit(" কিমি")))
-        return F.concat(F.lit("সতর্কতা (পরীক্ষামূলক): "), who, F.lit(" এর সড়ক যোগাযোগ "), when,
-                        F.lit(" এর মধ্যে বিচ্ছিন্ন হতে পারে। নিরাপদ পথ: "), route, F.lit("। নিকটতম আশ্রয়কেন্দ্র: "),
-                        F.coalesce(F.when(shelter != "", shelter), F.lit("জানা নেই")),
-                        F.lit("। সরকারি সতর্কবার্তা মেনে চলুন।"))
-    when = F.when(last_connected.isNotNull(), F.concat(format_day(earliest), F.lit(" - "), format_day(first))
-                  ).otherwise(F.concat(F.lit("on or before "), format_day(first)))
-    route = F.when(route_km.isNull(), "not available").otherwise(
-        F.concat(F.format_string("%.1f", route_km), F.lit(" km by road to "), F.coalesce(shelter, F.lit("None"))))
-    return F.concat(F.lit("Provisional: "), name, F.lit(" may be isolated during "), when,
-                    F.lit(". Last safe route: "), route, F.lit(". Follow official flood alerts."))
+        name, km, shelter = F.coalesce(F.nullif(name_bn, F.lit("")), name), bengali_number(km), F.nullif(shelter, F.lit(""))
+    shelter = F.coalesce(shelter, F.lit(said["no shelter"]))
+    route = F.when(route_km.isNull(), said["no route"]).otherwise(fill(said["route"], km=km, shelter=shelter))
+    return fill(said["all"], name=name, when=_span(said, last_connected, format_day(earliest, lang), format_day(first, lang)), route=route, shelter=shelter)
 
 
 def supply_left(deadline, earliest, day) -> tuple[Column, Column]:
