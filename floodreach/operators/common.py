@@ -53,3 +53,25 @@ def exact_median(df: DataFrame, keys: list[str], value: str, width: float) -> Da
         return F.min(F.when(F.col("_to") >= F.col(rank), F.col("_v")))
 
     return mid.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias("median"), F.first("n").alias("n"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float]) -> DataFrame:
+    """Exact quantiles of huge groups, linear between ranks: keys (not null), ``n`` and ``q``, one number per fraction. Nulls do not count.
+
+    Distinct values are counted map-side and laid out once in key and value order, in as many parts as their amount asks for,
+    so however skewed they are. The parts' sums tell which parts hold the wanted ranks; only these are read again and ordered."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "quantiles")
+    sizes = counts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_pc"))
+    before = F.coalesce(F.sum("_pc").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).withColumn("n", F.sum("_pc").over(W.partitionBy(*keys)))
+    at = [(F.col("n") - 1) * F.lit(float(f)) for f in fractions]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(a), F.ceil(a)) for a in at])))
+    here = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_pc")))
+    need = sizes.withColumn("_ranks", here).filter(F.size("_ranks") > 0).select(*keys, "_part", "n", "_before", "_ranks")
+    w = W.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    found = counts.join(need, [*keys, "_part"]).withColumn("_to", F.col("_before") + F.sum("_c").over(w))
+    found = found.select(*keys, "n", "_v", F.explode(F.filter("_ranks", lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("_c")))).alias("_r"))
+    known = found.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))  # two ranks a fraction at most
+    low, high = (lambda a: F.col("_m")[F.floor(a)]), (lambda a: F.col("_m")[F.ceil(a)])
+    return known.select(*keys, "n", F.array(*[low(a) + (a - F.floor(a)) * (high(a) - low(a)) for a in at]).alias("q"))

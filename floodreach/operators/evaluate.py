@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.rounding import half_even
+from .common import exact_quantiles
 from .fuzzy import best_match
 
 
@@ -76,9 +77,9 @@ def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, rounded to one decimal."""
-    long = df.select(*columns).unpivot([], columns, "column", "v").filter(F.col("v").isNotNull())
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = long.groupBy("column").agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v").filter(F.col("v").isNotNull())
+    g = long.groupBy("column").agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    g = g.join(exact_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75]).drop("n"), "column")
     r = lambda c: half_even(c, 1)
     return g.select("column", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("min")).alias("min"),
                     r(F.col("q")[0]).alias("p25"), r(F.col("q")[1]).alias("p50"), r(F.col("q")[2]).alias("p75"), r(F.col("max")).alias("max"))
