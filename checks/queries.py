@@ -821,6 +821,12 @@ def _(v):
     return m.filter(F.col("date").between(day("2022-06-03"), day("2022-06-08")))
 
 
+@query("flood_area_series", sql(f"SELECT date, round(coalesce(sum((value=1)::INT), 0)*25600/1e6, 6) AS flooded_km2, {rint('100.0::DOUBLE*(64*h-count(value))/(64*h)', 2)} AS unknown_pct FROM dates LEFT JOIN merged USING (date), c WHERE date BETWEEN DATE '2022-06-03' AND DATE '2022-06-20' GROUP BY date, h"))
+def _(v):
+    """The last of these dates is one of which nothing is known."""
+    return rain.flooded_area_series(merged(v), v.cells, v.grid, "2022-06-03", "2022-06-20")
+
+
 @query("engine_end_to_end", sql("SELECT s.*, r.shelter_id AS exit_shelter_id, r.shelter_name AS exit_shelter, r.length_m AS exit_route_m FROM esum s LEFT JOIN xroutes r USING (village_id)"))
 def _(v):
     """Whole run over all tables; the village summary with exit routes is what comes out."""

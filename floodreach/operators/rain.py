@@ -1,10 +1,10 @@
-"""Daily rainfall per box, and the reshaping around it."""
+"""Daily rainfall per box, and the reshaping around it; the flooded area beside it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.rounding import half_even
-from ..params import Params
+from ..params import FLOODED, UNKNOWN, Grid, Params
 
 
 def box_rain(rain: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -39,3 +39,19 @@ def rain_long(wide: DataFrame, start, end) -> DataFrame:
     """Rows of the date window, one per box."""
     values = [c for c in wide.columns if c != "date"]
     return wide.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).unpivot("date", values, "box", "mm")
+
+
+def flooded_area_series(merged: DataFrame, observed: DataFrame, grid: Grid, start=None, end=None) -> DataFrame:
+    """(date, flooded_km2, unknown_pct) of the observation dates between ``start`` and ``end``, both included and both optional.
+
+    ``observed`` has every registered date, so one of which no cell is known shows no flood and all unknown. The window is on the
+    partition column and prunes both scans; cells are counted map-side."""
+    day = F.col("date")
+    inside = F.lit(True)
+    for bound, test in ((start, lambda b: day >= b), (end, lambda b: day <= b)):
+        if bound is not None:
+            inside = inside & test(F.lit(bound).cast("date"))
+    known = merged.filter(inside).groupBy("date").agg(F.count_if(F.col("value") == FLOODED).alias("_f"), F.count_if(F.col("value") != UNKNOWN).alias("_n"))
+    all_dates = observed.filter(inside).select("date").distinct().join(known, "date", "left").na.fill(0, ["_f", "_n"])
+    unknown = F.lit(100.0) * (F.lit(grid.size) - F.col("_n")) / F.lit(grid.size)
+    return all_dates.select("date", F.round(F.col("_f") * F.lit(grid.res * grid.res / 1e6), 6).alias("flooded_km2"), half_even(unknown, 2).alias("unknown_pct"))
