@@ -14,6 +14,7 @@ EDGES = ("edge_id string, u string, v string, length_m double, highway string, n
          "geom array<struct<x:double,y:double>>")
 CELLS = "date date, source string, row int, col int, value int"
 MANIFEST = "date date, source string, path string, note string"
+COMMITS = f"{MANIFEST}, version bigint"
 VILLAGES = "village_id string, name string, name_bn string, place string, source string, population bigint, x double, y double"
 SHELTERS_CSV = "shelter_id string, name string, type string, lat double, lon double, source string, verified string, notes string"
 ROAD_STATUS = "threshold double, date date, edge_id string, frac_flooded double, frac_unknown double, status string"

@@ -1,6 +1,12 @@
 """GeoJSON, metadata documents, file inventories and annotation files."""
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geometry import to_lonlat
@@ -67,19 +73,53 @@ def meta_document(summary: DataFrame, grid: Grid, label: str, p: Params = Params
                     F.lit(p.app_start).alias("app_start"), F.lit(p.app_end).alias("app_end"))
 
 
-def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Relative path, SHA-256 and size of every file below ``root``, except manifest.json."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _stream(url: str):
+    """Input stream of a local file, or of any store that Arrow knows by its scheme."""
+    from pyarrow import fs
+    if urlsplit(url).scheme in ("", "file"):
+        return open("/" + url.removeprefix("file:").lstrip("/"), "rb")
+    store, path = fs.FileSystem.from_uri(url)
+    return store.open_input_stream(path)
+
+
+def file_inventory(spark: SparkSession, root: str, opener: Callable = _stream, chunk: int = 1 << 20) -> DataFrame:
+    """Relative path, SHA-256 and size of every file below ``root``, except manifest.json; ``root`` may be a single file.
+
+    Spark lists paths and lengths and packs the files into tasks by size (hidden ones, starting with "_" or ".", are left out); a task reads its files ``chunk`` bytes at a time, so
+    memory does not depend on their size. ``opener`` gives the stream of a path where Arrow does not know the store. A file that
+    changes its length while it is read fails the task."""
+    def digest(batches):
+        for batch in batches:
+            sums = []
+            for url, length in zip(batch.column("url").to_pylist(), batch.column("bytes").to_pylist()):
+                sha, got = hashlib.sha256(), 0
+                with opener(url) as stream:
+                    while part := stream.read(chunk):
+                        sha.update(part)
+                        got += len(part)
+                if got != length:
+                    raise OSError(f"{url}: {got} bytes read of {length}")
+                sums.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sums, pa.string()), batch.column("bytes")], names=["path", "sha256", "bytes"])
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = listed.select("path", "length")
+    names = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(name)),) for name in listed.inputFiles()], "path string")  # of what the driver has listed to plan the scan
+    files = files.unionByName(names.join(files, "path", "left_anti").withColumn("length", F.lit(0).cast("bigint")))  # a scan leaves empty files out
     inside = F.element_at(F.split("path", "\\Q" + root.rstrip("/") + "/\\E"), -1)
-    return (f.withColumn("path", inside)
-            .filter(~F.col("path").rlike("(^|/)manifest\\.json$")).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")))
+    files = files.filter(~F.col("path").rlike("(^|/)manifest\\.json$")).select(F.col("path").alias("url"), inside.alias("path"), F.col("length").alias("bytes"))
+    return files.mapInArrow(digest, "path string, sha256 string, bytes bigint")
+
 
+def manifest_document(inventory: DataFrame, project: str, label: str, p: Params = Params(), model: DataFrame | None = None) -> DataFrame:
+    """Reproducibility document: configuration values and the model's entry (null without one), then one entry per file, as rows of text lines.
 
-def manifest_document(inventory: DataFrame, project: str, label: str, p: Params = Params()) -> DataFrame:
-    """Reproducibility document: configuration values and one entry per file, as rows of text lines."""
-    head = F.to_json(F.struct(F.lit(project).alias("project"), F.lit(label).alias("data_label"), F.struct(
+    ``model`` is the inventory of a single file."""
+    entry = "struct<path:string,sha256:string,bytes:bigint>"
+    of_model = F.lit(None).cast(entry) if model is None else model.agg(F.first(F.struct("path", "sha256", "bytes"))).scalar()
+    head = F.to_json(F.struct(F.lit(project).alias("project"), F.lit(label).alias("data_label"), of_model.alias("model"), F.struct(
         F.lit(p.grid_res_m).alias("grid_res_m"), F.lit(p.main_threshold).alias("cut_threshold"), F.lit(p.boat_dependent_m).alias("boat_dependent_m"),
-        F.lit(p.supply_days).alias("default_supply_days")).alias("configuration")))
+        F.lit(p.supply_days).alias("default_supply_days")).alias("configuration")), {"ignoreNullFields": "false"})
     spark = inventory.sparkSession
     return spark.range(1).select(head.alias("value")).unionByName(inventory.select(F.to_json(F.struct("path", "sha256", "bytes")).alias("value")))
 

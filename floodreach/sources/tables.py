@@ -1,6 +1,7 @@
 """Typed scans and sinks of the domain tables."""
 from __future__ import annotations
 
+import uuid
 import warnings
 
 from pyspark.errors import AnalysisException
@@ -9,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.geometry import to_utm
 from ..operators.places import verified_only
 from ..params import Grid, Params
-from ..schema import CELLS, MANIFEST, ddl
-from ..session import materialize
+from ..schema import CELLS, COMMITS, MANIFEST, ddl
 
 
-def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame | None:
+def read_or_none(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None, **options) -> DataFrame | None:
+    reader = spark.read.format(fmt).options(**options)
     try:
-        return spark.read.format(fmt).options(**options).load(path)
+        return (reader.schema(schema) if schema else reader).load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
@@ -86,11 +87,16 @@ def save_grid(spark: SparkSession, grid: Grid, path: str) -> None:
     spark.createDataFrame([(grid.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """All entries ever committed to a manifest; one without versions is the oldest, an absent one is empty."""
+    log = read_or_none(spark, path, schema=COMMITS)
+    return spark.createDataFrame([], COMMITS) if log is None else log.select(*ddl(COMMITS).names).na.fill(0, ["version"])
+
+
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Registered flood maps; an absent manifest is an empty one, and missing notes are blank."""
-    m = read_or_none(spark, path)
-    m = spark.createDataFrame([], MANIFEST) if m is None else typed(m, MANIFEST)
-    return m.na.fill("", ["path", "note"])
+    """Registered flood maps: of each (date, source) the entry last committed. An absent manifest is an empty one, missing notes are blank."""
+    last = _commits(spark, path).na.fill("", ["path", "note"]).groupBy("date", "source").agg(F.max(F.struct("version", "path", "note")).alias("m"))
+    return last.select("date", "source", "m.path", "m.note")
 
 
 def upsert_manifest(manifest: DataFrame, new: DataFrame, p: Params = Params()) -> DataFrame:
@@ -102,37 +108,60 @@ def upsert_manifest(manifest: DataFrame, new: DataFrame, p: Params = Params()) -
 
 
 def register_flood_maps(cells: DataFrame, notes: DataFrame, root: str, p: Params = Params()) -> DataFrame:
-    """Write flood cells (known ones only) under ``root`` and record them in the manifest beside them.
+    """Write flood cells (known ones only) under ``root``, then record them in the manifest beside them; returns the manifest.
 
-    Only the (date, source) partitions named in ``notes`` are replaced; a map without any known cell leaves a single
-    UNKNOWN marker row, so that it still replaces an earlier one. Rows are clustered by tile within a partition so
-    that later readers can skip row groups. Sources are checked before anything is written."""
+    Nothing that is registered is ever overwritten. The cells of one call go to a folder of their own, and a commit of one small
+    file names it; readers follow the last commit of each (date, source). A call that fails before its commit changes nothing
+    for readers, and two calls at once cannot lose each other's maps; of two for the same map one wins, for all readers the same.
+    Only maps named in ``notes`` are registered; one without any known cell is a single UNKNOWN marker row. Rows are clustered by
+    tile so that later readers can skip row groups. Sources are checked before anything is written."""
     spark = cells.sparkSession
     strange = sorted(str(r[0]) for r in notes.select("source").distinct().filter(~F.coalesce(F.col("source").isin(*p.source_priority), F.lit(False))).collect())
     if strange:
         raise ValueError(f"unknown source {', '.join(strange)}")
+    version = _commits(spark, f"{root}/manifest").agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
+    folder = f"cells/version={uuid.uuid4().hex}"
     cells = cells.join(notes.select("date", "source").distinct(), ["date", "source"], "left_semi")
     tile = [F.floor(F.col("row") / p.tile_px), F.floor(F.col("col") / p.tile_px)]
     marker = notes.select("date", "source", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(255).alias("value"))
-    (cells.filter(F.col("value") != 255).select("date", "source", "row", "col", "value").unionByName(marker).repartition("date", "source", *tile).sortWithinPartitions("date", "source", "row", "col")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "source").parquet(f"{root}/cells"))
-    path = F.concat(F.lit("cells/date="), F.col("date").cast("string"), F.lit("/source="), F.col("source"))
-    new = notes.select("date", "source", path.alias("path"), F.coalesce("note", F.lit("")).alias("note"))
-    merged = materialize(upsert_manifest(load_manifest(spark, f"{root}/manifest"), new, p), "manifest")
-    merged.write.mode("overwrite").parquet(f"{root}/manifest")
-    return merged
+    (cells.filter(F.col("value") != 255).select("date", "source", "row", "col", "value").unionByName(marker).repartition("date", "source", *tile)
+     .sortWithinPartitions("date", "source", "row", "col").write.partitionBy("date", "source").parquet(f"{root}/{folder}"))
+    path = F.concat(F.lit(f"{folder}/date="), F.col("date").cast("string"), F.lit("/source="), F.col("source"))
+    new = notes.groupBy("date", "source").agg(F.max(F.coalesce("note", F.lit(""))).alias("note"))
+    new = new.select("date", "source", path.alias("path"), "note", F.lit(version).cast("bigint").alias("version"))
+    _commit(new, root)
+    return load_manifest(spark, f"{root}/manifest")
+
+
+def _commit(entries: DataFrame, root: str) -> None:
+    """One file in a folder of its own: it appears whole or not at all, and no other commit is touched."""
+    entries.coalesce(1).write.parquet(f"{root}/manifest/commit={uuid.uuid4().hex}")
 
 
 def read_cells(spark: SparkSession, root: str, dates: list | None = None, sources: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cells, dates) as registered under ``root``: the known cells of the chosen partitions, and all registered dates among the
-    chosen, also those of maps that know nothing. Dates and sources prune partitions before anything is read."""
-    def chosen(df):
-        df = df if dates is None else df.filter(F.col("date").isin([str(d) for d in dates]))
-        return df if sources is None else df.filter(F.col("source").isin(sources))
-
-    cells = spark.read.schema(CELLS).option("basePath", f"{root}/cells").parquet(f"{root}/cells")
-    known = chosen(cells).filter(F.col("row").isNotNull())
-    return known, chosen(load_manifest(spark, f"{root}/manifest")).select("date").distinct()
+    """(cells, dates) as registered under ``root``: the known cells of the chosen maps, and all registered dates among the
+    chosen, also those of maps that know nothing. Only the folders that the manifest names are listed and read."""
+    maps = load_manifest(spark, f"{root}/manifest")
+    maps = maps if dates is None else maps.filter(F.col("date").isin([str(d) for d in dates]))
+    maps = maps if sources is None else maps.filter(F.col("source").isin(sources))
+    folders = [f"{root}/{r[0]}" for r in maps.select("path").collect()]  # one per map
+    if not folders:
+        return spark.createDataFrame([], CELLS), maps.select("date").distinct()
+    cells = spark.read.schema(CELLS).option("basePath", f"{root}/cells").parquet(*folders).select(*ddl(CELLS).names)
+    return cells.filter(F.col("row").isNotNull()), maps.select("date").distinct()
+
+
+def drop_superseded(spark: SparkSession, root: str) -> int:
+    """Delete the cells of maps that a later commit has replaced; returns how many. What is not committed (yet) stays.
+
+    Readers that took their folders before the later commit fail on them: call it when none is at work."""
+    log = _commits(spark, f"{root}/manifest").select("path").distinct()
+    old = log.join(load_manifest(spark, f"{root}/manifest").select("path"), "path", "left_anti")
+    gone = 0
+    for row in old.toLocalIterator():  # one per replaced map
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{row[0]}")
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def write_by_date(df: DataFrame, path: str) -> None:

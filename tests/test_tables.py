@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from checks.views import X0, Y0, Views
 from floodreach import Grid, Params
 from floodreach.functions import geometry, text
 from floodreach.functions.simplify import simplify
-from floodreach.operators import evaluate, focal, network, patches, places, polygons, quality, rain, raster, readpath, timeline, water_level
+from floodreach.operators import common, evaluate, focal, network, patches, places, polygons, quality, rain, raster, readpath, timeline, water_level
 from floodreach.schema import REPORTS, SHELTERS_CSV
 from floodreach.sources import documents, tables
 from floodreach.streaming import feeds
@@ -55,26 +56,30 @@ def test_shelter_csv_and_selection(spark, tmp_path):
         tables.load_shelters(spark, str(tmp_path / "no.csv"), "x")
 
 
-def test_register_flood_maps_replaces_partitions(spark, tmp_path):
+def test_register_flood_maps_replaces_maps(spark, tmp_path):
     root, ddl = str(tmp_path / "flood"), "date date, source string, row int, col int, value int"
+    cells = lambda *cols: rows(tables.read_cells(spark, root)[0], *cols)
     a = spark.createDataFrame([(D(2022, 6, 1), "modis", 0, 0, 1), (D(2022, 6, 1), "unosat", 0, 0, 0), (D(2022, 6, 1), "modis", 0, 1, 255)], ddl)
     notes = a.select("date", "source", F.lit("first").alias("note")).distinct()
     tables.register_flood_maps(a, notes, root)
     b = spark.createDataFrame([(D(2022, 6, 1), "modis", 5, 5, 0)], ddl)
-    tables.register_flood_maps(b, b.select("date", "source", F.lit(None).cast("string").alias("note")), root)
-    assert rows(tables.load_manifest(spark, f"{root}/manifest"), "source", "note") == [("modis", ""), ("unosat", "first")]
-    assert rows(spark.read.parquet(f"{root}/cells").filter("value <> 255"), "source", "row", "value") == [("modis", 5, 0), ("unosat", 0, 0)]
+    before = tables.read_cells(spark, root)[0]
+    got = tables.register_flood_maps(b, b.select("date", "source", F.lit(None).cast("string").alias("note")), root)
+    assert rows(got, "source", "note") == rows(tables.load_manifest(spark, f"{root}/manifest"), "source", "note") == [("modis", ""), ("unosat", "first")]
+    assert cells("source", "row", "value") == [("modis", 5, 0), ("unosat", 0, 0)]
+    assert rows(before, "source", "row", "value") == [("modis", 0, 1), ("unosat", 0, 0)]  # who read before goes on undisturbed
     tables.register_flood_maps(b.limit(0), b.select("date", "source", F.lit("all cloud").alias("note")), root)
-    assert rows(spark.read.parquet(f"{root}/cells").filter("value <> 255"), "source") == [("unosat",)]
     known, days = tables.read_cells(spark, root)
     assert rows(known, "source", "row", "value") == [("unosat", 0, 0)] and rows(days) == [(D(2022, 6, 1),)]
     assert tables.read_cells(spark, root, sources=["modis"])[0].isEmpty() and rows(tables.read_cells(spark, root, [D(2022, 6, 1)], ["modis"])[1]) == [(D(2022, 6, 1),)]
+    assert tables.read_cells(spark, root, [D(2022, 6, 2)])[0].isEmpty()
     strange = b.withColumn("source", F.lit("drone"))
     with pytest.raises(ValueError, match="unknown source drone"):
         tables.register_flood_maps(strange, strange.select("date", "source", F.lit("").alias("note")), root)
-    assert spark.read.parquet(f"{root}/cells").filter("source = 'drone'").isEmpty()
     tables.register_flood_maps(b.withColumn("source", F.lit("unosat")), b.select("date", "source", F.lit("n").alias("note")), root)
-    assert rows(spark.read.parquet(f"{root}/cells").filter("value <> 255"), "source", "row") == [("unosat", 0)]  # cells without a note are left alone
+    assert cells("source", "row") == [("unosat", 0)]  # cells without a note are left alone
+    assert tables.drop_superseded(spark, root) == 3 and tables.drop_superseded(spark, root) == 0
+    assert cells("source", "row") == [("unosat", 0)]
     bad = b.select("date", F.lit("drone").alias("source"), F.lit("p").alias("path"), F.lit("").alias("note"))
     with pytest.raises(Exception, match="unknown source"):
         tables.upsert_manifest(tables.load_manifest(spark, str(tmp_path / "absent")), bad).collect()
@@ -119,6 +124,66 @@ def test_geojson_round_trip(spark, tmp_path):
     assert rows(back, "village_id", "day") == [("v1", "2022-06-07"), ("v2", None)]
 
 
+def test_a_failed_registration_changes_nothing(spark, tmp_path, monkeypatch):
+    root, ddl = str(tmp_path / "flood"), "date date, source string, row int, col int, value int"
+    day = lambda d, v: spark.createDataFrame([(D(2022, 6, d), "modis", 0, 0, v)], ddl)
+    put = lambda c: tables.register_flood_maps(c, c.select("date", "source", F.lit(None).cast("string").alias("note")), root)
+    state = lambda: rows(tables.read_cells(spark, root)[0], "date", "value")
+    put(day(1, 1))
+    commit = tables._commit
+
+    def fails(entries, root):
+        raise OSError("store is away")
+
+    monkeypatch.setattr(tables, "_commit", fails)
+    with pytest.raises(OSError, match="away"):
+        put(day(1, 0))
+    assert state() == [(D(2022, 6, 1), 1)]  # the cells of the second are written, nobody reads them
+
+    def another_first(entries, root):
+        monkeypatch.setattr(tables, "_commit", commit)
+        put(day(2, 1))  # a whole other registration between the writes of this one
+        put(day(3, 1))
+        commit(entries, root)
+
+    monkeypatch.setattr(tables, "_commit", another_first)
+    put(day(3, 0))
+    assert [d for d, _ in state()] == [D(2022, 6, 1), D(2022, 6, 2), D(2022, 6, 3)]
+    assert state() == state() and tables.drop_superseded(spark, root) == 1
+    put(day(3, 0))
+    assert state() == [(D(2022, 6, 1), 1), (D(2022, 6, 2), 1), (D(2022, 6, 3), 0)]
+
+
+def test_files_of_any_size_are_digested_in_chunks(spark, tmp_path):
+    whole = hashlib.sha256()
+    with open(tmp_path / "large.bin", "wb") as f:  # more than a binary column can hold
+        f.truncate(9 << 28)
+    for _ in range(9):
+        whole.update(bytes(1 << 28))
+    (tmp_path / "x y%20.bin").write_bytes(b"flood" * 1000)
+    (tmp_path / "empty").write_bytes(b"")
+    got = documents.file_inventory(spark, str(tmp_path))
+    assert "content" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == [("empty", hashlib.sha256(b"").hexdigest(), 0), ("large.bin", whole.hexdigest(), 9 << 28), ("x y%20.bin", hashlib.sha256(b"flood" * 1000).hexdigest(), 5000)]
+    small = documents.file_inventory(spark, str(tmp_path / "x y%20.bin"), chunk=7)
+    assert rows(small, "sha256", "bytes") == [(hashlib.sha256(b"flood" * 1000).hexdigest(), 5000)]
+    head = json.loads(documents.manifest_document(small, "p", "live", model=small).first()[0])
+    assert head["model"]["bytes"] == 5000 and head["model"]["sha256"] == hashlib.sha256(b"flood" * 1000).hexdigest()
+    assert json.loads(documents.manifest_document(small, "p", "live").first()[0])["model"] is None
+
+
+def test_quantiles_across_tasks(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=5001), "b": np.repeat([1.0, 1e9, -3.5], [4000, 3, 700]), "c": np.array([2.5]), "d": np.array([0.0, 4.0]), "e": np.exp(rng.normal(size=3000) * 20)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("f", None)], "k string, v double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r.k: (r.n, r.q) for r in common.exact_quantiles(df, ["k"], "v", at).collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        assert got[k][0] == len(vs) and np.allclose(got[k][1], np.quantile(vs, at), rtol=1e-12, atol=0)
+    assert common.exact_quantiles(df.limit(0), ["k"], "v", at).isEmpty()
+
+
 def test_file_inventory(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.bin").write_bytes(b"flood")
