@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and every run of 3, 4 and 5 bytes of a text is hashed to a learned vector, and so is the event of a repeated word; a document is the average of its vectors,
+Every word and every run of 3, 4 and 5 characters (code points) of a text is hashed to a learned vector, and so is the event of a repeated word; a document is the average of its vectors,
 and a softmax layer over it gives the class. Vectors and layer are trained together by stochastic gradient descent in
 numpy. With two classes the score depends on vectors only through their product with the layer, so scoring sums one number
 per feature.
@@ -32,13 +32,32 @@ def _blocks(n: int):
         yield at, min(n, at + scan.SLICE)
 
 
-def _buckets(data: np.ndarray, size: int) -> np.ndarray:
-    """Bucket of the ``size`` bytes from every position on."""
-    m = max(0, len(data) - size + 1)
+def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number per character of UTF-8 ``data`` (its bytes, the first one lowest), and where rows begin among them."""
+    if not len(data) or data.max() < 0x80:
+        return data, offsets
+    first = (data & 0xC0) != 0x80  # every other byte continues a character
+    out = []
+    for at, to in _blocks(len(data)):
+        start = np.flatnonzero(first[at:to]) + at
+        values = data[start].astype(np.uint32)
+        more = np.ones(len(start), bool)
+        for k in range(1, 4):
+            spot = np.minimum(start + k, len(data) - 1)
+            more &= (start + k < len(data)) & ~first[spot]
+            values += (data[spot].astype(np.uint32) << np.uint32(8 * k)) * more
+        out.append(values)
+    count = np.add.reduceat(first, np.minimum(offsets[:-1], len(data) - 1), dtype=np.int64) * (np.diff(offsets) > 0)
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(count)])
+
+
+def _buckets(characters: np.ndarray, size: int) -> np.ndarray:
+    """Bucket of the ``size`` characters from every position on."""
+    m = max(0, len(characters) - size + 1)
     h = np.full(m, 2166136261 + size, np.uint32)
     for j in range(size):
         h *= np.uint32(0x85EBCA6B)
-        h += data[j:j + m]
+        h += characters[j:j + m]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0xC2B2AE35)
     return h >> np.uint32(32 - BUCKETS_LOG2)
@@ -55,7 +74,8 @@ def _word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
     data = np.frombuffer(text.encode(), np.uint8)
-    found = [_buckets(data, n) for n in GRAMS] + [_word_buckets(data, np.array([0, len(data)]))[0]]
+    whole = np.array([0, len(data)])
+    found = [_buckets(_characters(data, whole)[0], n) for n in GRAMS] + [_word_buckets(data, whole)[0]]
     at, count = np.unique(np.concatenate([f.astype(np.int64) for f in found]), return_counts=True)
     return at, (count / max(1, count.sum())).astype(np.float32)
 
@@ -64,6 +84,8 @@ def scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, intercept:
     """Probability of label 1 per row."""
     n = len(offsets) - 1
     total, count = np.zeros(n), np.zeros(n)
+    word, row = _word_buckets(data, offsets)
+    data, offsets = _characters(data, offsets)
     lengths = np.diff(offsets)
     for size in GRAMS:
         count += np.maximum(0, lengths - size + 1)
@@ -72,12 +94,26 @@ def scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, intercept:
             run = np.concatenate([[0.0], np.cumsum(table[_buckets(data[at:to + size - 1], size)], dtype=np.float64)])
             a, b = (np.clip(x - at, 0, len(run) - 1) for x in (offsets[:-1], ends))
             total += run[b] - run[a]
-    word, row = _word_buckets(data, offsets)
     total += np.bincount(row, table[word], n)[:n]
     count += scan.per_row(row, n)
     return 1 / (1 + np.exp(-(total / np.maximum(1, count) + intercept)))
 
 
+def gradients(vectors, layer, bias, spot, share, doc, want):
+    """Gradients of the summed cross entropy of a batch: by layer, by bias, and the touched vectors with theirs.
+
+    Features come as (vector ``spot``, ``share``, document ``doc``); ``want`` has a row per document."""
+    def sums(at, rows, n):
+        return np.stack([np.bincount(at, rows[:, k], n) for k in range(vectors.shape[1])], axis=1).astype(vectors.dtype)
+
+    mean = sums(doc, vectors[spot] * share[:, None], len(want))
+    z = mean @ layer + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    wrong = p / p.sum(axis=1, keepdims=True) - want
+    touched, inverse = np.unique(spot, return_inverse=True)
+    return mean.T @ wrong, wrong.sum(axis=0), touched, sums(inverse, (wrong @ layer.T)[doc] * share[:, None], len(touched))
+
+
 def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     """The score table and intercept: embeddings times softmax layer, class 1 less class 0."""
     if len(set(labels)) < 2:
@@ -95,18 +131,11 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
             size = np.array([len(docs[i][0]) for i in own])
             spot, share = np.concatenate([docs[i][0] for i in own]), np.concatenate([docs[i][1] for i in own])
             doc = np.repeat(np.arange(len(own)), size)
-            held = vectors[spot] * share[:, None]
-            mean = np.stack([np.bincount(doc, held[:, k], len(own)) for k in range(WIDTH)], axis=1).astype(np.float32)
-            z = mean @ layer + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            wrong = p / p.sum(axis=1, keepdims=True) - want[own]
+            to_layer, to_bias, touched, to_vectors = gradients(vectors, layer, bias, spot, share, doc, want[own])
             rate = RATE * (1 - done / steps)
-            back = wrong @ layer.T
-            layer -= rate / len(own) * mean.T @ wrong
-            bias -= rate / len(own) * wrong.sum(axis=0)
-            order_, inverse = np.unique(spot, return_inverse=True)
-            step = back[doc] * share[:, None]
-            vectors[order_] -= rate * np.stack([np.bincount(inverse, step[:, k]) for k in range(WIDTH)], axis=1).astype(np.float32)
+            layer -= rate / len(own) * to_layer
+            bias -= rate / len(own) * to_bias
+            vectors[touched] -= rate * to_vectors
             done += 1
     return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
