@@ -2,7 +2,8 @@
 
 Base spans come from three patterns. Any other run of identifier characters that is long enough, and what base
 spans leave of one, is scored by two first-order Markov models; where the likelihood ratio per character says "random", the run is a secret too; where it does not for the whole run, any stretch of it that
-gains enough on the limit is. Models are trained by counting
+gains enough on the limit is. Short runs of ``SHORT_RUN`` characters and more are judged whole, with a limit for each length, since few
+characters tell less; one without a letter is a number and no secret. Models are trained by counting
 transitions in labelled samples: values behind the base patterns and seeded random strings of common alphabets on one side,
 words of the corpus and identifiers composed of them on the other. The limit lies between the samples held back.
 
@@ -30,10 +31,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_VALUE = 6
 KEYWORDS = ("passw", "secret", "token", "api")
 
-MIN_RUN, MAX_SCORED = 20, 4096  # characters: shorter runs are not judged, of longer ones the mean over blocks of this size
+SHORT_RUN, MIN_RUN, MAX_SCORED = 12, 20, 4096  # characters: below the first not judged, below the second by limits of their own; the mean over blocks of the third
+SHORT_CALM = 0.9995  # share of ordinary runs of a short length that its limit passes over
 TRAIN_DOCS, TRAIN_CHARS, RANDOM_STRINGS, SEED = 2000, 20_000, 4000, 7
 JOINT = re.compile("[/=_-]")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORT_RUN},}}")
+LETTER = re.compile("[A-Za-z]")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, -1, np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
@@ -66,10 +70,11 @@ def _transitions(samples: list[str]) -> np.ndarray:
 
 class Model:
     """``ratio``: per transition, log likelihood as random less that as ordinary; ``limit``: mean ratio from which a run is random;
-    ``gain``: sum of ratios less ``limit`` from which a part of a run is."""
+    ``gain``: sum of ratios less ``limit`` from which a part of a run is; ``short``: the limit of each length from ``SHORT_RUN`` to below ``MIN_RUN``."""
 
-    def __init__(self, ratio: np.ndarray, limit: float, gain: float = np.inf):
+    def __init__(self, ratio: np.ndarray, limit: float, gain: float = np.inf, short: list[float] | None = None):
         self.ratio, self.limit, self.gain = ratio, limit, gain
+        self.short = short or [np.inf] * (MIN_RUN - SHORT_RUN)
         self.steps = None
 
     def score(self, run: str) -> float:
@@ -109,7 +114,10 @@ class Model:
         return out
 
     def secret_parts(self, run: str) -> list[tuple[int, int]]:
-        """The whole run where its mean is above the limit, else its random parts, out to the next joint within ``MIN_RUN`` characters."""
+        """The whole run where its mean is above the limit (of its length, where it is short), else its random parts, out to the next joint within ``MIN_RUN`` characters."""
+        if len(run) < MIN_RUN:
+            secret = len(run) >= SHORT_RUN and LETTER.search(run) and self.score(run) > self.short[len(run) - SHORT_RUN]
+            return [(0, len(run))] if secret else []
         blocks = [run[k:k + MAX_SCORED] for k in range(0, len(run), MAX_SCORED)]
         if np.average([self.score(b) if len(b) > 1 else 0.0 for b in blocks], weights=[len(b) for b in blocks]) > self.limit:
             return [(0, len(run))]
@@ -163,9 +171,27 @@ def fit(texts: list[str]) -> Model:
     climbs = [[model.climb(x) for x in h if len(x) >= MIN_RUN] for h in held]
     low, high = np.quantile(climbs[0], 0.02), np.quantile(climbs[1] or [0.0], 0.999)
     model.gain = float(max(1.0, high, (low + high) / 2))
+    model.short = _short_limits(model, [*held[1], *_stamps(rng)], rng)
     return model
 
 
+def _stamps(rng: np.random.Generator) -> list[str]:
+    """Ordinary runs of digits with a letter or two: days and hours, version and part numbers."""
+    n = rng.integers(1, 1000, (RANDOM_STRINGS // 4, 4)).tolist()
+    return [x for a, b, c, d in n for x in (f"20{a % 100:02}-{b % 12 + 1:02}-{c % 28 + 1:02}T{d % 24:02}", f"version-{a % 20}-{b % 40}-{c}", f"item{a:04}-{b:04}-{c % 100:02}")]
+
+
+def _short_limits(model: Model, ordinary: list[str], rng: np.random.Generator) -> list[float]:
+    """A limit for each short length, no lower than that of the longer ones: what only 1 in 2,000 ordinary runs exceeds, counting those
+    of the length and one window of that length of each longer one."""
+    out = [model.limit]
+    for length in range(MIN_RUN - 1, SHORT_RUN - 1, -1):
+        starts = [(run, int(rng.integers(0, len(run) - length + 1))) for run in ordinary if len(run) >= length]
+        scores = [model.score(run[at:at + length]) for run, at in starts]
+        out.append(max(out[-1], float(np.quantile(scores, SHORT_CALM)) if scores else np.inf))
+    return out[:0:-1]
+
+
 def train(docs: DataFrame) -> Model:
     """The models, from a bounded sample of documents."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -196,14 +222,14 @@ def spans(text: str, model: Model) -> list[tuple[int, int, int]]:
             base[-1] = base[-1][0], max(base[-1][1], e)
         else:
             base.append((s, e))
-    for m in RUN.finditer(text):
+    for m in CANDIDATE.finditer(text):
         while i < len(base) and base[i][1] <= m.start():
             i += 1
         j = i
         while j < len(base) and base[j][0] < m.end():
             j += 1
         for s, e in _rests(*m.span(), base[i:j]):
-            if e - s < MIN_RUN:
+            if e - s < SHORT_RUN:
                 continue
             more += [(s + a, s + b, 3) for a, b in model.secret_parts(text[s:e])]
     return sorted(found + more, key=lambda x: (x[0], x[2])) if more else found

@@ -309,6 +309,50 @@ def _base(text):
     return sorted(out)
 
 
+def test_quality_grams_are_characters():
+    rng = np.random.default_rng(4)
+    texts = ["", "a", "né", "日本語テキスト", "mixed 日本 text ü😀😀z", "plain ascii", "ü" * 5] + ["".join(rng.choice(list("aü日😀 "), 40)) for _ in range(20)]
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        chars, at = quality_model._characters(raw, np.array([0, len(raw)]))
+        assert at[-1] == len(chars) == len(t) and [int(c).to_bytes(4, "little").rstrip(b"\0").decode() for c in chars] == [c for c in t]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    assert quality_model._characters(data, offsets)[1].tolist() == np.cumsum([0] + [len(t) for t in texts]).tolist()
+    table = rng.normal(size=quality_model.BUCKETS).astype(np.float32)
+    for got, t in zip(quality_model.scores(data, offsets, table, 0.2), texts):
+        spot, share = quality_model.features(t)
+        assert np.isclose(got, 1 / (1 + np.exp(-(float(table[spot] @ share) + 0.2))), atol=1e-6)
+    # the same character at another place of a wider text falls into the same bucket
+    one = quality_model._buckets(quality_model._characters(np.frombuffer("日本語".encode(), np.uint8), np.array([0, 9]))[0], 3)
+    assert one[0] in quality_model._buckets(quality_model._characters(np.frombuffer("a日本語b".encode(), np.uint8), np.array([0, 11]))[0], 3)
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(6)
+    vectors, layer, bias = rng.normal(size=(9, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    doc, spot, share = np.array([0, 0, 1, 2, 2, 2]), np.array([3, 5, 3, 0, 5, 8]), np.array([.5, .5, 1., .2, .3, .5])
+    want = np.eye(2)[[0, 1, 1]]
+
+    def loss():
+        total = 0.0
+        for d in range(3):
+            z = sum(share[i] * vectors[spot[i]] for i in range(6) if doc[i] == d) @ layer + bias
+            total += np.log(np.exp(z).sum()) - z @ want[d]
+        return total
+
+    to_layer, to_bias, touched, to_vectors = quality_model.gradients(vectors, layer, bias, spot, share, doc, want)
+    full = np.zeros_like(vectors)
+    full[touched] = to_vectors
+    for values, got in ((layer, to_layer), (bias, to_bias), (vectors, full)):
+        for at in np.ndindex(values.shape):
+            kept = values[at]
+            values[at] = kept + 1e-6
+            up = loss()
+            values[at] = kept - 1e-6
+            assert np.isclose((up - loss()) / 2e-6, got[at], atol=1e-6)
+            values[at] = kept
+
+
 def test_secret_spans(spark):
     rng = np.random.default_rng(8)
     key = "".join(rng.choice(list(secrets._ALPHABET[:62]), 40))
@@ -338,6 +382,21 @@ def test_secrets_beside_base_spans(spark):
     assert not any(key in t for t in clean)
 
 
+def test_short_secrets():
+    model, rng = secrets.fit([prose(i, 300) for i in range(20)]), np.random.default_rng(8)
+    assert len(model.short) == 8 and sorted(model.short, reverse=True) == model.short and model.short[-1] >= model.limit
+    letters = list(secrets._ALPHABET[:62])
+    for size, least in ((12, 60), (16, 170), (17, 180), (18, 190), (19, 190), (20, 195)):
+        texts = ["id " + "".join(rng.choice(letters, size)) + ", end" for _ in range(200)]
+        found = [secrets.spans(t, model) for t in texts]
+        assert sum(f == [(3, 3 + size, 3)] for f in found) >= least
+    calm = ["123456789012345", "2024-01-15T10", "555-0199-12345", "=" * 15, "internationalisation", "some_long_name", "src/main/java", "aaaaaaaaaaaaaa", "x" * 11, "version-1-20-7"]
+    assert not any(secrets.spans(f"see {t} there", model) for t in calm)
+    # what a base span leaves of a run is judged by its own length
+    rest = "".join(rng.choice(letters, 17))
+    assert secrets.spans(f"AKIA{'ABCD' * 4}/{rest}", model) == [(0, 20, 1), (20, 38, 3)]
+
+
 def test_secrets_inside_ordinary_runs():
     model = secrets.fit([prose(i, 300) for i in range(20)])
     rng = np.random.default_rng(19)
